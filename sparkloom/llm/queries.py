@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import prefix_tokens
+from sparkloom.llm import packing, prefix_tokens, wordids
+from sparkloom.llm.common import written
 from sparkloom.plans import Query
 from sparkloom.sources import read_table
 
 TOKEN_LIMIT = 1024
+PACK_CAPACITY = 4096
 
 
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,6 +22,20 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "fit_chars")
 
 
+def pack_documents(docs: DataFrame) -> DataFrame:
+    """Encode, cut and pack documents; their ids are written once, in the shared folder."""
+    ids = written(wordids.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json")), "packing-ids")
+    pieces = packing.cut_pieces(ids, PACK_CAPACITY)
+    slim = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.assign(slim, PACK_CAPACITY)
+
+
+def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as pieces in as few sequences of 4096 tokens as can be."""
+    return pack_documents(read_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_token_counts": Query(op2_token_counts),
+    "op8_best_fit_packing": Query(op8_best_fit_packing),
 }
