@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import packing, prefix_tokens, wordids
+from sparkloom.llm import packing, prefix_tokens, quality_rules, wordids
 from sparkloom.llm.common import written
 from sparkloom.plans import Query
 from sparkloom.sources import read_table
@@ -22,6 +22,11 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "fit_chars")
 
 
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Word statistics and the verdict of the quality rules on every document."""
+    return quality_rules.judge(read_table(spark, folder, "documents"))
+
+
 def pack_documents(docs: DataFrame) -> DataFrame:
     """Encode, cut and pack documents; their ids are written once, in the shared folder."""
     ids = written(wordids.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json")), "packing-ids")
@@ -37,5 +42,6 @@ def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_token_counts": Query(op2_token_counts),
+    "op3_quality_rules": Query(op3_quality_rules, quality_rules.oracle_sql()),
     "op8_best_fit_packing": Query(op8_best_fit_packing),
 }
