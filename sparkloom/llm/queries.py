@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import packing, prefix_tokens, quality_rules, wordids
-from sparkloom.llm.common import written
+from sparkloom.llm import huffman, packing, prefix_tokens, quality_rules, wordids
+from sparkloom.llm.common import discard, scratch_path, written
 from sparkloom.plans import Query
 from sparkloom.sources import read_table
 
@@ -27,6 +27,16 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, folder, "documents"))
 
 
+def op5_huffman_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document, written as Huffman-coded files in order of doc_id and read back."""
+    docs = read_table(spark, folder, "documents")
+    ids = written(wordids.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json")), "huffman-ids")
+    path = scratch_path(spark, "huffman")
+    huffman.write(ids, path)
+    discard(ids)
+    return huffman.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def pack_documents(docs: DataFrame) -> DataFrame:
     """Encode, cut and pack documents; their ids are written once, in the shared folder."""
     ids = written(wordids.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json")), "packing-ids")
@@ -43,5 +53,6 @@ def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_token_counts": Query(op2_token_counts),
     "op3_quality_rules": Query(op3_quality_rules, quality_rules.oracle_sql()),
+    "op5_huffman_ids": Query(op5_huffman_ids),
     "op8_best_fit_packing": Query(op8_best_fit_packing),
 }
