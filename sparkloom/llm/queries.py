@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import huffman, packing, prefix_tokens, quality_rules, wordids
+from sparkloom.llm import huffman, knn_quality, packing, prefix_tokens, quality_rules, wordids
 from sparkloom.llm.common import discard, scratch_path, written
 from sparkloom.plans import Query
 from sparkloom.sources import read_table
@@ -15,6 +15,14 @@ TOKEN_LIMIT = 1024
 PACK_CAPACITY = 4096
 
 
+def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Score and verdict of every document by its labelled neighbours."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    model = knn_quality.fit(docs, read_table(spark, folder, "labels"))
+    scored = knn_quality.score(docs, model)
+    return scored.select("doc_id", knn_quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document, whether over the limit, and the longest prefix within it."""
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
@@ -51,6 +59,7 @@ def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality_classifier": Query(op1_quality_classifier),
     "op2_token_counts": Query(op2_token_counts),
     "op3_quality_rules": Query(op3_quality_rules, quality_rules.oracle_sql()),
     "op5_huffman_ids": Query(op5_huffman_ids),
