@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import huffman, knn_quality, packing, prefix_tokens, quality_rules, wordids
+from sparkloom.llm import huffman, jaccard_join, knn_quality, packing, prefix_tokens, quality_rules, wordids
 from sparkloom.llm.common import discard, scratch_path, written
 from sparkloom.plans import Query
 from sparkloom.sources import read_table
@@ -58,10 +58,16 @@ def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(read_table(spark, folder, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Class and number of links of every document, by five-word shingles at a similarity of 0.8."""
+    return jaccard_join.join(read_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": Query(op1_quality_classifier),
     "op2_token_counts": Query(op2_token_counts),
     "op3_quality_rules": Query(op3_quality_rules, quality_rules.oracle_sql()),
     "op5_huffman_ids": Query(op5_huffman_ids),
     "op8_best_fit_packing": Query(op8_best_fit_packing),
+    "op10_jaccard_join": Query(op10_jaccard_join, jaccard_join.oracle_sql()),
 }
