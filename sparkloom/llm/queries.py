@@ -6,13 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import huffman, jaccard_join, knn_quality, packing, prefix_tokens, quality_rules, wordids
+from sparkloom.llm import chat_format, exact_topk, huffman, jaccard_join, knn_quality, packing, prefix_tokens, quality_rules, wordids
 from sparkloom.llm.common import discard, scratch_path, written
 from sparkloom.plans import Query
 from sparkloom.sources import read_table
 
 TOKEN_LIMIT = 1024
 PACK_CAPACITY = 4096
+TOP_K, QUERY_EVERY = 5, 50
 
 
 def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,7 +33,15 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Word statistics and the verdict of the quality rules on every document."""
-    return quality_rules.judge(read_table(spark, folder, "documents"))
+    return quality_rules.judge(read_table(spark, folder, "documents")).drop("row_key")
+
+
+def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation rendered and read back, and one whose texts are control strings."""
+    rows = read_table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.element_at(F.array(F.lit("user"), F.lit("assistant")), (F.col("id") + 1).cast("int")).alias("role"), F.lit(hard).alias("text"))
+    return chat_format.digests(rows.unionByName(more))
 
 
 def op5_huffman_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,6 +67,12 @@ def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(read_table(spark, folder, "documents"))
 
 
+def op9_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The best five of all vectors for every 50th."""
+    vectors = exact_topk.quantised(read_table(spark, folder, "embeddings"))
+    return exact_topk.top_k(vectors, vectors.filter(F.col("id") % QUERY_EVERY == 0), TOP_K)
+
+
 def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Class and number of links of every document, by five-word shingles at a similarity of 0.8."""
     return jaccard_join.join(read_table(spark, folder, "documents"))
@@ -67,7 +82,9 @@ QUERIES: dict[str, Query] = {
     "op1_quality_classifier": Query(op1_quality_classifier),
     "op2_token_counts": Query(op2_token_counts),
     "op3_quality_rules": Query(op3_quality_rules, quality_rules.oracle_sql()),
+    "op4_chat_format": Query(op4_chat_format, chat_format.oracle_sql()),
     "op5_huffman_ids": Query(op5_huffman_ids),
     "op8_best_fit_packing": Query(op8_best_fit_packing),
+    "op9_exact_topk": Query(op9_exact_topk, exact_topk.oracle_sql(TOP_K, QUERY_EVERY)),
     "op10_jaccard_join": Query(op10_jaccard_join, jaccard_join.oracle_sql()),
 }
