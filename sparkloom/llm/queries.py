@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat_format, exact_topk, huffman, jaccard_join, knn_quality, packing, prefix_tokens, quality_rules, wordids
+from sparkloom.llm import chat_format, exact_topk, huffman, jaccard_join, knn_quality, license_scan, packing, prefix_tokens, quality_rules, sentencepiece_tokenizers, wordids
 from sparkloom.llm.common import discard, scratch_path, written
 from sparkloom.plans import Query
 from sparkloom.sources import read_table
@@ -54,6 +54,18 @@ def op5_huffman_ids(spark: SparkSession, folder: str) -> DataFrame:
     return huffman.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of every document, whether both libraries agree on them, and whether decoding gives the text."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    out = sentencepiece_tokenizers.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "parity", "round_trip")
+
+
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licences of every document."""
+    return license_scan.scan(read_table(spark, folder, "documents"))
+
+
 def pack_documents(docs: DataFrame) -> DataFrame:
     """Encode, cut and pack documents; their ids are written once, in the shared folder."""
     ids = written(wordids.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json")), "packing-ids")
@@ -84,6 +96,8 @@ QUERIES: dict[str, Query] = {
     "op3_quality_rules": Query(op3_quality_rules, quality_rules.oracle_sql()),
     "op4_chat_format": Query(op4_chat_format, chat_format.oracle_sql()),
     "op5_huffman_ids": Query(op5_huffman_ids),
+    "op6_sentencepiece": Query(op6_sentencepiece),
+    "op7_license_scan": Query(op7_license_scan, license_scan.oracle_sql()),
     "op8_best_fit_packing": Query(op8_best_fit_packing),
     "op9_exact_topk": Query(op9_exact_topk, exact_topk.oracle_sql(TOP_K, QUERY_EVERY)),
     "op10_jaccard_join": Query(op10_jaccard_join, jaccard_join.oracle_sql()),
