@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import discard, written
+from sparkloom.llm.common import discard, row_key, written
 
 # What a word is, and the symbols that are counted.
 SPACES, SYMBOLS = r"[ \t-\r]+", "#*$%&|<>"
@@ -56,7 +56,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     meet with a chance of one in 10^11). Repeated rows each give a row.
     """
     text = F.coalesce("text", F.lit(""))
-    df = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), text.alias("_t"))
+    df = docs.select("doc_id", row_key(docs).alias("row_key"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), text.alias("_t"))
     df = df.withColumn("n_symbols", F.length("_t") - F.length(F.translate("_t", SYMBOLS, "")))
     df = df.withColumn("word_chars", F.length(F.translate("_t", " \t\n\x0b\f\r", "")))
     lines = F.filter(F.split("_t", "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\f\r", "")) > 0)
@@ -77,7 +77,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     )
     df = df.withColumn("n_repeat_words", F.when(F.col("_s").isNull(), 0).otherwise(F.size(F.array_distinct(F.flatten(twice))))).drop("_s")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return df.select("doc_id", "lang", "source", *(F.col(c).cast("long").alias(c) for c in _STATS)).withColumn("base_failed", failed)
+    return df.select("doc_id", "row_key", "lang", "source", *(F.col(c).cast("long").alias(c) for c in _STATS)).withColumn("base_failed", failed)
 
 
 # ---- the estimates, as SQL that any engine with window functions runs ----
@@ -86,21 +86,23 @@ _MOMENTS = ", ".join([f"sum(v{i}) AS s{i}" for i in _D] + [f"sum(v{i} * v{j}) AS
 
 
 def _strata_sql(stats: str) -> str:
-    """The stratum of each (lang, source): itself, its language's small sources together, or all that is left."""
+    """The stratum of each (lang, source): itself, its language's small sources together, or all that is left; n: its vectors."""
     return f"""
-WITH sized AS (SELECT lang, source, count(*) AS n FROM (SELECT DISTINCT lang, source, {", ".join(_STATS)} FROM {stats} WHERE NOT base_failed) d GROUP BY lang, source),
-pooled AS (SELECT lang, sum(n) AS n FROM sized WHERE n < {MIN_STRATUM} GROUP BY lang)
-SELECT s.lang, s.source,
-  CASE WHEN s.n >= {MIN_STRATUM} THEN concat('s', CAST(length(s.lang) AS VARCHAR(20)), ':', s.lang, s.source) WHEN p.n >= {MIN_STRATUM} THEN concat('l', s.lang) ELSE '*' END AS stratum
-FROM sized s LEFT JOIN pooled p ON s.lang = p.lang"""
+WITH sized AS (SELECT lang, source, count(*) AS k FROM (SELECT DISTINCT lang, source, {", ".join(_STATS)} FROM {stats} WHERE NOT base_failed) d GROUP BY lang, source),
+pooled AS (SELECT lang, sum(k) AS k FROM sized WHERE k < {MIN_STRATUM} GROUP BY lang),
+named AS (SELECT s.lang, s.source, s.k,
+  CASE WHEN s.k >= {MIN_STRATUM} THEN concat('s', CAST(length(s.lang) AS VARCHAR(20)), ':', s.lang, s.source) WHEN p.k >= {MIN_STRATUM} THEN concat('l', s.lang) ELSE '*' END AS stratum
+  FROM sized s LEFT JOIN pooled p ON s.lang = p.lang)
+SELECT lang, source, stratum, sum(k) OVER (PARTITION BY stratum) AS n FROM named"""
 
 
 def _vectors_sql(stats: str, strata: str, hexed: str) -> str:
-    """The distinct vectors of each stratum with a number from 0 to 1 by hash; stratum size n. Copies have one vote."""
+    """The distinct vectors of each language and source with their stratum, its size n, and a number u from 0 to 1 by hash. Copies have one vote."""
     frac = hexed.format(x="md5(concat(stratum, '|', " + ", '|', ".join(f"CAST({c} AS VARCHAR(20))" for c in _STATS) + "))")
     return f"""
-SELECT stratum, {", ".join(f"{e} AS v{i}" for i, e in VECTOR.items())}, {frac} AS u, count(*) OVER (PARTITION BY stratum) AS n
-FROM (SELECT DISTINCT t.stratum, {", ".join("s." + c for c in _STATS)} FROM {stats} s JOIN {strata} t ON s.lang = t.lang AND s.source = t.source WHERE NOT s.base_failed) d"""
+SELECT stratum, n, {", ".join(f"{e} AS v{i}" for i, e in VECTOR.items())}, {frac} AS u
+FROM (SELECT DISTINCT s.lang, s.source, t.stratum, t.n, {", ".join("s." + c for c in _STATS)} FROM {stats} s JOIN {strata} t ON s.lang = t.lang AND s.source = t.source
+  WHERE NOT s.base_failed AND (t.n >= {MIN_STRATUM} OR t.stratum <> '*')) d"""
 
 
 def _fit_sql(sums: str) -> str:
@@ -157,17 +159,17 @@ def _choice_sql(fits: str) -> str:
     return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY round(det, 9), start) AS place FROM {fits}) c WHERE place = 1"
 
 
-def _verdict_sql(stats: str, strata: str, fits: str) -> str:
+def _verdict_sql(stats: str, strata: str, fits: str, extra: str = "") -> str:
     """Every row's statistics and verdict; rows of a stratum of under MIN_STRATUM vectors stay."""
     made = ", ".join(f"CASE WHEN NOT s.base_failed THEN {e} END AS v{i}" for i, e in VECTOR.items())
     m = ", ".join([f"p.m{i}" for i in _D] + [f"p.l{i}{j}" for i, j in _PAIRS])
-    rows = f"SELECT s.doc_id, {', '.join('s.' + c for c in _STATS)}, s.base_failed, {made}, {m} FROM {stats} s LEFT JOIN {strata} t ON s.lang = t.lang AND s.source = t.source LEFT JOIN {fits} p ON t.stratum = p.stratum"
-    d2 = _distance_sql(rows, f"doc_id, {', '.join(_STATS)}, base_failed")
-    return f"SELECT doc_id, {', '.join(_STATS)}, base_failed, CASE WHEN base_failed THEN false ELSE coalesce(d2 <= {CUTOFF}, true) END AS kept FROM ({d2}) k_"
+    rows = f"SELECT s.doc_id, {extra.format(t='s.')}{', '.join('s.' + c for c in _STATS)}, s.base_failed, {made}, {m} FROM {stats} s LEFT JOIN {strata} t ON s.lang = t.lang AND s.source = t.source LEFT JOIN {fits} p ON t.stratum = p.stratum"
+    d2 = _distance_sql(rows, f"doc_id, {extra.format(t='')}{', '.join(_STATS)}, base_failed")
+    return f"SELECT doc_id, {extra.format(t='')}{', '.join(_STATS)}, base_failed, CASE WHEN base_failed THEN false ELSE coalesce(d2 <= {CUTOFF}, true) END AS kept FROM ({d2}) k_"
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, the word statistics, base_failed and kept of each row of docs (columns doc_id, text, lang, source).
+    """doc_id, row_key, the word statistics, base_failed and kept of each row of docs (columns doc_id, text, lang, source).
 
     A row is kept if it passes the base rules and its vector lies within CUTOFF of
     its stratum's estimate. The strata are (lang, source); those with fewer than
@@ -183,11 +185,7 @@ def judge(docs: DataFrame) -> DataFrame:
     strata = written(spark.sql(_strata_sql("{stats}").replace("VARCHAR(20)", "STRING"), stats=stats), "rules-strata")
     hexed = "CAST(conv(substr({x}, 1, 8), 16, 10) AS DOUBLE) / 4294967296.0"
     sql = _vectors_sql("{stats}", "{strata}", hexed).replace("VARCHAR(20)", "STRING")
-    sized = sql.replace(", count(*) OVER (PARTITION BY stratum) AS n", "")
-    vectors = written(spark.sql(sized, stats=stats, strata=strata), "rules-vectors")
-    # the size by a join, not a window, which would gather a hot stratum in one task
-    n = vectors.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
-    vectors = vectors.join(written(n, "rules-sizes"), "stratum").filter((F.col("n") >= MIN_STRATUM) | (F.col("stratum") != "*"))
+    vectors = written(spark.sql(sql, stats=stats, strata=strata), "rules-vectors")
     fits = written(spark.sql(_start_sql("{v}"), v=vectors), "rules-fit")
     for step in range(FIRST_STEPS + LAST_STEPS):
         if step == FIRST_STEPS:
@@ -195,11 +193,18 @@ def judge(docs: DataFrame) -> DataFrame:
         fits, old = written(spark.sql(_step_sql("{v}", "{p}"), v=vectors, p=fits), "rules-fit"), fits
         if step != FIRST_STEPS:
             discard(old)
-    return spark.sql(_verdict_sql("{stats}", "{strata}", "{p}"), stats=stats, strata=strata, p=fits)
+    return spark.sql(_verdict_sql("{stats}", "{strata}", "{p}", "{t}row_key, "), stats=stats, strata=strata, p=fits)
 
 
 
 
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns."""
+    kept = judge(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).distinct()
+    keyed = docs.withColumn("_row", row_key(docs))
+    return keyed.join(kept, keyed.doc_id.eqNullSafe(kept._id) & (keyed._row == kept._key), "left_semi").drop("_row")
+
+
 def oracle_sql(documents: str = "documents") -> str:
     """DuckDB SQL for the rows of judge()."""
     space = r"[ \t\n\x0b\f\r]"
@@ -213,8 +218,7 @@ def oracle_sql(documents: str = "documents") -> str:
         "n_": rf"SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '{space}', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words FROM d_ JOIN w_ USING (r) LEFT JOIN p_ USING (r) LEFT JOIN l_ USING (r)",
         "stats_": f"SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM n_",
         "strata_": _strata_sql("stats_"),
-        "all_": _vectors_sql("stats_", "strata_", "CAST(CAST(concat('0x', substr({x}, 1, 8)) AS BIGINT) AS DOUBLE) / 4294967296.0"),
-        "vectors_": f"SELECT * FROM all_ WHERE n >= {MIN_STRATUM} OR stratum <> '*'",
+        "vectors_": _vectors_sql("stats_", "strata_", "CAST(CAST(concat('0x', substr({x}, 1, 8)) AS BIGINT) AS DOUBLE) / 4294967296.0"),
         "fit0_": _start_sql("vectors_"),
     }
     now = "fit0_"
