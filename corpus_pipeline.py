@@ -4,13 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from sparkloom.llm import jaccard_join, knn_quality, quality_rules
+from sparkloom.llm.common import written
+from sparkloom.llm.queries import pack_documents
+from sparkloom.sources import read_table
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality_rules.keep(docs)
+
+
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on labelled rows of the whole table, does not reject."""
+    model = knn_quality.fit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return knn_quality.score(docs, model).filter("predicted = 1").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return jaccard_join.keep_one(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as pieces in sequences of tokens."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("quality rules", rules),
+    ("quality classifier", classifier),
+    ("n-gram Jaccard join", near_duplicates),
+    ("best-fit packing", packing),
+]
+#: SQL cannot express the classifier's singular vectors or the packing; tests hold the stages against plain Python.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """Apply the stages to documents, each to the written rows of the one before."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.chunks import slices, string_buffers
-from sparkloom.llm.common import shuffle_parts, written
+from sparkloom.llm.common import row_key, shuffle_parts, written
 from sparkloom.llm.wordhash import mix, word_hashes
 
 WIDTH = 5
@@ -86,7 +86,7 @@ def nodes_of(count: np.ndarray, value: np.ndarray) -> list[bytes]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, node, n (different shingles) and sig (SKETCH tokens of 4 bytes) of each row of docs; null texts are empty."""
+    """doc_id, row_key, node, n (different shingles) and sig (SKETCH tokens of 4 bytes) of each row of docs; null texts are empty."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = _token_keys()
@@ -99,10 +99,10 @@ def sketches(docs: DataFrame) -> DataFrame:
                     starts = (np.cumsum(count) - count)[has]
                     for k in range(SKETCH):
                         sig[has, k] = np.minimum.reduceat((value * keys[k]) >> np.uint64(32), starts)
-                cols = [b.column("doc_id").cast(pa.int64()), pa.array(nodes_of(count, value), pa.binary()), pa.array(count.astype(np.int64)), pa.array([r.tobytes() for r in sig], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "n", "sig"])
+                cols = [b.column("doc_id").cast(pa.int64()), b.column("row_key"), pa.array(nodes_of(count, value), pa.binary()), pa.array(count.astype(np.int64)), pa.array([r.tobytes() for r in sig], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row_key", "node", "n", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, node binary, n long, sig binary")
+    return docs.select("doc_id", row_key(docs).alias("row_key"), "text").mapInArrow(work, "doc_id long, row_key long, node binary, n long, sig binary")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -346,6 +346,19 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Tables: every row's sketch, the nodes, the nodes' labels where linked, and links by node and cell."""
+    every = written(sketches(docs), "join-sketches")
+    nodes = every.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("w"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    nodes = written(nodes, "join-nodes")
+    rows = written(candidates(nodes, leaves(nodes)), "join-candidates")
+    needed = nodes.join(rows.select("node").distinct(), "node", "left_semi").select(F.col("doc_id").alias("_id")).distinct()
+    some = docs.select("doc_id", "text").join(needed, docs.doc_id.eqNullSafe(needed._id), "left_semi")
+    sets = shingle_sets(some).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    linked = written(links(rows, sets), "join-links")
+    return every, nodes, components(linked), linked
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, class_id and n_links of each row of docs (columns doc_id, text).
 
@@ -359,16 +372,7 @@ def join(docs: DataFrame) -> DataFrame:
     are compared by 64-bit hashes. No pair leaves its cell: cells give counts and
     spanning links, and equal rows are one node with a weight.
     """
-    docs = docs.select("doc_id", "text")
-    every = written(sketches(docs), "join-sketches")
-    nodes = every.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("w"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    nodes = written(nodes, "join-nodes")
-    rows = written(candidates(nodes, leaves(nodes)), "join-candidates")
-    needed = nodes.join(rows.select("node").distinct(), "node", "left_semi").select(F.col("doc_id").alias("_id")).distinct()
-    some = docs.join(needed, docs.doc_id.eqNullSafe(needed._id), "left_semi")
-    sets = shingle_sets(some).groupBy("node").agg(F.first("shingles").alias("shingles"))
-    linked = written(links(rows, sets), "join-links")
-    label = components(linked)
+    every, nodes, label, linked = _linked(docs)
     least = label.join(nodes.select("node", "doc_id"), "node").groupBy("label").agg(F.min("doc_id").alias("class_id"))
     degree = linked.groupBy("node").agg(F.sum("links").alias("links"))
     known = nodes.join(label.join(least, "label").select("node", "class_id"), "node", "left").join(degree, "node", "left")
@@ -377,6 +381,23 @@ def join(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all columns, that stay when each class keeps one: its least doc_id (nulls last), then row_key.
+
+    Rows without words all stay. Of rows alike in id, text, language and source one stays.
+    """
+    every, _, label, _ = _linked(docs)
+    classed = every.filter("n > 0").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    best = classed.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("_b"))
+    stay = best.select("_b.doc_id", "_b.row_key").withColumn("_one", F.lit(True)).unionByName(every.filter("n = 0").select("doc_id", "row_key").distinct().withColumn("_one", F.lit(False)))
+    many = every.groupBy("doc_id", "row_key").agg(F.count(F.lit(1)).alias("_c")).select(F.col("doc_id").alias("_i"), F.col("row_key").alias("_k"), "_c")
+    stay = stay.join(many, stay.doc_id.eqNullSafe(many._i) & (stay.row_key == many._k)).select("_i", "_k", (F.col("_one") & (F.col("_c") > 1)).alias("_again"))
+    keyed = docs.withColumn("_row", row_key(docs))
+    rows = written(keyed.join(stay, keyed.doc_id.eqNullSafe(stay._i) & (keyed._row == stay._k)).drop("_i", "_k"), "join-kept")
+    once = rows.filter("_again").dropDuplicates(["doc_id", "_row"])
+    return rows.filter("not _again").unionByName(once).drop("_row", "_again")
+
+
 def oracle_sql(documents: str = "documents") -> str:
     """DuckDB SQL for the rows of join(): every pair that shares a shingle, then classes by recursion."""
     words = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda x: x <> '')"
