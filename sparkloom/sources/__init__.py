@@ -1,5 +1,5 @@
 """Readers and writers."""
 
-from sparkloom.sources.tables import TABLES, read_table
+from sparkloom.sources.tables import FORMATS, TABLES, bucketed, read, read_table, stream, write
 
-__all__ = ["TABLES", "read_table"]
+__all__ = ["FORMATS", "TABLES", "bucketed", "read", "read_table", "stream", "write"]
