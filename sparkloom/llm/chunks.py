@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 _ASCII_SPACE = np.zeros(256, bool)
 _ASCII_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 #: Texts worked on at a time, in bytes, so that long texts do not pile up in memory.
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 5 << 20
 
 
 def string_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -62,7 +62,7 @@ class PrefixCounter:
         # a token that its own bytes do not encode to never appears
         self.token = {b: i for b, i in known.items() if len(b) == 1 or self._merged(b, known) == [i]}
         self.longest = max(map(len, self.token))
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
         self.split = regex.compile(PATTERN).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")").split if special else None
@@ -84,8 +84,6 @@ class PrefixCounter:
         Each stays whole unless a pair across their border is merged before one
         of the two is complete; walk back through both merge trees to look.
         """
-        if (old := self.fits.get((a, b))) is not None:
-            return old
         limit, left, right, merge, parts = 1 << 60, a, b, self.merge, self.parts
         ok = True
         while True:
@@ -100,20 +98,21 @@ class PrefixCounter:
                 limit, left = x[0], x[2]
             else:
                 limit, right = y[0] + (1 if merge.get((left, y[1]), (-1, 0))[0] == y[0] else 0), y[1]
-        self.fits[a, b] = ok
+        if len(self.fits) < 1_000_000:
+            self.fits[a << 32 | b] = ok
         return ok
 
     def word(self, data: bytes) -> list[int]:
         """Token counts of data[:1], data[:2], ... as words of their own."""
-        last, count, token, longest, fit = [], [], self.token, self.longest, self._fit
+        last, count, token, longest, fits = [-1], [0], self.token, self.longest, self.fits
         for i in range(1, len(data) + 1):
-            for k in range(min(i, longest), 0, -1):
-                t = token.get(data[i - k : i])
-                if t is not None and (k == i or fit(last[i - k - 1], t)):
-                    last.append(t)
-                    count.append(1 if k == i else count[i - k - 1] + 1)
-                    break
-        return count
+            for j in range(i - 1, max(0, i - longest) - 1, -1):
+                if (t := token.get(data[j:i])) is not None:
+                    if j == 0 or (fits[p] if (p := last[j] << 32 | t) in fits else self._fit(last[j], t)):
+                        last.append(t)
+                        count.append(count[j] + 1)
+                        break
+        return count[1:]
 
     def _of_word(self, word: str) -> tuple[int, ...]:
         """Counts by code point of a word that is one match of the pattern."""
@@ -135,6 +134,11 @@ class PrefixCounter:
 
     def ordinary(self, text: str) -> list[int]:
         """Counts at each code point of a text with no special string in it."""
+        if text.isascii() and (text[1:].isalpha() or text[1:-1].isalpha() and text[-1] in ".,;:!?") and (text[0] == " " or text[0].isalpha()):
+            if text[-1].isalpha():  # one word of the pattern
+                return list(self._of_word(text))
+            own = self._of_word(text[:-1])
+            return [*own, own[-1] + 1]  # and a mark, which is a token
         out: list[int] = []
         words = self.split(text)
         i, base = 0, 0
