@@ -1,7 +1,7 @@
 """Cut texts where no tokenizer rule can see across, and encode each distinct chunk once.
 
 A chunk starts at every space or newline that follows a character which is not
-white space. The tokenizers served here never join a token, or look ahead or
+white space and, if asked for, at every stop or comma after an ASCII letter. The tokenizers served here never join a token, or look ahead or
 back, over such a place (each states why), so a text's tokens are those of its
 chunks in order. Arrow buffers are cut without a copy, distinct chunks are found
 by Arrow's hashing, and only those that the worker has not met are encoded.
@@ -18,6 +18,9 @@ import pyarrow.compute as pc
 
 _ASCII_SPACE = np.zeros(256, bool)
 _ASCII_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(b".,;:!?")] = True
+_LETTER[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
 #: Texts worked on at a time, in bytes, so that long texts do not pile up in memory.
 SLICE_BYTES = 5 << 20
 
@@ -37,7 +40,7 @@ def string_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.n
 
 
 def _wide_space_ends(raw: np.ndarray) -> np.ndarray:
-    """True at the last byte of each white-space character outside ASCII."""
+    """True at the last byte of each white-space character outside ASCII, and of U+2581, the mark that stands for a space."""
     out = np.zeros(len(raw), bool)
     lead = np.flatnonzero((raw == 0xC2) | ((raw >= 0xE1) & (raw <= 0xE3)))
     two = lead[(raw[lead] == 0xC2) & (lead + 1 < len(raw))]
@@ -49,11 +52,12 @@ def _wide_space_ends(raw: np.ndarray) -> np.ndarray:
     hit |= (a == 0xE2) & (b == 0x80) & (((c >= 0x80) & (c <= 0x8A)) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
     hit |= (a == 0xE2) & (b == 0x81) & (c == 0x9F)
     hit |= (a == 0xE3) & (b == 0x80) & (c == 0x80)
+    hit |= (a == 0xE2) & (b == 0x96) & (c == 0x81)
     out[three[hit] + 2] = True
     return out
 
 
-def cut(offsets: np.ndarray, raw: np.ndarray, at: tuple[int, ...] = (10, 32)) -> np.ndarray:
+def cut(offsets: np.ndarray, raw: np.ndarray, at: tuple[int, ...] = (10, 32), marks: bool = False) -> np.ndarray:
     """Sorted chunk starts: every text's start and every place where a chunk may start."""
     space = _ASCII_SPACE[raw]
     if (raw >= 0xC2).any():
@@ -61,6 +65,8 @@ def cut(offsets: np.ndarray, raw: np.ndarray, at: tuple[int, ...] = (10, 32)) ->
     start = np.zeros(len(raw) + 1, bool)
     if len(raw) > 1:
         start[1:-1] = np.isin(raw[1:], at) & ~space[:-1]
+        if marks:
+            start[1:-1] |= _MARK[raw[1:]] & _LETTER[raw[:-1]]
     start[offsets] = True
     start[len(raw)] = False
     return np.flatnonzero(start)
@@ -140,12 +146,12 @@ class ChunkCache:
         return out
 
 
-def encode_column(column: pa.Array | pa.ChunkedArray, cache: ChunkCache, at: tuple[int, ...] = (10, 32)) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes by text and the values of all texts, one after another."""
+def encode_column(column: pa.Array | pa.ChunkedArray, cache: ChunkCache) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes by text and the values of all texts, one after another; for tokenizers that part letters from stops."""
     offsets, raw = string_buffers(column)
     if not len(raw):
         return np.zeros(len(offsets) - 1, np.int64), np.zeros(0, cache.kind)
-    starts = cut(offsets, raw, at)
+    starts = cut(offsets, raw)
     codes, chunks = distinct(starts, raw)
     size, values = cache.store.take(cache.numbers(chunks)[codes])
     ends = np.concatenate([[0], np.cumsum(size)])

@@ -60,8 +60,8 @@ RULES = (
 CLASSES = ("reserved", "noncommercial", "copyleft", "permissive")
 
 _BREAK = "\x01"
-# A sentence ends at a stop before white space, and at a line end before a capital, a digit, an empty line or a comment sign.
-_STOP, _LINE = r"([.!?;:])[ \t\n\r\f]+", r"\n[ \t\r\f]*([\p{Lu}\p{N}\n*#/|-])"
+# A sentence ends at a stop before white space, and at a line end, but after a comma, before a capital, a digit, an empty line or a comment sign.
+_STOP, _LINE = r"([.!?;:])[ \t\n\r\f]+", r"([^, \n])[ \t\r\f]*\n[ \t\r\f]*([\p{Lu}\p{N}\n*#/|-])"
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     hint = reduce(lambda a, b: a | b, (F.contains(F.lower(text), F.lit(h)) for h in HINTS))
-    cut = F.regexp_replace(F.regexp_replace(text, _STOP, f"$1{_BREAK}"), _LINE, f"{_BREAK}$1")
+    cut = F.regexp_replace(F.regexp_replace(text, _STOP, f"$1{_BREAK}"), _LINE, f"$1{_BREAK}$2")
     known = F.create_map(*(F.lit(x) for pair in SENTENCES.items() for x in pair))
     plain = F.transform(F.split(cut, _BREAK), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
     ids = F.filter(F.transform(plain, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
@@ -101,17 +101,16 @@ def scan(docs: DataFrame) -> DataFrame:
 def oracle_sql(documents: str = "documents") -> str:
     """DuckDB SQL for scan()."""
     table = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
-    steps, left, names, kinds = [], "ids", [], []
+    steps, names, kinds = [], [], []
     for k, (sequence, name, kind) in enumerate(RULES):
         want = "," + ",,".join(sequence) + ","
         steps.append(f"r{k} AS (SELECT *, contains(left{k}, '{want}') AS m{k}, replace(left{k}, '{want}', '') AS left{k + 1} FROM {'l' if not k else f'r{k - 1}'})")
         names.append(f"CASE WHEN m{k} THEN '{name}' END")
         kinds.append((kind, f"m{k}"))
     strict = " ".join(f"WHEN {' OR '.join(m for c, m in kinds if c == want)} THEN '{want}'" for want in CLASSES)
-    del left
     return rf"""
 WITH known(s, id) AS (VALUES {table}),
-d AS (SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '{_STOP}', '\1' || chr(1), 'g'), '{_LINE}', chr(1) || '\1', 'g'), chr(1)) AS p FROM {documents}),
+d AS (SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '{_STOP}', '\1' || chr(1), 'g'), '{_LINE}', '\1' || chr(1) || '\2', 'g'), chr(1)) AS p FROM {documents}),
 u AS (SELECT r, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS x FROM d),
 i AS (SELECT r, string_agg(id, ',,' ORDER BY i) AS ids, count(*) AS n FROM u JOIN known ON s = trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) GROUP BY r),
 l AS (SELECT d.r, doc_id, ',' || coalesce(ids, '') || ',' AS left0, coalesce(n, 0) AS n FROM d LEFT JOIN i ON d.r = i.r),

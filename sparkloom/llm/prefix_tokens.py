@@ -65,6 +65,7 @@ class PrefixCounter:
         self.fits: dict[int, bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
         self.split = regex.compile(PATTERN).findall
+        self.space = regex.compile(r"\s+").fullmatch
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")").split if special else None
 
     def _merged(self, word: bytes, token: dict[bytes, int]) -> list[int]:
@@ -128,22 +129,19 @@ class PrefixCounter:
         if word in CONTRACTIONS:  # its prefixes are an apostrophe, then letters
             for k in range(2, len(word)):
                 out = (*out[: k - 1], self.word(b"'")[-1] + self.word(word[1:k].encode())[-1], *out[k:])
-        if len(self.words) < 400_000:
+        if len(self.words) < 100_000:
             self.words[word] = out
         return out
 
     def ordinary(self, text: str) -> list[int]:
         """Counts at each code point of a text with no special string in it."""
-        if text.isascii() and (text[1:].isalpha() or text[1:-1].isalpha() and text[-1] in ".,;:!?") and (text[0] == " " or text[0].isalpha()):
-            if text[-1].isalpha():  # one word of the pattern
-                return list(self._of_word(text))
-            own = self._of_word(text[:-1])
-            return [*own, own[-1] + 1]  # and a mark, which is a token
+        if text.isascii() and text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
+            return self.word(text.encode())  # one word of the pattern
         out: list[int] = []
-        words = self.split(text)
+        words, space = self.split(text), self.space
         i, base = 0, 0
         while i < len(words):
-            if not words[i].isspace():
+            if not space(words[i]):
                 own = self._of_word(words[i])
                 out += own if not base else [base + c for c in own]
                 base += own[-1]
@@ -151,7 +149,7 @@ class PrefixCounter:
                 continue
             # inside a run of white space the run so far is one word, with or without what follows
             j = i
-            while j < len(words) and words[j].isspace():
+            while j < len(words) and space(words[j]):
                 j += 1
             run = "".join(words[i:j])
             if j < len(words) and words[j][0] == " ":
@@ -221,8 +219,8 @@ def prefix_counts(df: DataFrame, tokenizer: str, text: str = "text", budget: int
     (null without a budget). A null or empty text has no tokens, no bytes and an
     empty prefix_steps. Rows are kept as they are, repeated ones included; columns
     of df that bear one of the added names are replaced. Texts are cut in chunks
-    before white space only, where no word of the pattern can start earlier or
-    look across. The work is by row: no shuffle, memory bounded by SLICE_BYTES or
+    before white space and before stops after letters only, where a word of the
+    pattern ends whatever follows, and no special string is cut. The work is by row: no shuffle, memory bounded by SLICE_BYTES or
     the longest text.
     """
     added = [("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("fit_chars", T.LongType())]

@@ -149,6 +149,9 @@ def _opened(path: str) -> tuple:
             texts = [c[1:] for c in chunks]
             own = [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
             theirs = lib.encode(texts, num_threads=1)
+            if not model.squeeze and " " in chunks:  # a space that ends a text is a mark, an empty text is nothing
+                k = chunks.index(" ")
+                own[k], theirs[k] = [tok.token_to_id(MARK)], [lib.piece_to_id(MARK)]
             back = tok.decode_batch(theirs, skip_special_tokens=False)
             rows = [[(a == b) | 2 * (t == d), *b] for a, b, t, d in zip(own, theirs, texts, back, strict=True)]
             sizes = np.fromiter(map(len, rows), np.int64, len(rows))
