@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import jaccard_join, knn_quality, quality_rules
-from sparkloom.llm.common import written
+from sparkloom.llm.common import spread, written
 from sparkloom.llm.queries import pack_documents
 from sparkloom.sources import read_table
 
@@ -43,7 +43,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents, each to the written rows of the one before."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents"))
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -50,6 +50,13 @@ def row_key(docs: DataFrame) -> F.Column:
     return F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "text", "lang", "source") if c in docs.columns))
 
 
+def spread(df: DataFrame, least_mb: int = 4) -> DataFrame:
+    """The rows dealt over all cores if the table is too small to have a row group for each; else df as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * least_mb << 20 else df
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

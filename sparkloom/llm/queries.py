@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import chat_format, exact_topk, huffman, jaccard_join, knn_quality, license_scan, packing, prefix_tokens, quality_rules, sentencepiece_tokenizers, wordids
-from sparkloom.llm.common import discard, scratch_path, written
+from sparkloom.llm.common import discard, scratch_path, spread, written
 from sparkloom.plans import Query
 from sparkloom.sources import read_table
 
@@ -16,9 +16,13 @@ PACK_CAPACITY = 4096
 TOP_K, QUERY_EVERY = 5, 50
 
 
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(read_table(spark, folder, "documents"))
+
+
 def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Score and verdict of every document by its labelled neighbours."""
-    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    docs = _documents(spark, folder).select("doc_id", "text")
     model = knn_quality.fit(docs, read_table(spark, folder, "labels"))
     scored = knn_quality.score(docs, model)
     return scored.select("doc_id", knn_quality.held_out().alias("held_out"), "score", "predicted")
@@ -26,14 +30,14 @@ def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document, whether over the limit, and the longest prefix within it."""
-    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    docs = _documents(spark, folder).select("doc_id", "text")
     out = prefix_tokens.prefix_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), budget=TOKEN_LIMIT, keep_steps=False)
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "fit_chars")
 
 
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Word statistics and the verdict of the quality rules on every document."""
-    return quality_rules.judge(read_table(spark, folder, "documents")).drop("row_key")
+    return quality_rules.judge(_documents(spark, folder)).drop("row_key")
 
 
 def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,7 +50,7 @@ def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_huffman_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document, written as Huffman-coded files in order of doc_id and read back."""
-    docs = read_table(spark, folder, "documents")
+    docs = _documents(spark, folder)
     ids = written(wordids.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json")), "huffman-ids")
     path = scratch_path(spark, "huffman")
     huffman.write(ids, path)
@@ -56,14 +60,14 @@ def op5_huffman_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of every document, whether both libraries agree on them, and whether decoding gives the text."""
-    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    docs = _documents(spark, folder).select("doc_id", "text")
     out = sentencepiece_tokenizers.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return out.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "parity", "round_trip")
 
 
 def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Licences of every document."""
-    return license_scan.scan(read_table(spark, folder, "documents"))
+    return license_scan.scan(_documents(spark, folder))
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
@@ -76,7 +80,7 @@ def pack_documents(docs: DataFrame) -> DataFrame:
 
 def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as pieces in as few sequences of 4096 tokens as can be."""
-    return pack_documents(read_table(spark, folder, "documents"))
+    return pack_documents(_documents(spark, folder))
 
 
 def op9_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
@@ -87,7 +91,7 @@ def op9_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Class and number of links of every document, by five-word shingles at a similarity of 0.8."""
-    return jaccard_join.join(read_table(spark, folder, "documents"))
+    return jaccard_join.join(_documents(spark, folder))
 
 
 QUERIES: dict[str, Query] = {
