@@ -1,5 +1,5 @@
 """Readers and writers."""
 
-from sparkloom.sources.tables import FORMATS, TABLES, bucketed, read, read_table, stream, write
+from sparkloom.sources.tables import FORMATS, TABLES, bucketed, read, read_table, register_views, stream, write
 
-__all__ = ["FORMATS", "TABLES", "bucketed", "read", "read_table", "stream", "write"]
+__all__ = ["FORMATS", "TABLES", "bucketed", "read", "read_table", "register_views", "stream", "write"]

@@ -21,6 +21,13 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def register_views(spark: SparkSession, folder: str) -> list[str]:
+    """Make every table of a folder known to spark.sql() under its own name."""
+    for name in TABLES:
+        read_table(spark, folder, name).createOrReplaceTempView(name)
+    return list(TABLES)
+
+
 def read(spark: SparkSession, path: str, form: str, schema: T.StructType | None = None, **options: str) -> DataFrame:
     """A dataset of any of FORMATS. Text formats want a schema: inferring one reads all data once more."""
     if form not in FORMATS:

@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from sparkloom import operators as O
-from sparkloom.functions import bucket, json_int, safe_divide, word_count
+from sparkloom.functions import bucket, extensions, json_int, safe_divide, word_count
 
 
 def at(minute):
@@ -71,3 +71,12 @@ def test_columns(spark):
     df = spark.createDataFrame([(" a  bé\tc\n", '{"k": 3}', 7.5), ("", "no json", 0.0), (None, None, None)], "t string, j string, x double")
     rows = df.select(word_count("t").alias("w"), json_int("j", "$.k").alias("k"), bucket(df.x, 2.0).alias("b"), safe_divide(df.x, df.x).alias("d")).collect()
     assert [tuple(r) for r in rows] == [(3, 3, 3, 1.0), (0, None, 0, None), (None, None, None, None)]
+
+
+def test_extensions(spark):
+    extensions.register(spark)
+    df = spark.createDataFrame([("e\u0301", 1.0), (None, 2.0), ("a", None), ("", 100.0)], "s string, x double")
+    assert [r[0] for r in df.select(extensions.nfc("s")).collect()] == ["\u00e9", None, "a", ""]
+    assert df.agg(extensions.trimmed_mean("x")).first()[0] == 103 / 3
+    assert [tuple(r) for r in spark.sql("SELECT * FROM bands(0D, 5D, 2D)").collect()] == [(0, 2), (2, 4), (4, 5)]
+    assert spark.sql("SELECT * FROM bands(0D, 5D, 0D)").count() == 0

@@ -2,7 +2,7 @@
 
 import pytest
 
-from sparkloom.sources import FORMATS, bucketed, read, read_table, write
+from sparkloom.sources import FORMATS, bucketed, read, read_table, register_views, sequence, write
 from tests.compare import SMALL
 
 
@@ -33,3 +33,16 @@ def test_wrong_names(spark, tmp_path):
         read_table(spark, SMALL, "nowhere")
     with pytest.raises(ValueError):
         read(spark, str(tmp_path), "csv")
+
+
+def test_sql_over_views(spark):
+    register_views(spark, SMALL)
+    got = spark.sql("SELECT r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+    assert got.count() == 5 and sum(r.n for r in got.collect()) == 25
+
+
+def test_source_in_python(spark):
+    sequence.register(spark)
+    df = spark.read.format("sequence").option("start", 3).option("end", 20).option("partitions", 4).load()
+    assert sorted(r.id for r in df.collect()) == list(range(3, 20)) and df.rdd.getNumPartitions() == 4
+    assert spark.read.format("sequence").option("end", 0).load().count() == 0
