@@ -4,12 +4,20 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from sparkloom.llm import jaccard_join as J
 from sparkloom.llm import queries as Q
 from tests.compare import SMALL, duck_rows, rows_of
 
 
+MANY = 1 << 40
+
+
+def nodes(df):
+    return J.sketches(df).filter("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("w"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+
+
 def all_pairs(rows):
     sets = []
     for _, t in rows:
@@ -50,12 +58,15 @@ def test_all_pairs(spark, monkeypatch):
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, node string")
     want = all_pairs(rows)
     assert got(df) == want
+    assert J.join(df.limit(0)).count() == 0
     monkeypatch.setattr(J, "SMALL", 4)
-    assert got(df) == want  # by splits and tight buckets
+    monkeypatch.setattr(J, "CHUNK_NODES", 7)
+    monkeypatch.setattr(J, "MAP_LEAST", MANY)
+    assert got(df) == want  # by splits, tight buckets in several cells, and rows found by a join
     monkeypatch.setattr(J, "TIGHT", 2.0)
-    monkeypatch.setattr(J, "DEPTH", 3)
-    assert got(df) == want  # by splits to the greatest depth
-    assert J.join(df.limit(0)).count() == 0
+    monkeypatch.setattr(J, "DEPTH", 2)
+    leaf = J.leaves(nodes(df)).toPandas()
+    assert leaf["size"].max() > 4  # split to the greatest depth
 
 
 def test_keeps_one_of_each_class(spark):
