@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.chunks import slices, string_buffers
-from sparkloom.llm.common import row_key, shuffle_parts, written
+from sparkloom.llm.common import discard, row_key, shuffle_parts, written
 from sparkloom.llm.wordhash import mix, word_hashes
 
 WIDTH = 5
@@ -118,6 +118,37 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(work, "node binary, shingles binary")
 
 
+#: Bits of the map that tells which documents' shingles are wanted, and how many wanted ones it serves.
+MAP_BITS, MAP_LEAST = 1 << 24, 8
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and shingles of the rows of docs whose doc_id is in wanted (column doc_id, nulls too), and perhaps of some others.
+
+    Up to MAP_BITS / MAP_LEAST wanted ids are broadcast as a map of bits (2 MB,
+    whatever the corpus), and no text is shuffled; beyond that rows are found by a join.
+    """
+    wanted = wanted.select(F.col("doc_id").alias("_id")).distinct()
+    if wanted.count() > MAP_BITS // MAP_LEAST:
+        return shingle_sets(docs.join(wanted, docs.doc_id.eqNullSafe(wanted._id), "left_semi"))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place("_id"), F.lit(64)).cast("int"))
+    words = wanted.groupBy(F.floor(place("_id") / 64).alias("at")).agg(F.bit_or(bit).alias("bits")).collect()
+    table = np.zeros(MAP_BITS // 64, np.int64)
+    for r in words:
+        table[r["at"]] = r["bits"]
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for b in batches:
+            at = b.column("at").to_numpy()
+            has = (known[at >> 6] >> (at & 63) & 1).astype(bool)
+            yield pa.RecordBatch.from_arrays([b.column("text").filter(pa.array(has))], ["text"])
+
+    return shingle_sets(docs.select(place("doc_id").alias("at"), "text").mapInArrow(work, "text string"))
+
+
 def _token(at: F.Column) -> F.Column:
     return F.substring(F.col("sig"), (4 * at + 1).cast("int"), F.lit(4))
 
@@ -126,7 +157,7 @@ def leaves(nodes: DataFrame) -> DataFrame:
     """leaf, size and node for every place of a node in a bucket that is compared; nodes (node, n, sig) are distinct."""
     tokens = [(SAMPLED * r + k) % SKETCH for r in range(runs_needed()) for k in range(SAMPLED)]
     each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), _token(F.lit(t)).alias("v")) for i, t in enumerate(tokens))))
-    live = nodes.select("node", "sig", each.alias("_p")).select(F.xxhash64("_p.i", "_p.v").alias("path"), "node", "sig")
+    live = nodes.select("node", "sig", each.alias("_p")).select(F.xxhash64("_p.i", "_p.v").alias("path"), "node")
     found = []
     for depth in range(DEPTH + 1):
         size = live.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -140,13 +171,14 @@ def leaves(nodes: DataFrame) -> DataFrame:
             break
         pick = [F.pmod(F.xxhash64("path", F.lit(7 * k + depth)), F.lit(SKETCH)) for k in range(SAMPLED)]
         child = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), _token(p).alias("v")) for k, p in enumerate(pick))))
-        split = big.select("path", "size", "node", "sig", child.alias("_c")).withColumn("child", F.xxhash64("path", "_c.k", "_c.v"))
+        split = big.join(nodes.select("node", "sig"), "node").select("path", "size", "node", child.alias("_c"))
+        split = written(split.select("path", "size", "node", F.xxhash64("path", "_c.k", "_c.v").alias("child")), "join-splits")
         # how often two of a bucket's nodes agree: a split would not part those that agree in most tokens
         parts = split.groupBy("path", "child").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("c"))
         agree = parts.groupBy("path").agg((F.sum(F.col("c").cast("double") * F.col("c")) / (SAMPLED * F.max("size").cast("double") * F.max("size"))).alias("agree"))
         tight = written(agree.filter(F.col("agree") >= TIGHT).select("path"), "join-tight")
         found.append(big.join(tight, "path", "left_semi").select(F.col("path").alias("leaf"), "size", "node"))
-        live = split.join(tight, "path", "left_anti").select(F.col("child").alias("path"), "node", "sig")
+        live = split.join(tight, "path", "left_anti").select(F.col("child").alias("path"), "node")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -330,9 +362,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates stars of neighbours (each node's larger neighbours, then its
     smaller ones, move to its least one) until nothing moves; each round is a
-    table in the shared folder, and only a count comes to the driver.
+    table in the shared folder, and only its checksum comes to the driver.
     """
     now = written(edges.select(F.greatest("node", "root").alias("u"), F.least("node", "root").alias("v")).filter("u <> v").distinct(), "join-edges")
+    # edges are distinct, so these three tell one set of them from another
+    same = (F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u")))
+    mark = now.agg(*same).first()
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
@@ -340,9 +375,11 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         to = large.join(small, "u")
         new = written(to.select("u", F.col("m").alias("v")).unionByName(to.select(F.col("v").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct(), "join-edges")
-        if new.exceptAll(now).isEmpty() and now.exceptAll(new).isEmpty():
-            break
+        mark, old = new.agg(*same).first(), mark
+        discard(now)
         now = new
+        if mark == old:
+            break
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
@@ -351,10 +388,12 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
     every = written(sketches(docs), "join-sketches")
     nodes = every.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("w"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     nodes = written(nodes, "join-nodes")
-    rows = written(candidates(nodes, leaves(nodes)), "join-candidates")
-    needed = nodes.join(rows.select("node").distinct(), "node", "left_semi").select(F.col("doc_id").alias("_id")).distinct()
-    some = docs.select("doc_id", "text").join(needed, docs.doc_id.eqNullSafe(needed._id), "left_semi")
-    sets = shingle_sets(some).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    found = leaves(nodes)
+    rows = written(candidates(nodes, found), "join-candidates")
+    discard(found)
+    needed = nodes.join(rows.select("node").distinct(), "node", "left_semi")
+    # of a node's rows the one of its least doc_id is wanted; others may come along
+    sets = sets_of(docs.select("doc_id", "text"), needed).groupBy("node").agg(F.first("shingles").alias("shingles"))
     linked = written(links(rows, sets), "join-links")
     return every, nodes, components(linked), linked
 
@@ -382,7 +421,7 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all columns, that stay when each class keeps one: its least doc_id (nulls last), then row_key.
+    """The rows of docs, with all columns whatever their names, that stay when each class keeps one: its least doc_id (nulls last), then row_key.
 
     Rows without words all stay. Of rows alike in id, text, language and source one stays.
     """
@@ -392,10 +431,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     stay = best.select("_b.doc_id", "_b.row_key").withColumn("_one", F.lit(True)).unionByName(every.filter("n = 0").select("doc_id", "row_key").distinct().withColumn("_one", F.lit(False)))
     many = every.groupBy("doc_id", "row_key").agg(F.count(F.lit(1)).alias("_c")).select(F.col("doc_id").alias("_i"), F.col("row_key").alias("_k"), "_c")
     stay = stay.join(many, stay.doc_id.eqNullSafe(many._i) & (stay.row_key == many._k)).select("_i", "_k", (F.col("_one") & (F.col("_c") > 1)).alias("_again"))
-    keyed = docs.withColumn("_row", row_key(docs))
-    rows = written(keyed.join(stay, keyed.doc_id.eqNullSafe(stay._i) & (keyed._row == stay._k)).drop("_i", "_k"), "join-kept")
-    once = rows.filter("_again").dropDuplicates(["doc_id", "_row"])
-    return rows.filter("not _again").unionByName(once).drop("_row", "_again")
+    keyed = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_own"), row_key(docs).alias("_row"))
+    rows = keyed.join(stay, keyed._own.eqNullSafe(stay._i) & (keyed._row == stay._k)).drop("_i", "_k")
+    rows = written(rows, "join-kept")
+    once = rows.filter("_again").dropDuplicates(["_own", "_row"])
+    return rows.filter("not _again").unionByName(once).select("_doc.*")
 
 
 def oracle_sql(documents: str = "documents") -> str:
