@@ -18,7 +18,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on labelled rows of the whole table, does not reject."""
     model = knn_quality.fit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
-    return knn_quality.score(docs, model).filter("predicted = 1").select(*docs.columns)
+    return knn_quality.accepted(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -149,6 +149,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(work, schema)
 
 
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that score() predicts to be of label 1, with all their columns, also those named as it names its own."""
+    own = {c: f"_kept_{c}" for c in docs.columns if c.lower() in ("score", "predicted")}
+    out = score(docs.withColumnsRenamed(own), model).filter("predicted = 1").drop("score", "predicted")
+    return out.withColumnsRenamed({v: k for k, v in own.items()})
+
+
 def held_out(key: str = "doc_id") -> F.Column:
     """Rows whose labels are never learnt from."""
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(3)) == 1, F.lit(False))

@@ -199,10 +199,10 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns."""
-    kept = judge(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).distinct()
-    keyed = docs.withColumn("_row", row_key(docs))
-    return keyed.join(kept, keyed.doc_id.eqNullSafe(kept._id) & (keyed._row == kept._key), "left_semi").drop("_row")
+    """The rows of docs that judge() keeps, with all their columns, whatever those are named."""
+    kept = judge(docs).filter("kept").select("doc_id", "row_key").distinct().toDF("_id", "_key")
+    keyed = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_own"), row_key(docs).alias("_row"))
+    return keyed.join(kept, keyed._own.eqNullSafe(kept._id) & (keyed._row == kept._key), "left_semi").select("_doc.*")
 
 
 def oracle_sql(documents: str = "documents") -> str:

@@ -143,3 +143,21 @@ def test_pipeline_keeps_clean_documents(spark):
     assert {r.quality for r in kept} == {1}
     placed = P.STAGES[-1][1](spark, now, SMALL)
     assert placed.select("doc_id").distinct().count() == now.count()
+
+
+def test_pipeline_edges(spark):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "s", 0), (1, "word " * 20_000, None, "s", 1), (1, docs.first().text, "en", None, 1)], docs.schema)
+    extra = {c: F.lit(i) for i, c in enumerate(("score", "predicted", "_row", "_doc", "_i", "node", "kept", "row_key"))}
+    now = docs.unionByName(docs.limit(5)).unionByName(odd).withColumns(extra)
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, now, SMALL).cache()
+        assert out.columns == now.columns and out.count() > 10, name
+        assert out.exceptAll(now).isEmpty() and out.select(*extra).distinct().count() == 1, name
+        assert stage(spark, now.limit(0), SMALL).count() == 0, name
+        now = out
+    assert P.STAGES[-1][1](spark, now, SMALL).count() >= now.count()
+    assert P.STAGES[-1][1](spark, odd, SMALL).filter("length >= 1").count() >= 4
+    assert P.STAGES[-1][1](spark, now.limit(0), SMALL).count() == 0
