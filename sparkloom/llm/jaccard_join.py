@@ -32,14 +32,14 @@ NUMERATOR, DENOMINATOR = 4, 5
 #: Minhash tokens of a node, and how many must agree for a pair to be compared exactly
 #: (fewer agree at the threshold in about one of 10^6 pairs).
 SKETCH, SKETCH_LEAST = 32, 14
-#: Tokens sampled at each split, bucket sizes that need no split, agreement that forbids one, greatest depth.
-SAMPLED, SMALL, TIGHT, DEPTH = 3, 128, 0.5, 8
+#: Tokens sampled at each split (a bucket of less agreement than 1 / SAMPLED shrinks by being split), bucket sizes that need no split, agreement that forbids one, greatest depth.
+SAMPLED, SMALL, TIGHT, DEPTH = 2, 128, 0.5, 8
 TARGET_RECALL = 0.99999
 #: Nodes, and shingles, of a bucket's chunk; a cell has two chunks.
 CHUNK_NODES, CHUNK_SHINGLES = 400, 400_000
 
 
-def runs_needed(target: float = TARGET_RECALL, depth: int = 2) -> int:
+def runs_needed(target: float = TARGET_RECALL, depth: int = 3) -> int:
     """Runs until a pair at the threshold is missed by all with a chance of at most 1 - target, if each splits `depth` times."""
     lost = 1 - (1 - (1 - NUMERATOR / DENOMINATOR) ** SAMPLED) ** depth
     return math.ceil(math.log(1 - target) / math.log(lost))
@@ -170,15 +170,15 @@ def leaves(nodes: DataFrame) -> DataFrame:
         if big.isEmpty():
             break
         pick = [F.pmod(F.xxhash64("path", F.lit(7 * k + depth)), F.lit(SKETCH)) for k in range(SAMPLED)]
-        child = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), _token(p).alias("v")) for k, p in enumerate(pick))))
-        split = big.join(nodes.select("node", "sig"), "node").select("path", "size", "node", child.alias("_c"))
-        split = written(split.select("path", "size", "node", F.xxhash64("path", "_c.k", "_c.v").alias("child")), "join-splits")
-        # how often two of a bucket's nodes agree: a split would not part those that agree in most tokens
-        parts = split.groupBy("path", "child").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("c"))
-        agree = parts.groupBy("path").agg((F.sum(F.col("c").cast("double") * F.col("c")) / (SAMPLED * F.max("size").cast("double") * F.max("size"))).alias("agree"))
+        split = big.join(nodes.select("node", "sig"), "node").select("path", "size", "node", *(_token(p).alias(f"v{k}") for k, p in enumerate(pick)))
+        split = written(split, "join-splits")
+        # how often two of a bucket's nodes agree, by one token: a split would not part those that agree in most
+        parts = split.groupBy("path", "v0").agg(F.max("size").cast("double").alias("size"), F.count(F.lit(1)).cast("double").alias("c"))
+        agree = parts.groupBy("path").agg((F.sum(F.col("c") * F.col("c")) / (F.max("size") * F.max("size"))).alias("agree"))
         tight = written(agree.filter(F.col("agree") >= TIGHT).select("path"), "join-tight")
         found.append(big.join(tight, "path", "left_semi").select(F.col("path").alias("leaf"), "size", "node"))
-        live = split.join(tight, "path", "left_anti").select(F.col("child").alias("path"), "node")
+        child = F.explode(F.array(*(F.xxhash64("path", F.lit(k), f"v{k}") for k in range(SAMPLED))))
+        live = split.join(tight, "path", "left_anti").select(child.alias("path"), "node")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

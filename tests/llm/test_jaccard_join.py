@@ -93,7 +93,7 @@ def test_intersections(monkeypatch):
 
 
 def test_runs_and_shingles():
-    assert J.runs_needed(0.99999) == 3
+    assert J.runs_needed(0.99999) == 6 and J.runs_needed(0.9, depth=1) == 1
     count, value = J.shingles(pa.array(["a b c d e f", "a b c d e", None, "", "a", "a b c d e f a b c d e"]))
     assert list(count) == [2, 1, 0, 0, 1, 6]
     assert value[2] in value[:2]
