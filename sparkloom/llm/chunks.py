@@ -120,7 +120,7 @@ class ChunkCache:
         encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]],
         kind: type,
         prepare: Callable[[pa.Array], pa.Array] | None = None,
-        most: int = 400_000,
+        most: int = 200_000,
     ) -> None:
         self.encode, self.kind, self.prepare, self.most = encode, kind, prepare, most
         self.number: dict[str, int] = {}
@@ -151,7 +151,7 @@ def encode_column(column: pa.Array | pa.ChunkedArray, cache: ChunkCache) -> tupl
     offsets, raw = string_buffers(column)
     if not len(raw):
         return np.zeros(len(offsets) - 1, np.int64), np.zeros(0, cache.kind)
-    starts = cut(offsets, raw)
+    starts = cut(offsets, raw, marks=True)
     codes, chunks = distinct(starts, raw)
     size, values = cache.store.take(cache.numbers(chunks)[codes])
     ends = np.concatenate([[0], np.cumsum(size)])

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import shuffle_parts
+from sparkloom.llm.common import settled, shuffle_parts
 from sparkloom.llm.wordids import packed
 
 MAGIC, LIMIT, BLOCK, SEGMENT_TOKENS = b"SLHB", 16, 1024, 1 << 20
@@ -156,7 +156,7 @@ def count_ids(ids: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
-    rows = ids.select("ids").mapInArrow(work, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = ids.select("ids").mapInArrow(settled(work), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(max((r.id for r in rows), default=0) + 1, np.int64)
     for r in rows:
         out[r.id] = r.n
@@ -199,7 +199,7 @@ def write(ids: DataFrame, path: str, key: str = "doc_id") -> None:
                 crc = [zlib.crc32(x) for x in bits_of(flat, offs - offs[0])]
                 yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), keys.cast(pa.int64()), pa.array(size), pa.array(crc, pa.int64()), packed(n_bytes, bits), marks], schema.names)
 
-    coded = ids.select(key, "ids").mapInArrow(code, schema)
+    coded = ids.select(key, "ids").mapInArrow(settled(code), schema)
     edges = bounds.value[0]
     at = F.size(F.filter(F.lit([int(x) for x in edges]), lambda x: x <= F.col(key))) if len(edges) else F.lit(0)
     tokens = {r.part: r.n for r in ids.groupBy(F.when(F.col(key).isNull(), 0).otherwise(at).alias("part")).agg(F.sum("n_tokens").alias("n")).collect()}
@@ -243,7 +243,7 @@ def write(ids: DataFrame, path: str, key: str = "doc_id") -> None:
             yield flush()
 
     placed = coded.repartitionById(max(1, len(edges) + 1), F.col("part")).sortWithinPartitions(F.col(key).asc_nulls_first(), "n_tokens", "crc")
-    placed.mapInArrow(gather, "part int, segment int, first_token long, n_docs long, image binary").write.option("compression", "none").parquet(f"{path}/segments")
+    placed.mapInArrow(settled(gather), "part int, segment int, first_token long, n_docs long, image binary").write.option("compression", "none").parquet(f"{path}/segments")
 
 
 def bits_of(flat: np.ndarray, offs: np.ndarray) -> Iterator[memoryview]:
@@ -267,4 +267,4 @@ def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
                 keys, known, size, ids = open_image(data.as_buffer(), *decoder.value)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, mask=~known), pa.array(first + np.cumsum(size) - size), pa.array(size), packed(size, ids)], schema.names)
 
-    return spark.read.parquet(f"{path}/segments").select("first_token", "image").mapInArrow(work, schema)
+    return spark.read.parquet(f"{path}/segments").select("first_token", "image").mapInArrow(settled(work), schema)

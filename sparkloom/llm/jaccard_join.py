@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.chunks import slices, string_buffers
-from sparkloom.llm.common import discard, row_key, shuffle_parts, written
+from sparkloom.llm.common import discard, row_key, settled, shuffle_parts, written
 from sparkloom.llm.wordhash import mix, word_hashes
 
 WIDTH = 5
@@ -102,7 +102,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 cols = [b.column("doc_id").cast(pa.int64()), b.column("row_key"), pa.array(nodes_of(count, value), pa.binary()), pa.array(count.astype(np.int64)), pa.array([r.tobytes() for r in sig], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row_key", "node", "n", "sig"])
 
-    return docs.select("doc_id", row_key(docs).alias("row_key"), "text").mapInArrow(work, "doc_id long, row_key long, node binary, n long, sig binary")
+    return docs.select("doc_id", row_key(docs).alias("row_key"), "text").mapInArrow(settled(work), "doc_id long, row_key long, node binary, n long, sig binary")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 parts = np.split(value.astype("<u8"), np.cumsum(count)[:-1]) if len(count) else []
                 yield pa.RecordBatch.from_arrays([pa.array(nodes_of(count, value), pa.binary()), pa.array([p.tobytes() for p in parts], pa.binary())], ["node", "shingles"])
 
-    return docs.select("text").mapInArrow(work, "node binary, shingles binary")
+    return docs.select("text").mapInArrow(settled(work), "node binary, shingles binary")
 
 
 #: Bits of the map that tells which documents' shingles are wanted, and how many wanted ones it serves.
@@ -146,7 +146,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             has = (known[at >> 6] >> (at & 63) & 1).astype(bool)
             yield pa.RecordBatch.from_arrays([b.column("text").filter(pa.array(has))], ["text"])
 
-    return shingle_sets(docs.select(place("doc_id").alias("at"), "text").mapInArrow(work, "text string"))
+    return shingle_sets(docs.select(place("doc_id").alias("at"), "text").mapInArrow(settled(work), "text string"))
 
 
 def _token(at: F.Column) -> F.Column:
@@ -310,7 +310,7 @@ def candidates(nodes: DataFrame, found: DataFrame) -> DataFrame:
             if len(i):
                 yield from t.select(["leaf", "node", "n", "w", "leaves"]).take(np.unique(np.concatenate([i, j]))).combine_chunks().to_batches()
 
-    return cells.mapInArrow(work, "leaf long, node binary, n long, w long, leaves array<long>").dropDuplicates(["leaf", "node"])
+    return cells.mapInArrow(settled(work), "leaf long, node binary, n long, w long, leaves array<long>").dropDuplicates(["leaf", "node"])
 
 
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -354,7 +354,7 @@ def links(rows: DataFrame, sets: DataFrame) -> DataFrame:
             has, node = np.flatnonzero(many), t.column("node").combine_chunks()
             yield pa.RecordBatch.from_arrays([node.take(pa.array(has)), node.take(pa.array(_roots(len(n), i, j)[has])), pa.array(many[has].astype(np.int64))], ["node", "root", "links"])
 
-    return cells.mapInArrow(work, "node binary, root binary, links long")
+    return cells.mapInArrow(settled(work), "node binary, root binary, links long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.llm.chunks import slices, string_buffers
+from sparkloom.llm.common import settled
 from sparkloom.llm.wordhash import word_hashes
 
 #: Bounds of the fit: labelled rows of each label, hashed terms, latent dimensions. With NEIGHBOURS they bound what is broadcast (about 1.3 MB).
@@ -109,19 +110,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 counts = term_counts(b.column("text"))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_y"), pa.array([r.tobytes() for r in counts], pa.binary())], ["doc_id", "y", "counts"])
 
-    got = rows.mapInArrow(work, "doc_id long, y int, counts binary").orderBy("doc_id").limit(2 * SAMPLE_PER_LABEL).collect()
+    got = rows.mapInArrow(settled(work), "doc_id long, y int, counts binary").orderBy("doc_id").limit(2 * SAMPLE_PER_LABEL).collect()
     y = np.array([r.y for r in got], np.float64)
-    x = np.frombuffer(b"".join(bytes(r.counts) for r in got), np.float32).reshape(-1, TERMS)
-    weight = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + np.float32(1)
-    if not len(x):
+    m = np.empty((len(got), TERMS), np.float32)
+    for k in range(len(got)):
+        m[k], got[k] = np.frombuffer(got[k].counts, np.float32), None  # one copy at a time
+    weight = (np.log((1 + len(m)) / (1 + (m > 0).sum(0))) + 1).astype(np.float32)
+    if not len(m):
         return Model(weight, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), y)
-    m = _unit(np.log1p(x) * weight).astype(np.float64)
-    basis = np.random.default_rng(20).standard_normal((TERMS, min(DIMENSIONS + 16, len(m))))
+    np.log1p(m, out=m)
+    m *= weight
+    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    basis = np.random.default_rng(20).standard_normal((TERMS, min(DIMENSIONS + 16, len(m)))).astype(np.float32)
     for _ in range(5):  # subspace iteration for the leading right singular vectors
-        basis, _ = np.linalg.qr(m.T @ (m @ basis))
-    _, _, vt = np.linalg.svd(m @ basis, full_matrices=False)
-    axes = (basis @ vt.T)[:, :DIMENSIONS].astype(np.float32)
-    return Model(weight, axes, _unit(m.astype(np.float32) @ axes), y)
+        basis = np.linalg.qr((m.T @ (m @ basis)).astype(np.float64))[0].astype(np.float32)
+    _, _, vt = np.linalg.svd((m @ basis).astype(np.float64), full_matrices=False)
+    axes = (basis @ vt.T.astype(np.float32))[:, :DIMENSIONS]
+    return Model(weight, axes, _unit(m @ axes), y)
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -146,7 +151,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 s = shared.value.score(term_counts(b.column("text")))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], schema.names)
 
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(settled(work), schema)
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:

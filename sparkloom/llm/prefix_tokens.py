@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.llm.chunks import ChunkCache, encode_column, slices, string_buffers
+from sparkloom.llm.common import settled
 
 # Fixed value: the split pattern of byte-level BPE with contractions.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -206,7 +207,7 @@ _CACHE: dict[str, ChunkCache] = {}
 
 def _cache(path: str) -> ChunkCache:
     if path not in _CACHE:
-        _CACHE[path] = ChunkCache(_encoder(PrefixCounter(path)), np.int16)
+        _CACHE[path] = ChunkCache(_encoder(PrefixCounter(path)), np.int16, most=400_000)
     return _CACHE[path]
 
 
@@ -254,7 +255,7 @@ def prefix_counts(df: DataFrame, tokenizer: str, text: str = "text", budget: int
                 names = [n for n, _ in added]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *names])
 
-    return df.mapInArrow(work, schema)
+    return df.mapInArrow(settled(work), schema)
 
 
 def count_at(steps: str, chars: int) -> F.Column:

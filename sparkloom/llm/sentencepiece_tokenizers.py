@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from sparkloom.llm.chunks import ChunkCache, cut, distinct, slices, string_buffers
+from sparkloom.llm.common import settled
 from sparkloom.llm.wordids import packed
 
 # The mark that stands for a space; piece kinds; model kinds.
@@ -196,7 +197,7 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
                 good = [pa.array(np.diff(x[bounds]) == 0) for x in bad]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tokens), packed(tokens, ids.astype("<u4")), *good], schema.names)
 
-    return df.mapInArrow(work, schema)
+    return df.mapInArrow(settled(work), schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -211,4 +212,4 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             texts = tok.decode_batch([np.frombuffer(r or b"", "<u4").tolist() for r in rows], skip_special_tokens=False)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([None if r is None else t for r, t in zip(rows, texts, strict=True)], pa.string())], schema.names)
 
-    return df.mapInArrow(work, schema)
+    return df.mapInArrow(settled(work), schema)

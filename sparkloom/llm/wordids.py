@@ -1,9 +1,9 @@
 """Token ids of whole texts by the tokenizers library, each distinct chunk encoded once.
 
 For tokenizers that drop white space and match no word across it. Texts are cut
-in front of spaces and newlines, so a chunk holds every special string whole
-(those have no white space) and is normalised as it would be in its text: neither
-NFC composition nor lower-casing by character looks across a space.
+in front of spaces, newlines and stops after letters, so a chunk holds every special string whole
+(those have neither white space nor stops) and is normalised as it would be in its text: neither
+NFC composition nor lower-casing by character looks across such a place.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from sparkloom.llm.chunks import ChunkCache, encode_column, slices
+from sparkloom.llm.common import settled
 
 _CACHE: dict[str, ChunkCache] = {}
 
@@ -48,8 +49,8 @@ def chunk_cache(path: str) -> ChunkCache:
                 sizes[own] = np.bincount(np.fromiter(e.word_ids, np.int64, len(e)), minlength=len(own))
                 parts.append(np.array(e.ids, np.uint32))
             other = np.flatnonzero(~plain)
-            for k in range(0, len(other), 20_000):
-                own = other[k : k + 20_000]
+            for k in range(0, len(other), 4_000):
+                own = other[k : k + 4_000]
                 rows = [e.ids for e in whole.encode_batch_fast([chunks[i] for i in own], add_special_tokens=False)]
                 sizes[own] = list(map(len, rows))
                 parts.append(np.fromiter((x for r in rows for x in r), np.uint32, int(sizes[own].sum())))
@@ -97,4 +98,4 @@ def encode_documents(df: DataFrame, tokenizer: str, key: str = "doc_id", text: s
                 size, ids = with_end(*encode_column(batch.column(text), cache), end)
                 yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(size), packed(size, ids.astype("<u4"))], [key, "n_tokens", "ids"])
 
-    return df.mapInArrow(work, schema)
+    return df.mapInArrow(settled(work), schema)
