@@ -62,6 +62,21 @@ CLASSES = ("reserved", "noncommercial", "copyleft", "permissive")
 _BREAK = "\x01"
 # A sentence ends at a stop before white space, and at a line end, but after a comma, before a capital, a digit, an empty line or a comment sign.
 _STOP, _LINE = r"([.!?;:])[ \t\n\r\f]+", r"([^, \n])[ \t\r\f]*\n[ \t\r\f]*([\p{Lu}\p{N}\n*#/|-])"
+# An end that known sentences may have inside them, too.
+_SOFT = f"[;:]{_BREAK}"
+
+
+def _known_sentences(text: F.Column) -> F.Column:
+    """The known sentences of a text, in order: whole pieces between ends, and pieces joined over soft ends.
+
+    The text becomes its words with one character between: a space, S (a soft end) or H (a hard one).
+    """
+    cut = F.lower(F.regexp_replace(F.regexp_replace(text, _STOP, f"$1{_BREAK}"), _LINE, f"$1{_BREAK}$2"))
+    # no capital is left but these marks
+    marked = F.concat(F.lit("H"), F.replace(F.regexp_replace(cut, _SOFT, "S"), F.lit(_BREAK), F.lit("H")), F.lit("H"))
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(marked, "[^a-z0-9SH]+", " "), " ?S[ S]*", "S"), "[ S]?H[ SH]*", "H")
+    longest = "|".join(s.replace(" ", "[ S]") for s in sorted(SENTENCES, key=len, reverse=True))
+    return F.transform(F.regexp_extract_all(plain, F.lit(f"[HS](?:{longest})(?=[HS])"), F.lit(0)), lambda m: F.translate(F.substring(m, 2, 1 << 20), "S", " "))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -70,17 +85,15 @@ def scan(docs: DataFrame) -> DataFrame:
     licenses: the SPDX names of the rules that matched, in the order of the rules,
     each once, joined by commas; license_class: the strictest of their classes.
     Both are empty strings where no rule matches; n_sentences counts the known
-    sentences. A rule matches where its identifiers follow each other with no
+    sentences. A known sentence may hold a stop at ';' or ':'. A rule matches where its identifiers follow each other with no
     other known sentence between; ordinary text between does not matter, and
     several licences, also repeated ones, are all found. A null text is empty;
     other columns are ignored; repeated rows each give a row; no rows, no result.
     """
     text = F.coalesce("text", F.lit(""))
     hint = reduce(lambda a, b: a | b, (F.contains(F.lower(text), F.lit(h)) for h in HINTS))
-    cut = F.regexp_replace(F.regexp_replace(text, _STOP, f"$1{_BREAK}"), _LINE, f"$1{_BREAK}$2")
     known = F.create_map(*(F.lit(x) for pair in SENTENCES.items() for x in pair))
-    plain = F.transform(F.split(cut, _BREAK), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    ids = F.filter(F.transform(plain, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
+    ids = F.transform(_known_sentences(text), lambda s: F.try_element_at(known, s))
     df = docs.select("doc_id", F.explode(F.array(F.when(hint, ids).otherwise(F.array().cast("array<string>")))).alias("_ids"))
     df = df.withColumn("n_sentences", F.size("_ids").cast("long"))
     # each identifier between commas of its own, so that one rule's match does not hide its neighbour
@@ -99,7 +112,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def oracle_sql(documents: str = "documents") -> str:
-    """DuckDB SQL for scan()."""
+    """DuckDB SQL for scan(), but for known sentences with an end inside them, which it does not find."""
     table = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
     steps, names, kinds = [], [], []
     for k, (sequence, name, kind) in enumerate(RULES):

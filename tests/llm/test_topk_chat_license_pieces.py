@@ -99,6 +99,72 @@ def test_licences(spark):
     assert L.scan(df.limit(0)).count() == 0
 
 
+# The official texts of the rules with several sentences, without titles and lists between.
+APACHE = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+"""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without modification,
+are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+list of conditions and the following disclaimer.
+
+3. Neither the name of the copyright holder nor the names of its contributors
+may be used to endorse or promote products derived from this software without
+specific prior written permission.
+"""
+#: A text, the licence, its class, and the number of known sentences.
+OFFICIAL = ((APACHE, "Apache-2.0", "permissive", 3), (MIT, "MIT", "permissive", 2), (GPL, "GPL-3.0-or-later", "copyleft", 2), (BSD, "BSD-3-Clause", "permissive", 2))
+
+
+def licences_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [(r.licenses, r.license_class, r.n_sentences) for r in L.scan(df).orderBy("doc_id").collect()]
+
+
+def unwrapped(text):
+    return "\n\n".join(" ".join(p.split()) for p in text.split("\n\n"))
+
+
+def test_official_licence_texts_of_unbroken_lines(spark):
+    assert licences_of(spark, [unwrapped(t) for t, *_ in OFFICIAL]) == [tuple(want) for _, *want in OFFICIAL]
+
+
+def test_ends_inside_known_sentences(spark):
+    later, none = GPL.split("\n\n")
+    got = licences_of(spark, [unwrapped(later), unwrapped(none), unwrapped(later).replace("software: you", "software. You"), "Released: under; the MIT License. Text", "xS all rights reserved. H All rights reserved"])
+    assert got == [("GPL-3.0-or-later", "copyleft", 1), ("", "", 1), ("", "", 0), ("MIT", "permissive", 1), ("", "", 0)]
+
+
 def test_pieces(spark):
     lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     rnd = random.Random(3)
