@@ -62,8 +62,8 @@ CLASSES = ("reserved", "noncommercial", "copyleft", "permissive")
 _BREAK = "\x01"
 # A sentence ends at a stop before white space, and at a line end, but after a comma, before a capital, a digit, an empty line or a comment sign.
 _STOP, _LINE = r"([.!?;:])[ \t\n\r\f]+", r"([^, \n])[ \t\r\f]*\n[ \t\r\f]*([\p{Lu}\p{N}\n*#/|-])"
-# An end that known sentences may have inside them, too.
-_SOFT = f"[;:]{_BREAK}"
+# An end that no known sentence has inside it: a stop but ';' and ':'. Comment signs that begin a line, which are no stops.
+_HARD, _SIGNS = f"[.!?]{_BREAK}", r"""(?m)^[ \t]*(?:[!%;:"'<>({][!%;:"'<>({*#/|-]*|REM|dnl)(?=[ \t\r\n]|$)"""
 
 
 def _known_sentences(text: F.Column) -> F.Column:
@@ -71,9 +71,10 @@ def _known_sentences(text: F.Column) -> F.Column:
 
     The text becomes its words with one character between: a space, S (a soft end) or H (a hard one).
     """
+    text = F.regexp_replace(text, _SIGNS, "#;")
     cut = F.lower(F.regexp_replace(F.regexp_replace(text, _STOP, f"$1{_BREAK}"), _LINE, f"$1{_BREAK}$2"))
     # no capital is left but these marks
-    marked = F.concat(F.lit("H"), F.replace(F.regexp_replace(cut, _SOFT, "S"), F.lit(_BREAK), F.lit("H")), F.lit("H"))
+    marked = F.concat(F.lit("H"), F.replace(F.regexp_replace(cut, _HARD, "H"), F.lit(_BREAK), F.lit("S")), F.lit("H"))
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(marked, "[^a-z0-9SH]+", " "), " ?S[ S]*", "S"), "[ S]?H[ SH]*", "H")
     longest = "|".join(s.replace(" ", "[ S]") for s in sorted(SENTENCES, key=len, reverse=True))
     return F.transform(F.regexp_extract_all(plain, F.lit(f"[HS](?:{longest})(?=[HS])"), F.lit(0)), lambda m: F.translate(F.substring(m, 2, 1 << 20), "S", " "))
@@ -85,7 +86,8 @@ def scan(docs: DataFrame) -> DataFrame:
     licenses: the SPDX names of the rules that matched, in the order of the rules,
     each once, joined by commas; license_class: the strictest of their classes.
     Both are empty strings where no rule matches; n_sentences counts the known
-    sentences. A known sentence may hold a stop at ';' or ':'. A rule matches where its identifiers follow each other with no
+    sentences. A known sentence may hold line ends, with or without
+    comment signs, and stops at ';' or ':'. A rule matches where its identifiers follow each other with no
     other known sentence between; ordinary text between does not matter, and
     several licences, also repeated ones, are all found. A null text is empty;
     other columns are ignored; repeated rows each give a row; no rows, no result.

@@ -159,6 +159,23 @@ def test_official_licence_texts_of_unbroken_lines(spark):
     assert licences_of(spark, [unwrapped(t) for t, *_ in OFFICIAL]) == [tuple(want) for _, *want in OFFICIAL]
 
 
+def test_official_licence_texts_wrapped_and_in_comments(spark):
+    signs = ("", "# ", "// ", " * ", "-- ", ";; ", "% ", "! ", "REM ", "dnl ", "| ")
+    texts = ["".join(f"{sign}{line}\n" for line in t.split("\n")) for t, *_ in OFFICIAL for sign in signs]
+    texts += [f"/*\n{t.replace(chr(10), chr(13) + chr(10))}*/" for t, *_ in OFFICIAL]
+    want = [tuple(w) for _, *w in OFFICIAL for _ in signs] + [tuple(w) for _, *w in OFFICIAL]
+    assert licences_of(spark, texts) == want
+
+
+def test_sentences_over_line_ends(spark):
+    got = licences_of(spark, [
+        "Released under the\nMIT License.", "This work is licensed under the GNU\nGeneral Public License, version 3.", "It is not\nReleased under the\nMIT License",
+        "released under the.\nMIT License", "not released under the\nMIT License", "-\n" * 100_000 + "Released under the" + "\n-" * 100_000 + "\nMIT License",
+    ])
+    mit = ("MIT", "permissive", 1)
+    assert got == [mit, ("GPL-3.0-only", "copyleft", 1), mit, ("", "", 0), ("", "", 0), mit]
+
+
 def test_ends_inside_known_sentences(spark):
     later, none = GPL.split("\n\n")
     got = licences_of(spark, [unwrapped(later), unwrapped(none), unwrapped(later).replace("software: you", "software. You"), "Released: under; the MIT License. Text", "xS all rights reserved. H All rights reserved"])
