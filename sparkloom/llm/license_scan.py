@@ -36,8 +36,8 @@ SENTENCES = {
     "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc-4",
     "all rights reserved": "all-reserved",
 }
-# Every known sentence has one of these words, so a text without any has none.
-HINTS = ("licens", "rights reserved", "permi", "redistribut", "warrant")
+# Every known sentence has one of these, each within a word, so a text without any has none.
+HINTS = ("licens", "reserved", "permi", "redistribut", "warrant")
 # Ordered rules: a sequence of identifiers, the licence's SPDX name (LicenseRef- where there is none), and its class.
 RULES = (
     (("apache-2-notice", "apache-2-comply", "apache-2-as-is"), "Apache-2.0", "permissive"),

@@ -176,6 +176,12 @@ def test_sentences_over_line_ends(spark):
     assert got == [mit, ("GPL-3.0-only", "copyleft", 1), mit, ("", "", 0), ("", "", 0), mit]
 
 
+def test_hints_of_unusual_white_space(spark):
+    texts = [f"All{a}rights{b}reserved." for a in (" ", "\n", "\t", "\u00a0", ", ") for b in ("  ", "\n", "\t", "\u00a0", "\n# ", "-")]
+    assert licences_of(spark, texts) == [("LicenseRef-all-rights-reserved", "reserved", 1)] * len(texts)
+    assert all(h.isalpha() for h in L.HINTS)
+
+
 def test_ends_inside_known_sentences(spark):
     later, none = GPL.split("\n\n")
     got = licences_of(spark, [unwrapped(later), unwrapped(none), unwrapped(later).replace("software: you", "software. You"), "Released: under; the MIT License. Text", "xS all rights reserved. H All rights reserved"])
