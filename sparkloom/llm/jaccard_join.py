@@ -131,7 +131,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     wanted = wanted.select(F.col("doc_id").alias("_id")).distinct()
     if wanted.count() > MAP_BITS // MAP_LEAST:
         return shingle_sets(docs.join(wanted, docs.doc_id.eqNullSafe(wanted._id), "left_semi"))
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+    # as long on both sides, as sketches() gives ids: the hash of an int differs from that of the same long
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(MAP_BITS))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place("_id"), F.lit(64)).cast("int"))
     words = wanted.groupBy(F.floor(place("_id") / 64).alias("at")).agg(F.bit_or(bit).alias("bits")).collect()
     table = np.zeros(MAP_BITS // 64, np.int64)

@@ -80,6 +80,16 @@ def test_keeps_one_of_each_class(spark):
     assert J.keep_one(df.limit(0)).count() == 0
 
 
+def test_ids_of_other_types(spark):
+    rows = corpus()
+    want = all_pairs(rows)
+    for kind in ("int", "string"):
+        df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+        assert got(df) == want, kind
+        kept = J.keep_one(df)
+        assert kept.schema == df.schema and kept.count() == J.keep_one(df.withColumn("doc_id", F.col("doc_id").cast("long"))).count(), kind
+
+
 def test_against_sql(spark):
     assert rows_of(Q.op10_jaccard_join(spark, SMALL)) == duck_rows(J.oracle_sql())
 
