@@ -94,23 +94,27 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the labelled rows of labels (doc_id, quality; not those held out) and their texts.
 
     The sample is the SAMPLE_PER_LABEL ids of each label that come first by hash;
-    of an id labelled twice the lower label counts; rows without label or text's
-    row are left out. Only their term counts come to the driver (8 kB each).
+    of an id labelled twice the lower label counts, of an id with several rows the
+    text of least hash; rows without label or text's row are left out. Only their
+    term counts come to the driver (8 kB each).
     """
     one = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_y"))
     one = one.filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1)
     one = one.withColumn("_h", F.xxhash64("doc_id"))
     picked = [one.filter(F.col("_y") == y).orderBy("_h", "doc_id").limit(SAMPLE_PER_LABEL) for y in (0, 1)]
     chosen = picked[0].unionByName(picked[1]).select("doc_id", "_y")  # at most twice SAMPLE_PER_LABEL rows
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_t")).join(F.broadcast(chosen), "doc_id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in _blocks(whole):
                 counts = term_counts(b.column("text"))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_y"), pa.array([r.tobytes() for r in counts], pa.binary())], ["doc_id", "y", "counts"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_y"), b.column("_t"), pa.array([r.tobytes() for r in counts], pa.binary())], ["doc_id", "y", "hash", "counts"])
 
-    got = rows.mapInArrow(settled(work), "doc_id long, y int, counts binary").orderBy("doc_id").limit(2 * SAMPLE_PER_LABEL).collect()
+    counted = rows.mapInArrow(settled(work), "doc_id long, y int, hash long, counts binary")
+    # one row of each id, so that no id's repeats take the places of others
+    each = counted.groupBy("doc_id", "y").agg(F.min(F.struct("hash", "counts")).alias("_m")).select("doc_id", "y", "_m.counts")
+    got = each.orderBy("doc_id").limit(2 * SAMPLE_PER_LABEL).collect()
     y = np.array([r.y for r in got], np.float64)
     m = np.empty((len(got), TERMS), np.float32)
     for k in range(len(got)):

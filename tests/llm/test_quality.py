@@ -74,6 +74,18 @@ def test_classifier_edges(spark):
     assert knn_quality.score(docs.limit(0), knn_quality.fit(docs, labels)).count() == 0
 
 
+def test_repeated_ids_keep_their_place_only(spark, monkeypatch):
+    monkeypatch.setattr(knn_quality, "SAMPLE_PER_LABEL", 3)
+    learnt = [r.id for r in spark.range(40).filter(~knn_quality.held_out("id")).limit(6).collect()]
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(learnt)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(i, f"text {'of words ' * k}") for k, i in enumerate(learnt)], "doc_id long, text string")
+    again = spark.createDataFrame([(learnt[0], "b" * k) for k in range(20)] + [(learnt[1], None)], "doc_id long, text string")
+    one, many = knn_quality.fit(docs, labels), knn_quality.fit(docs.unionByName(again).unionByName(docs), labels)
+    assert list(one.labels) == list(many.labels) == [0, 1] * 3
+    turned = knn_quality.fit(docs.unionByName(again.orderBy(F.desc("text"))).repartition(3), labels)
+    assert np.allclose(abs(turned.vectors), abs(knn_quality.fit(again.unionByName(docs), labels).vectors), atol=1e-4)
+
+
 def test_votes_are_exact():
     rnd = np.random.default_rng(0)
     counts = rnd.integers(0, 3, (40, knn_quality.TERMS)).astype(np.float32)
