@@ -1,7 +1,8 @@
 """Cut texts where no tokenizer rule can see across, and encode each distinct chunk once.
 
 A chunk starts at every space or newline that follows a character which is not
-white space and, if asked for, at every stop or comma after an ASCII letter. The tokenizers served here never join a token, or look ahead or
+white space and, if asked for, at every ASCII mark (but those of MARKS_KEPT) after
+a letter of ASCII or Latin-1. The tokenizers served here never join a token, or look ahead or
 back, over such a place (each states why), so a text's tokens are those of its
 chunks in order. Arrow buffers are cut without a copy, distinct chunks are found
 by Arrow's hashing, and only those that the worker has not met are encoded.
@@ -9,18 +10,21 @@ by Arrow's hashing, and only those that the worker has not met are encoded.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from sparkloom.llm.wordhash import BASE, INVERSE, mix
+
+#: Marks that no cut is made at: they may belong to a contraction or stand inside a special string.
+MARKS_KEPT = b"'|>"
 _ASCII_SPACE = np.zeros(256, bool)
 _ASCII_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 _MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
-_MARK[list(b".,;:!?")] = True
-_LETTER[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
+_MARK[[b for b in range(33, 127) if not chr(b).isalnum() and b not in MARKS_KEPT]] = True
+_LETTER[[b for b in range(128) if chr(b).isalpha()]] = True
 #: Texts worked on at a time, in bytes, so that long texts do not pile up in memory.
 SLICE_BYTES = 5 << 20
 
@@ -59,14 +63,21 @@ def _wide_space_ends(raw: np.ndarray) -> np.ndarray:
 
 def cut(offsets: np.ndarray, raw: np.ndarray, at: tuple[int, ...] = (10, 32), marks: bool = False) -> np.ndarray:
     """Sorted chunk starts: every text's start and every place where a chunk may start."""
-    space = _ASCII_SPACE[raw]
-    if (raw >= 0xC2).any():
-        space = space | _wide_space_ends(raw)
+    space, wide = _ASCII_SPACE[raw], bool(len(raw)) and raw.max() >= 0xC2
+    if wide:
+        space |= _wide_space_ends(raw)
     start = np.zeros(len(raw) + 1, bool)
     if len(raw) > 1:
-        start[1:-1] = np.isin(raw[1:], at) & ~space[:-1]
+        begins = np.zeros(256, bool)
+        begins[list(at)] = True
+        start[1:-1] = begins[raw[1:]] & ~space[:-1]
         if marks:
-            start[1:-1] |= _MARK[raw[1:]] & _LETTER[raw[:-1]]
+            letter = _LETTER[raw[:-1]]
+            if wide:  # the second byte of a letter from U+00C0 to U+00FF, which all are but two signs
+                last = np.flatnonzero(raw[:-1] == 0xC3) + 1
+                last = last[last < len(letter)]
+                letter[last[(raw[last] != 0x97) & (raw[last] != 0xB7)]] = True
+            start[1:-1] |= _MARK[raw[1:]] & letter
     start[offsets] = True
     start[len(raw)] = False
     return np.flatnonzero(start)
@@ -108,11 +119,58 @@ class Ragged:
         return size, self.flat[at]
 
 
+def string_hashes(column: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string, by its bytes and its length."""
+    offsets, raw = string_buffers(column)
+    power, back = (np.full(len(raw) + 1, x, np.uint64) for x in (BASE, INVERSE))
+    power[0] = back[0] = 1
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * np.cumprod(power)[:-1], out=total[1:])
+    size = np.diff(offsets).astype(np.uint64)
+    return mix((total[offsets[1:]] - total[offsets[:-1]]) * np.cumprod(back)[offsets[:-1]] + size)
+
+
+class HashIndex:
+    """Rows by 64-bit hash, in one table of open addresses that is read and filled for whole arrays at a time."""
+
+    def __init__(self, most: int) -> None:
+        self.slot = np.full(1 << (2 * most).bit_length(), -1, np.int32)
+        self.hashes = np.zeros(most, np.uint64)
+        self.rows = 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The row of each hash, or -1."""
+        mask = len(self.slot) - 1
+        at, out = (hashes & np.uint64(mask)).astype(np.int64), np.full(len(hashes), -1, np.int64)
+        live = np.arange(len(hashes))
+        while len(live):
+            row = self.slot[at[live]]
+            same = (row >= 0) & (self.hashes[row] == hashes[live])
+            out[live[same]] = row[same]
+            live = live[(row >= 0) & ~same]
+            at[live] = (at[live] + 1) & mask
+        return out
+
+    def add(self, hashes: np.ndarray) -> None:
+        """Rows for the hashes, after those that are there."""
+        mask, rows = len(self.slot) - 1, np.arange(self.rows, self.rows + len(hashes))
+        self.hashes[rows] = hashes
+        at, live = (hashes & np.uint64(mask)).astype(np.int64), np.arange(len(hashes))
+        while len(live):
+            free = live[self.slot[at[live]] < 0]
+            self.slot[at[free]] = rows[free]  # of several that want a slot the last has it
+            live = live[self.slot[at[live]] != rows[live]]
+            at[live] = (at[live] + 1) & mask
+        self.rows += len(hashes)
+
+
 class ChunkCache:
     """What a worker has encoded: the first `most` distinct chunks stay, later ones last for one call.
 
     encode(list of chunks) returns their sizes and their values, one after another.
     prepare(distinct chunks) may map chunks that encode alike to one form first.
+    Forms are found by hash and compared with the form that is kept, so two of
+    one hash are not taken for each other: the later one is encoded at each call.
     """
 
     def __init__(
@@ -120,28 +178,35 @@ class ChunkCache:
         encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]],
         kind: type,
         prepare: Callable[[pa.Array], pa.Array] | None = None,
-        most: int = 200_000,
+        most: int = 600_000,
     ) -> None:
         self.encode, self.kind, self.prepare, self.most = encode, kind, prepare, most
-        self.number: dict[str, int] = {}
+        self.forms = pa.array([], pa.large_string())
+        self.index = HashIndex(most)
         self.store = Ragged(kind)
         self.kept = (0, 0)
 
     def numbers(self, chunks: pa.Array) -> np.ndarray:
         """Rows of self.store for the chunks, encoding those not met before."""
-        words = (self.prepare(chunks) if self.prepare else chunks).to_pylist()
+        forms = (self.prepare(chunks) if self.prepare else chunks).cast(pa.large_string())
         self.store.rows, self.store.used = self.kept
-        get = self.number.get
-        out = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        new = np.flatnonzero(out < 0)
-        if len(new):
-            fresh = {w: i for i, w in enumerate(dict.fromkeys(words[i] for i in new))}
+        hashes = string_hashes(forms)
+        out = self.index.find(hashes)
+        met = np.flatnonzero(out >= 0)
+        same = pc.equal(self.forms.take(pa.array(out[met])), forms.take(pa.array(met)))
+        out[met[~same.to_numpy(zero_copy_only=False)]] = -1
+        if len(new := np.flatnonzero(out < 0)):
+            fresh = forms.take(pa.array(new)).dictionary_encode()
+            code = fresh.indices.to_numpy(zero_copy_only=False)
             first = self.store.rows
-            sizes, values = self.encode(list(fresh))
+            sizes, values = self.encode(fresh.dictionary.to_pylist())
             self.store.extend(sizes, values)
-            out[new] = [first + fresh[words[i]] for i in new]
-            if room := max(0, min(self.most - len(self.number), len(fresh))):
-                self.number.update((w, first + i) for w, i in itertools.islice(fresh.items(), room))
+            out[new] = first + code
+            if room := max(0, min(self.most - len(self.forms), len(sizes))):
+                self.forms = pa.concat_arrays([self.forms, fresh.dictionary.slice(0, room)])
+                own = np.zeros(len(sizes), np.uint64)
+                own[code] = hashes[new]
+                self.index.add(own[:room])
                 self.kept = first + room, self.store.used - len(values) + int(sizes[:room].sum())
         return out
 

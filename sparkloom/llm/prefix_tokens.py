@@ -220,7 +220,7 @@ def prefix_counts(df: DataFrame, tokenizer: str, text: str = "text", budget: int
     (null without a budget). A null or empty text has no tokens, no bytes and an
     empty prefix_steps. Rows are kept as they are, repeated ones included; columns
     of df that bear one of the added names are replaced. Texts are cut in chunks
-    before white space and before stops after letters only, where a word of the
+    before white space and before marks after letters only, where a word of the
     pattern ends whatever follows, and no special string is cut. The work is by row: no shuffle, memory bounded by SLICE_BYTES or
     the longest text.
     """

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+BASE = 0x9E3779B97F4A7C15 | 1
+INVERSE = pow(BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -34,12 +34,12 @@ def word_bounds(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.nd
 def word_hashes(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How many words each text has, and the words' hashes, all in order."""
     starts, ends, n = word_bounds(offsets, raw)
-    power = np.full(len(raw) + 1, _BASE, np.uint64)
+    power = np.full(len(raw) + 1, BASE, np.uint64)
     power[0] = 1
     np.cumprod(power, out=power)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
-    back = np.full(len(raw) + 1, _INVERSE, np.uint64)
+    back = np.full(len(raw) + 1, INVERSE, np.uint64)
     back[0] = 1
     np.cumprod(back, out=back)
     return n, mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64))

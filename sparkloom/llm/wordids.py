@@ -1,13 +1,14 @@
 """Token ids of whole texts by the tokenizers library, each distinct chunk encoded once.
 
 For tokenizers that drop white space and match no word across it. Texts are cut
-in front of spaces, newlines and stops after letters, so a chunk holds every special string whole
-(those have neither white space nor stops) and is normalised as it would be in its text: neither
+in front of spaces, newlines and marks after letters, so a chunk holds every special string whole
+(no such place lies inside one) and is normalised as it would be in its text: neither
 NFC composition nor lower-casing by character looks across such a place.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -19,43 +20,83 @@ from pyspark.sql import types as T
 
 from sparkloom.llm.chunks import ChunkCache, encode_column, slices
 from sparkloom.llm.common import settled
+from sparkloom.llm.prefix_tokens import byte_alphabet
 
 _CACHE: dict[str, ChunkCache] = {}
 
 
+# The normaliser and the splitter that the short way of `_plain` is right for.
+_NORMALISER = ["NFC", "Replace", "Lowercase"]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words that the model gets at a time, as one text.
+_WORDS = 500
+
+
 def _prepare(chunks: pa.Array) -> pa.Array:
-    """Forms with the same ids: without outer spaces, ASCII letters small unless it may hold a special string."""
+    """Forms with the same ids: without outer spaces, and small letters in chunks of ASCII only that hold no special string.
+
+    Others stay as they are: NFC comes before lower-casing, and a capital need not compose with a mark where its small letter does.
+    """
     bare = pc.ascii_trim(chunks, " \n")
-    return pc.if_else(pc.match_substring(bare, "<|"), bare, pc.ascii_lower(bare))
+    whole = pc.or_(pc.match_substring(bare, "<|"), pc.invert(pc.string_is_ascii(bare)))
+    return pc.if_else(whole, bare, pc.ascii_lower(bare))
+
+
+def _plain(chunk: str) -> str | None:
+    """The chunk as a small word, if it is one word of the splitter and NFC changes nothing in it (as in all text below U+0300); else None."""
+    if chunk.isascii():
+        if chunk.isalpha():
+            return chunk.lower()
+        return chunk if chunk and not any(c.isalnum() or c <= " " or c == "\x7f" for c in chunk) else None
+    if chunk.isalpha() and max(chunk) < "\u0300":
+        small = chunk.lower()
+        return small if max(small) < "\u0300" else None
+    return None
+
+
+def _checked(path: str) -> None:
+    """Raise if the file's steps are not those that chunks and plain words are cut for."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    patterns = [p.get("pattern", {}).get("Regex") for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+    if steps != _NORMALISER or patterns != [_PATTERN, None] or spec["model"].get("end_of_word_suffix") is None:
+        raise ValueError(f"{path} has other steps than this encoder knows")
 
 
 def chunk_cache(path: str) -> ChunkCache:
     """This worker's cache for a tokenizer file."""
     if path not in _CACHE:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker for each core already
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        _checked(path)
         whole = Tokenizer.from_file(path)
         words = Tokenizer(whole.model)
+        words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        letters = {b: c for c, b in byte_alphabet().items()}
+        # a word's last token, and no other, ends in the suffix
+        suffix, vocab = whole.model.end_of_word_suffix, whole.get_vocab(with_added_tokens=False)
+        last = np.zeros(max(vocab.values()) + 1, bool)
+        last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+
+        def ids_of(texts: list[str], by: Tokenizer) -> list[np.ndarray]:
+            return [np.array(e.ids, np.uint32) for e in by.encode_batch_fast(texts, add_special_tokens=False)]
 
         def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            # what is one run of small ASCII letters passes normaliser and splitter unchanged
-            plain = np.fromiter((c.isascii() and c.isalpha() for c in chunks), bool, len(chunks))
+            small = [_plain(c) for c in chunks]
+            own, other = ([i for i, w in enumerate(small) if (w is None) == slow] for slow in (False, True))
             sizes, parts = np.zeros(len(chunks), np.int64), []
-            at = np.flatnonzero(plain)
-            for k in range(0, len(at), 20_000):
-                own = at[k : k + 20_000]
-                e = words.encode_batch([[chunks[i] for i in own]], is_pretokenized=True, add_special_tokens=False)[0]
-                sizes[own] = np.bincount(np.fromiter(e.word_ids, np.int64, len(e)), minlength=len(own))
-                parts.append(np.array(e.ids, np.uint32))
-            other = np.flatnonzero(~plain)
+            spelt = [w if (w := small[i]).isascii() else w.encode().decode("latin-1").translate(letters) for i in own]
+            if own:
+                parts += ids_of([" ".join(spelt[k : k + _WORDS]) for k in range(0, len(spelt), _WORDS)], words)
+                sizes[own] = np.diff(np.flatnonzero(last[np.concatenate(parts)]), prepend=-1)
             for k in range(0, len(other), 4_000):
-                own = other[k : k + 4_000]
-                rows = [e.ids for e in whole.encode_batch_fast([chunks[i] for i in own], add_special_tokens=False)]
-                sizes[own] = list(map(len, rows))
-                parts.append(np.fromiter((x for r in rows for x in r), np.uint32, int(sizes[own].sum())))
+                rows = ids_of([chunks[i] for i in other[k : k + 4_000]], whole)
+                sizes[other[k : k + 4_000]] = list(map(len, rows))
+                parts += rows
             flat = np.concatenate([*parts, np.zeros(0, np.uint32)])
-            order = np.concatenate([at, other])  # the parts' order; put back into that of the chunks
+            order = np.array(own + other, np.int64)  # the parts' order; put back into that of the chunks
             first = np.empty(len(chunks), np.int64)
             first[order] = np.cumsum(sizes[order]) - sizes[order]
             begin = np.cumsum(sizes) - sizes

@@ -10,22 +10,65 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from sparkloom.llm import huffman
+from sparkloom.llm import chunks, huffman
+from sparkloom.llm import queries as Q
 from sparkloom.llm.chunks import encode_column
 from sparkloom.llm.wordids import chunk_cache, encode_documents
+from tests.compare import SMALL
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-PARTS = ["a", "B", " ", "  ", "\n", "'", "s", "LL", "re", "1", "é", "é", "́", "日", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", " ", ".", "The", "tion", "　", "\t", "Σ", "ΟΔΟΣ", "ẞ", "İ", "\x85", "\x1f", "‍"]
+# Capitals whose small letters only compose with the mark that follows.
+CAPITALS = ["J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a"]
+PARTS = ["a", "B", " ", "  ", "\n", "'", "s", "LL", "re", "1", "é", "é", "́", "日", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", " ", ".", "The", "tion", "　", "\t", "Σ", "ΟΔΟΣ", "ẞ", "İ", "\x85", "\x1f", "‍", *CAPITALS, "#", "&&", "\u0308", "|", ">", "-", "_", "ª", "ÿ", "×", "÷", "É", "ñ"]
 
 
 def test_ids_are_the_librarys():
     rnd = random.Random(1)
-    texts = ["".join(rnd.choice(PARTS) for _ in range(rnd.randint(0, 14))) for _ in range(4000)]
+    texts = [*CAPITALS, *("".join(rnd.choice(PARTS) for _ in range(rnd.randint(0, 14))) for _ in range(9000))]
+    texts += ["".join(chr(rnd.choice([rnd.randint(32, 127), rnd.randint(160, 0x24F), rnd.randint(0x300, 0x36F), 32])) for _ in range(rnd.randint(1, 20))) for _ in range(6000)]
     size, ids = encode_column(pa.array(texts), chunk_cache(PATH))
     want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
     assert [list(x) for x in np.split(ids, np.cumsum(size)[:-1])] == want
 
 
+def test_hash_collisions_and_full_caches(monkeypatch):
+    """Chunks of one hash are not taken for each other, and what does not stay is encoded again."""
+    calls = []
+
+    def encode(words):
+        calls.append(list(words))
+        return np.array(list(map(len, words))), np.array([ord(c) for w in words for c in w])
+
+    for most, hashes in ((100, chunks.string_hashes), (2, chunks.string_hashes), (100, lambda x: np.zeros(len(x), np.uint64))):
+        monkeypatch.setattr(chunks, "string_hashes", hashes)
+        cache = chunks.ChunkCache(encode, np.int64, most=most)
+        for words in (["a", "bb", "a", ""], ["ccc", "bb"], ["d", "ccc", "a"], []):
+            size, values = cache.store.take(cache.numbers(pa.array(words, pa.string())))
+            assert [list(x) for x in np.split(values, np.cumsum(size)[:-1])][: len(words)] == [list(map(ord, w)) for w in words]
+
+
+def test_registered_ids_are_the_librarys(spark):
+    """op5, op8 and op2 as registered, on whole texts."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    lib, byte = Tokenizer.from_file(PATH), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {i: np.array([*lib.encode(t, add_special_tokens=False).ids, 1], "<u4") for i, t in docs.items()}
+    start = dict(zip(sorted(ids), np.cumsum([0, *(len(ids[i]) for i in sorted(ids))])))
+    got = Q.op5_huffman_ids(spark, SMALL).collect()
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got) == sorted((i, start[i], len(x), zlib.crc32(x.tobytes())) for i, x in ids.items())
+    placed = Q.op8_best_fit_packing(spark, SMALL).collect()
+    want = [(i, k, k * 4096, len(x[k * 4096 : k * 4096 + 4096]), zlib.crc32(x[k * 4096 : k * 4096 + 4096].tobytes())) for i, x in ids.items() for k in range(-(-len(x) // 4096))]
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in placed) == sorted(want)
+    full: dict[int, int] = {}
+    for r in sorted(placed, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == full.get(r.sequence_id, 0)
+        full[r.sequence_id] = r.offset + r.length
+    assert max(full.values()) <= 4096
+    counts = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in Q.op2_token_counts(spark, SMALL).collect()}
+    for i, t in docs.items():
+        n = len(byte.encode(t, add_special_tokens=False).ids)
+        assert counts[i] == (len(t.encode()), n, n > 1024)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 40), max_size=30), min_size=1, max_size=6), st.lists(st.integers(1, 10**6), min_size=41, max_size=41))
 def test_codes_round_trip(docs, counts):
