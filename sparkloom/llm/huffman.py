@@ -11,7 +11,6 @@ id, which is all that a canonical code needs.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -169,14 +168,16 @@ def write(ids: DataFrame, path: str, key: str = "doc_id") -> None:
     Nulls in key come first; rows of equal key by length, then by crc32 of ids.
     Ranges of keys come from approximate quantiles, and only bits are shuffled.
     Every range is written by one task, of about PART_TOKENS tokens or fewer, or
-    of a shuffle partition's share. An empty table has a code and no segments.
+    of a shuffle partition's share. A segment tells its first token within its
+    range; where the ranges begin is added up from the written segments, a number
+    for each range. An empty table has a code and no segments.
     """
     spark = ids.sparkSession
     counts = count_ids(ids)
     lengths = code_lengths(counts)
     spark.createDataFrame([(int(i), int(lengths[i]), int(counts[i])) for i in np.flatnonzero(lengths)], "id long, bits int, n long").coalesce(1).write.parquet(f"{path}/code")
     parts = max(shuffle_parts(spark), int(-(-counts.sum() // PART_TOKENS)))
-    cuts = ids.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 100 * parts).alias("c")).first().c if parts > 1 else []
+    cuts = ids.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], max(10_000, 20 * parts)).alias("c")).first().c if parts > 1 else []
     bounds = spark.sparkContext.broadcast((np.unique(np.array(cuts or [], np.int64)), lengths, canonical(lengths)))
     schema = T.StructType([T.StructField(n, t) for n, t in (("part", T.IntegerType()), (key, T.LongType()), ("n_tokens", T.LongType()), ("crc", T.LongType()), ("bits", T.BinaryType()), ("marks", T.BinaryType()))])
 
@@ -196,21 +197,14 @@ def write(ids: DataFrame, path: str, key: str = "doc_id") -> None:
                 part = np.searchsorted(edges, keys.fill_null(0).to_numpy(zero_copy_only=False), "right")
                 part[~keys.is_valid().to_numpy(zero_copy_only=False)] = 0
                 marks = packed(np.maximum(0, -(-size // BLOCK) - 1), inside[mark].astype("<u8"))
-                crc = [zlib.crc32(x) for x in bits_of(flat, offs - offs[0])]
-                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), keys.cast(pa.int64()), pa.array(size), pa.array(crc, pa.int64()), packed(n_bytes, bits), marks], schema.names)
-
-    coded = ids.select(key, "ids").mapInArrow(settled(code), schema)
-    edges = bounds.value[0]
-    at = F.size(F.filter(F.lit([int(x) for x in edges]), lambda x: x <= F.col(key))) if len(edges) else F.lit(0)
-    tokens = {r.part: r.n for r in ids.groupBy(F.when(F.col(key).isNull(), 0).otherwise(at).alias("part")).agg(F.sum("n_tokens").alias("n")).collect()}
-    base, so_far = {}, 0
-    for p in sorted(tokens):
-        base[p] = so_far
-        so_far += tokens[p]
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), keys.cast(pa.int64()), pa.array(size), b.column("crc"), packed(n_bytes, bits), marks], schema.names)
+
+    coded = ids.select(key, "ids", F.crc32("ids").alias("crc")).mapInArrow(settled(code), schema)
+    ranges = len(bounds.value[0]) + 1
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start, nth, held = None, 0, 0, []
-        names = ["part", "segment", "first_token", "n_docs", "image"]
+        names = ["part", "segment", "first_token", "n_docs", "n_tokens", "image"]
 
         def flush() -> pa.RecordBatch:
             nonlocal start, nth, held
@@ -218,9 +212,9 @@ def write(ids: DataFrame, path: str, key: str = "doc_id") -> None:
             keys, size = t.column(key), t.column("n_tokens").to_numpy()
             bits, marks = t.column("bits").to_pylist(), t.column("marks").to_pylist()
             data = image(keys.fill_null(0).to_numpy(), keys.is_valid().to_numpy(), size, np.array(list(map(len, bits))), np.frombuffer(b"".join(marks), "<u8"), b"".join(bits))
-            row = [[part], [nth], [start], [len(size)], [data]]
+            row = [[part], [nth], [start], [len(size)], [int(size.sum())], [data]]
             start, nth, held = start + int(size.sum()), nth + 1, []
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names)
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names)
 
         tokens = 0
         for batch in batches:
@@ -228,7 +222,6 @@ def write(ids: DataFrame, path: str, key: str = "doc_id") -> None:
                 continue
             if part is None:
                 part = batch.column("part")[0].as_py()
-                start = base[part]
             size = batch.column("n_tokens").to_numpy()
             a = 0
             while a < batch.num_rows:
@@ -242,14 +235,12 @@ def write(ids: DataFrame, path: str, key: str = "doc_id") -> None:
         if held:
             yield flush()
 
-    placed = coded.repartitionById(max(1, len(edges) + 1), F.col("part")).sortWithinPartitions(F.col(key).asc_nulls_first(), "n_tokens", "crc")
-    placed.mapInArrow(settled(gather), "part int, segment int, first_token long, n_docs long, image binary").write.option("compression", "none").parquet(f"{path}/segments")
-
-
-def bits_of(flat: np.ndarray, offs: np.ndarray) -> Iterator[memoryview]:
-    """Each document's ids as bytes."""
-    view = memoryview(np.ascontiguousarray(flat)).cast("B") if len(flat) else memoryview(b"")
-    return (view[a:b] for a, b in zip(offs[:-1], offs[1:], strict=True))
+    placed = coded.repartitionById(ranges, F.col("part")).sortWithinPartitions(F.col(key).asc_nulls_first(), "n_tokens", "crc")
+    out = placed.mapInArrow(settled(gather), "part int, segment int, first_token long, n_docs long, n_tokens long, image binary")
+    out.write.option("compression", "none").parquet(f"{path}/segments")
+    tokens = spark.read.parquet(f"{path}/segments").groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # one row for each range
+    begin = np.cumsum([0, *(r.n for r in tokens)])
+    spark.createDataFrame([(r.part, int(n)) for r, n in zip(tokens, begin, strict=False)], "part int, begin long").coalesce(1).write.parquet(f"{path}/ranges")
 
 
 def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
@@ -267,4 +258,6 @@ def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
                 keys, known, size, ids = open_image(data.as_buffer(), *decoder.value)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, mask=~known), pa.array(first + np.cumsum(size) - size), pa.array(size), packed(size, ids)], schema.names)
 
-    return spark.read.parquet(f"{path}/segments").select("first_token", "image").mapInArrow(settled(work), schema)
+    begin = F.broadcast(spark.read.parquet(f"{path}/ranges"))  # one row for each range of PART_TOKENS
+    placed = spark.read.parquet(f"{path}/segments").join(begin, "part").select((F.col("begin") + F.col("first_token")).alias("first_token"), "image")
+    return placed.mapInArrow(settled(work), schema)
