@@ -1,13 +1,15 @@
 """Exact top-k by inner product without random access (NRA).
 
-Each block of candidates has a sorted list for every component. For a query the
-lists are read in order of what they add to its score, the same number of
-entries of each at a time. A candidate's score lies between what was read of it
-plus the least, and plus the most, that its unread components can add; the most
-is what its list was last read at. Reading stops when as many candidates as
-asked for have a lower bound that no other candidate's upper bound reaches;
-the few that are left get their final scores by reading on in their lists only.
-All queries of a block are advanced together as matrix products.
+Each block of candidates has a sorted list for every component. The lists are
+read in slices, from both ends inwards, all to the same depth. What has been read
+of a candidate is a box: a component that was met is known, one that was not lies
+between the values last read at the two ends of its list. A query's score of a
+candidate then lies within centre . q plus or minus radius . |q|. The bar is the
+best of k lower bounds in this block and of k final scores in earlier blocks of
+the task; a candidate whose upper bound is under the bar is dropped, and a query
+is done with a block when no candidate is left, or when those left have been met
+in all lists, which makes their scores final. All queries of a block advance
+together as matrix products, until so few pairs are left that each goes for itself.
 
 Queries and candidates are both cut in blocks of bounded size, and every block
 of queries meets every block of candidates once, dealt evenly over tasks.
@@ -19,105 +21,151 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import shuffle_parts
+from sparkloom.llm.common import settled, shuffle_parts
 
 #: Vectors in a block of candidates and of queries.
 CANDIDATES, QUERIES = 4096, 512
-#: Shares of the lists that have been read when bounds are looked at.
-DEPTHS = (0.25, 0.5, 0.7, 0.85, 1.0)
+#: Shares of a list that have been read from each end when bounds are looked at; at the last all is read.
+DEPTHS = (0.28, 0.36, 0.42, 0.46, 0.5)
+#: Share of pairs that may still qualify under which they are looked at one by one.
+FEW = 0.05
+#: Pairs looked at one by one at a time.
+_PAIRS = 20_000
 
 
 class Lists:
-    """The sorted lists of a block of candidates, as each entry's rank from either end of its list."""
+    """The sorted lists of a block of candidates (rows of x), and what is known of the candidates at each depth of reading."""
 
     def __init__(self, x: np.ndarray) -> None:
-        self.x = x.astype(np.float64)
-        n = len(x)
-        order = np.argsort(self.x, axis=0, kind="stable")
-        rank = np.empty_like(order)
-        np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
-        self.up, self.sorted = rank, np.take_along_axis(self.x, order, axis=0)
-
-    def bounds(self, q: np.ndarray, read: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bound of each candidate's score (rows) for each query when `read` entries of each list are read.
-
-        A component of positive weight is read from the largest value down, one of negative weight from the least up.
-        """
-        n = len(self.x)
-        plus, minus = np.maximum(q, 0), np.minimum(q, 0)
-        top, low = self.up >= n - read, self.up < read
-        known = (self.x * top) @ plus.T + (self.x * low) @ minus.T
-        if read >= n:
-            return known, known
-        high_at, low_at = self.sorted[n - read], self.sorted[read - 1]
-        most = (~top * high_at) @ plus.T + (~low * low_at) @ minus.T
-        least = (~top * self.sorted[0]) @ plus.T + (~low * self.sorted[-1]) @ minus.T
-        return known + least, known + most
-
-
-def block_top(lists: Lists, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query number, candidate number and score of each query's k best in the block, ties to the smaller id; a query's own id is left out."""
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    n, open_ = len(ids), np.arange(len(queries))
-    for depth in DEPTHS:
+        self.n, self.width = x.shape
+        self.order = np.argsort(x, axis=0, kind="stable")
+        self.value = np.take_along_axis(x.astype(np.float64), self.order, axis=0)
+        self.known, self.met = np.zeros(x.shape), np.zeros(x.shape, bool)
+        self.boxes: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def entries(self, depth: int) -> int:
+        """Entries of each list that are read at a depth."""
+        return min(self.n, 2 * int(np.ceil(self.n * DEPTHS[depth])))
+
+    def box(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Centre and radius of each candidate's box; lists are read on where they were left."""
+        while len(self.boxes) <= depth:
+            now = self.entries(len(self.boxes)) // 2
+            last = self.entries(len(self.boxes) - 1) // 2 if self.boxes else 0
+            ends = [slice(last, now), slice(self.n - now, self.n - last)]
+            if DEPTHS[len(self.boxes)] >= 0.5:
+                ends = [slice(last, self.n - last)]
+            for part in ends:
+                np.put_along_axis(self.known, self.order[part], self.value[part], axis=0)
+                np.put_along_axis(self.met, self.order[part], True, axis=0)
+            low, high = self.value[max(now - 1, 0)], self.value[min(self.n - now, self.n - 1)]
+            centre = np.where(self.met, self.known, (low + high) / 2)
+            self.boxes.append((centre, np.where(self.met, 0.0, np.abs(high - low) / 2)))
+        return self.boxes[depth]
+
+
+def block_top(lists: Lists, queries: np.ndarray, k: int, bar: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Query and candidate numbers and scores of all pairs that may be among a query's k best, and how many entries each query read.
+
+    bar: scores that k candidates of each query have elsewhere (-inf: none). Every
+    candidate of the block that ties with or beats the k-th best of all is there.
+    """
+    n, q = lists.n, queries.astype(np.float64)
+    weight, bar, read = np.abs(q), bar.copy(), np.zeros(len(q), np.int64)
+    open_ = np.arange(len(q))
+    pairs: tuple[np.ndarray, np.ndarray] | None = None
+    score = np.zeros(0)
+    for depth in range(len(DEPTHS)):
         if not len(open_):
             break
-        read = max(1, int(np.ceil(n * depth)))
-        low, high = lists.bounds(queries[open_], read)
-        own = ids[:, None] == query_ids[open_][None]
-        low[own], high[own] = -np.inf, -np.inf
-        if n > k:
-            bar = np.partition(low, n - k, axis=0)[n - k]
+        centre, radius = lists.box(depth)
+        read[open_] = lists.entries(depth) * lists.width
+        if pairs is None:
+            middle, most = q[open_] @ centre.T, weight[open_] @ radius.T
+            if n >= k:
+                bar[open_] = np.maximum(bar[open_], np.partition(middle - most, n - k, axis=1)[:, n - k])
+            stay = middle + most >= bar[open_][:, None]
+            if depth < len(DEPTHS) - 1 and stay.mean() > FEW:
+                open_ = open_[stay.any(1)]
+                continue
+            at, c = np.nonzero(stay)
+            a, score, most = open_[at], middle[stay], most[stay]
         else:
-            bar = np.full(len(open_), -np.inf)
-        stay = (high >= bar) & ~own
-        many = stay.sum(0)
-        # a query is settled once those that can still qualify are few, or all is read
-        done = np.flatnonzero((many <= 8 * k) | (read >= n))
-        if len(done):
-            c, q = np.nonzero(stay[:, done])
-            q = open_[done[q]]
-            score = np.einsum("ij,ij->i", lists.x[c], queries[q])
-            order = np.lexsort((ids[c], -score, q))
-            c, q, score = c[order], q[order], score[order]
-            place = np.arange(len(q)) - np.searchsorted(q, q)
-            out.append((q[place < k], c[place < k], score[place < k]))
-        open_ = np.delete(open_, done)
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
-
-
-def _packed(vectors: DataFrame, rows: int, name: str) -> DataFrame:
-    """Blocks of at most `rows` vectors: <name>_ids and <name>_x (binary)."""
+            a, c = pairs
+            score, most = np.empty(len(a)), np.empty(len(a))
+            for i in range(0, len(a), _PAIRS):
+                own = slice(i, i + _PAIRS)
+                score[own] = np.einsum("ij,ij->i", q[a[own]], centre[c[own]])
+                most[own] = np.einsum("ij,ij->i", weight[a[own]], radius[c[own]])
+            stay = score + most >= bar[a]
+            a, c, score, most = a[stay], c[stay], score[stay], most[stay]
+        pairs = a, c
+        # a query goes on reading while one of those left is not met in all lists
+        open_ = np.unique(a[most > 0])
+    return (*pairs, score, read) if pairs else (*(np.zeros(0, np.int64),) * 2, score, read)
+
+
+class Best:
+    """The k best so far of each query of a block: scores and ids, ties to the smaller id."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.score = np.full((queries, k), -np.inf)
+        self.ids = np.full((queries, k), np.iinfo(np.int64).max)
+
+    def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        """Take candidates of these queries in."""
+        n, k = self.score.shape
+        own = np.repeat(np.arange(n), k)
+        query, ids, score = np.concatenate([own, query]), np.concatenate([self.ids.ravel(), ids]), np.concatenate([self.score.ravel(), score])
+        order = np.lexsort((ids, -score, query))
+        query, ids, score = query[order], ids[order], score[order]
+        first = np.arange(len(query)) - np.searchsorted(query, query) < k
+        self.score, self.ids = score[first].reshape(n, k), ids[first].reshape(n, k)
+
+
+def _packed(vectors: DataFrame, rows: int, name: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """Blocks of at most `rows` vectors of one length: width, <name>_x and <name>_<c> (binary) for id and the columns `more`, all of longs."""
+    columns = ("id", *more)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[np.ndarray] = []
-        xs: list[np.ndarray] = []
+        held: dict[int, list[np.ndarray]] = {}
+        many = 0
 
-        def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal ids, xs
-            while (held := sum(map(len, ids))) >= rows or (last and held):
-                i, x = np.concatenate(ids), np.concatenate(xs)
-                ids, xs = [i[rows:]], [x[rows:]]
-                yield pa.RecordBatch.from_arrays([pa.array([i[:rows].tobytes()], pa.binary()), pa.array([x[:rows].astype("<i8").tobytes()], pa.binary())], [f"{name}_ids", f"{name}_x"])
+        def block(width: int, part: np.ndarray) -> pa.RecordBatch:
+            cols = [np.ascontiguousarray(x).astype("<i8").tobytes() for x in (part[:, len(columns) :], *part.T[: len(columns)])]
+            return pa.RecordBatch.from_arrays([pa.array([width], pa.int32()), *(pa.array([c], pa.binary()) for c in cols)], ["width", f"{name}_x", *(f"{name}_{c}" for c in columns)])
 
-        width = None
         for b in batches:
-            if not b.num_rows:
-                continue
             col = b.column("x")
-            flat = col.flatten().to_numpy().reshape(b.num_rows, -1)
-            if width not in (None, flat.shape[1]):
-                raise ValueError("vectors of different lengths")
-            width = flat.shape[1]
-            ids.append(b.column("id").to_numpy().astype("<i8"))
-            xs.append(flat)
-            yield from flush(False)
-        yield from flush(True)
-
-    return vectors.mapInArrow(work, f"{name}_ids binary, {name}_x binary")
+            sizes = pc.list_value_length(col).to_numpy(zero_copy_only=False)
+            flat, ends = col.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
+            keys = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in columns], 1) if b.num_rows else None
+            for width in np.unique(sizes):
+                own = np.flatnonzero(sizes == width)
+                x = flat[(ends - sizes)[own][:, None] + np.arange(width)]
+                held.setdefault(int(width), []).append(np.concatenate([keys[own], x], 1))
+                many += len(own)
+            for width in list(held):
+                part = np.concatenate(held.pop(width))
+                while len(part) >= rows:
+                    yield block(width, part[:rows])
+                    part, many = part[rows:], many - rows
+                if len(part):
+                    held[width] = [part]
+            while many >= 4 * rows:  # of very many lengths the commonest goes first
+                width = max(held, key=lambda w: len(held[w][0]))
+                part = held.pop(width)[0]
+                many -= len(part)
+                yield block(width, part)
+        for width, parts in held.items():
+            yield block(width, np.concatenate(parts))
+
+    schema = ", ".join(["width int", f"{name}_x binary", *(f"{name}_{c} binary" for c in columns)])
+    return vectors.select(*columns, "x").mapInArrow(settled(work), schema)
 
 
 def quantised(df: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
@@ -128,47 +176,72 @@ def quantised(df: DataFrame, key: str = "vec_id", vector: str = "embedding", sca
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = 0.02) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: each query's k vectors of the highest inner product but those of its own id.
+    """query_id, rank (from 1), vec_id, score: each query's k rows of the highest inner product but itself.
 
-    vectors and queries have id and x (array of long, one length). Ties go to the
-    smaller id, all if there are fewer; of equal ids each row counts. Scores are
+    vectors and queries have id and x (array of long); queries are rows of vectors.
+    It is rows that count, not ids: of equal ids each row is a query, and a candidate
+    of every query but itself. Ties go to the smaller id, all rows if there are fewer
+    than k; rows of another length than the query's are no candidates. Scores are
     exact while they fit 53 bits. Blocks meet in a grid of cells: a block of
     candidates is sent to a row of cells, a block of queries to a column, never
-    all vectors to one task, and only a block's k best of a query go on. `share`,
-    about how many queries there are to a vector, shapes the grid.
+    all vectors to one task, and only a task's best of a query go on. Equal query
+    rows are looked up once. `share`, about how many queries there are to a vector,
+    shapes the grid.
     """
     parts = shuffle_parts(vectors.sparkSession)
     # a grid of wide by high cells sends least when wide : high is as queries to candidates
     wide = max(1, round((parts * share) ** 0.5))
     high = -(-parts // wide)
-    right = _packed(queries.repartition(max(1, parts // 12)), QUERIES, "q").withColumn("wide", F.pmod(F.xxhash64("q_ids"), F.lit(wide)).cast("int"))
-    left = _packed(vectors, CANDIDATES, "c").withColumn("high", F.pmod(F.xxhash64("c_ids"), F.lit(high)).cast("int"))
+    # a row is left out as one of its id and its own score: k + 1 rows hold the k others, whichever of equal rows it is
+    own = F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + v * v)
+    asked = queries.groupBy("id", "x").agg(F.count(F.lit(1)).alias("copies")).withColumn("self", own)
+    asked = asked.withColumn("k1", F.xxhash64("id", "x")).withColumn("k2", F.xxhash64(F.lit(1), "x", "id"))
+    keys = ("copies", "self", "k1", "k2")
+    right = _packed(asked.coalesce(max(1, parts // 12)), QUERIES, "q", keys).withColumn("wide", F.pmod(F.xxhash64("q_id", "q_k1"), F.lit(wide)).cast("int"))
+    left = _packed(vectors, CANDIDATES, "c").withColumn("high", F.pmod(F.xxhash64("c_id", "c_x"), F.lit(high)).cast("int"))
     right = right.withColumn("high", F.explode(F.sequence(F.lit(0), F.lit(high - 1))))
     left = left.withColumn("wide", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))))
-    pairs = left.join(right, ["wide", "high"])
+    pairs = left.join(right, ["width", "wide", "high"])
+    sent = ["c_id", "c_x", "width", "q_x", *(f"q_{c}" for c in ("id", *keys))]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, lists, ids = None, None, None
+        best: dict[bytes, Best] = {}
         for b in batches:
             for r in range(b.num_rows):
-                ci, cx, qi, qx = (b.column(c)[r].as_buffer() for c in ("c_ids", "c_x", "q_ids", "q_x"))
-                if last is None or not last.equals(ci):
-                    ids = np.frombuffer(ci, "<i8")
-                    lists, last = Lists(np.frombuffer(cx, "<i8").reshape(len(ids), -1)), ci
-                qids = np.frombuffer(qi, "<i8")
-                q, c, s = block_top(lists, ids, np.frombuffer(qx, "<i8").reshape(len(qids), -1).astype(np.float64), qids, k)
-                yield pa.RecordBatch.from_arrays([pa.array(qids[q]), pa.array(ids[c]), pa.array(s.astype(np.int64))], ["query_id", "vec_id", "score"])
-
-    best = pairs.select("c_ids", "c_x", "q_ids", "q_x").mapInArrow(work, "query_id long, vec_id long, score long")
-    own = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                cell = {c: b.column(c)[r] for c in sent}
+                width = cell["width"].as_py()
+                if last is None or not last[0].equals(cell["c_id"].as_buffer()) or not last[1].equals(cell["c_x"].as_buffer()):
+                    last = cell["c_id"].as_buffer(), cell["c_x"].as_buffer()
+                    ids = np.frombuffer(last[0], "<i8")
+                    lists = Lists(np.frombuffer(last[1], "<i8").reshape(len(ids), width))
+                known = b"".join(cell[f"q_{c}"].as_py() for c in ("id", *keys))
+                x = np.frombuffer(cell["q_x"].as_buffer(), "<i8").reshape(-1, width)
+                own = best.setdefault(known, Best(len(x), k + 1))
+                q, c, score, _ = block_top(lists, x, k + 1, own.score[:, -1])
+                own.add(q, ids[c], score)
+        for known, own in best.items():
+            query = np.frombuffer(known, "<i8").reshape(len(keys) + 1, -1)
+            q, place = np.nonzero(own.score > -np.inf)
+            cols = [*(x[q] for x in query), own.ids[q, place], own.score[q, place].astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["query_id", *keys, "vec_id", "score"])
+
+    found = pairs.select(*sent).mapInArrow(settled(work), ", ".join(f"{c} long" for c in ("query_id", *keys, "vec_id", "score")))
+    group = Window.partitionBy("query_id", "k1", "k2")
+    ranked = found.withColumn("place", F.row_number().over(group.orderBy(F.desc("score"), "vec_id"))).filter(F.col("place") <= k + 1)
+    itself = F.min(F.when((F.col("vec_id") == F.col("query_id")) & (F.col("score") == F.col("self")), F.col("place"))).over(group)
+    others = ranked.withColumn("itself", F.coalesce(itself, F.lit(k + 1))).filter("place <> itself")
+    others = others.withColumn("rank", F.col("place") - (F.col("place") > F.col("itself")).cast("int"))
+    again = others.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return again.select("query_id", "rank", "vec_id", "score")
 
 
 def oracle_sql(k: int = 5, every: int = 50) -> str:
     """DuckDB SQL for the rows of top_k() over embeddings."""
     return f"""
-WITH e AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda v: CAST(floor(256 * CAST(v AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings
+WITH e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda v: CAST(floor(256 * CAST(v AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
-s AS (SELECT q.vec_id AS query_id, e.vec_id, CAST(list_dot_product(q.x, e.x) AS BIGINT) AS score FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % {every} = 0)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= {k}"""
+s AS (SELECT q.r, q.vec_id AS query_id, e.vec_id, CASE WHEN len(q.x) = len(e.x) THEN CAST(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * e.x[i])) AS BIGINT) END AS score
+  FROM e q JOIN e ON q.r <> e.r AND len(q.x) = len(e.x) WHERE q.vec_id % {every} = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) <= {k}"""
