@@ -61,8 +61,11 @@ def _wide_space_ends(raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def cut(offsets: np.ndarray, raw: np.ndarray, at: tuple[int, ...] = (10, 32), marks: bool = False) -> np.ndarray:
-    """Sorted chunk starts: every text's start and every place where a chunk may start."""
+def cut(offsets: np.ndarray, raw: np.ndarray, at: tuple[int, ...] = (10, 32), marks: bool | np.ndarray = False) -> np.ndarray:
+    """Sorted chunk starts: every text's start and every place where a chunk may start.
+
+    marks: whether to cut at marks after letters, or at which bytes (256 flags).
+    """
     space, wide = _ASCII_SPACE[raw], bool(len(raw)) and raw.max() >= 0xC2
     if wide:
         space |= _wide_space_ends(raw)
@@ -71,13 +74,13 @@ def cut(offsets: np.ndarray, raw: np.ndarray, at: tuple[int, ...] = (10, 32), ma
         begins = np.zeros(256, bool)
         begins[list(at)] = True
         start[1:-1] = begins[raw[1:]] & ~space[:-1]
-        if marks:
+        if marks is not False:
             letter = _LETTER[raw[:-1]]
             if wide:  # the second byte of a letter from U+00C0 to U+00FF, which all are but two signs
                 last = np.flatnonzero(raw[:-1] == 0xC3) + 1
                 last = last[last < len(letter)]
                 letter[last[(raw[last] != 0x97) & (raw[last] != 0xB7)]] = True
-            start[1:-1] |= _MARK[raw[1:]] & letter
+            start[1:-1] |= (_MARK if marks is True else marks)[raw[1:]] & letter
     start[offsets] = True
     start[len(raw)] = False
     return np.flatnonzero(start)

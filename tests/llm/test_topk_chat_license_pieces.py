@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import sentencepiece
 from pyspark.sql import functions as F
 
@@ -24,33 +26,73 @@ def test_registered_queries_against_sql(spark):
         assert rows_of(Q.QUERIES[name].run(spark, SMALL)) == duck_rows(Q.QUERIES[name].sql), name
 
 
+def by_row(rows, k, every=10):
+    """Each query row's best others, of rows (id, vector) with whole components."""
+    want = []
+    for a, (q, x) in enumerate(rows):
+        if q % every == 0:
+            best = sorted((-int(np.dot(x, y)), i) for b, (i, y) in enumerate(rows) if a != b and len(x) == len(y))[:k]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return sorted(want)
+
+
 def test_topk_edges(spark):
     rnd = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rnd.integers(-3, 4, 4)], 1) for i in range(60)]
-    rows += [(60, None, 1), (61, [1.0, None, 0.0, 0.0], 1), (62, [float("nan"), 0.0, 0.0, 0.0], 1), (63, [float("inf"), 0.0, 0.0, 0.0], 1), (None, [1.0] * 4, 1), (5, [3.0] * 4, 2)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
+    rows += [(60, None, 1), (61, [1.0, None, 0.0, 0.0], 1), (62, [float("nan"), 0.0, 0.0, 0.0], 1), (63, [float("inf"), 0.0, 0.0, 0.0], 1), (None, [1.0] * 4, 1), (64, [], 1)]
+    more = [(5, [3.0] * 4, 2), rows[10], rows[10], rows[10], (20, [1.0, -2.0, 0.5, 0.0], 2), (0, [0.0] * 4, 2), (0, [0.0] * 4, 3), rows[7]]
+    more += [(70 + i, [float(x) for x in rnd.integers(-3, 4, 6)], 1) for i in range(13)] + [(80, [1.0], 1)]
+    df = spark.createDataFrame(rows + more, "vec_id long, embedding array<double>, score int")
     v = K.quantised(df)
-    good = [(i, [int(np.floor(256 * x)) for x in e]) for i, e, _ in rows[:60] + rows[-1:]]
-    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in K.top_k(v, v.filter("id % 10 = 0"), 3).collect())
-    want = []
-    for q, x in good:
-        if q % 10 == 0:
-            best = sorted((-int(np.dot(x, y)), i) for i, y in good if i != q)[:3]
-            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert got == sorted(want)
-    few = v.filter("id < 3")
-    assert K.top_k(few, few, 5).count() == 6
+    good = [(i, [int(np.floor(256 * x)) for x in e]) for i, e, _ in rows[:60] + more]
+    for k in (1, 3):
+        got = sorted(tuple(r) for r in K.top_k(v, v.filter("id % 10 = 0"), k).collect())
+        assert got == by_row(good, k), k
+    few = v.filter("id < 3 and id > 0")
+    assert K.top_k(few, few, 5).count() == 2
     assert K.top_k(few.limit(0), few, 5).count() == 0 and K.top_k(few, few.limit(0), 5).count() == 0
 
 
-def test_bounds_hold():
+def test_topk_in_many_blocks(spark, monkeypatch):
+    rnd = np.random.default_rng(4)
+    rows = [(int(rnd.integers(0, 200)), [int(x) for x in rnd.integers(-9, 10, 5)]) for _ in range(700)] + [(50, [7, 7, 7, 7, 7])] * 60
+    v = spark.createDataFrame(rows, "id long, x array<long>").repartition(3)
+    monkeypatch.setattr(K, "CANDIDATES", 37)
+    monkeypatch.setattr(K, "QUERIES", 5)
+    assert sorted(tuple(r) for r in K.top_k(v, v.filter("id % 10 = 0"), 4).collect()) == by_row(rows, 4)
+
+
+def test_bounds_hold_and_reading_stops():
     rnd = np.random.default_rng(6)
-    x, q = rnd.integers(-200, 200, (300, 16)).astype(float), rnd.integers(-200, 200, (9, 16)).astype(float)
-    lists, exact = K.Lists(x), x @ q.T
-    for read in (1, 40, 150, 299, 300):
-        low, high = lists.bounds(q, read)
-        assert (low <= exact).all() and (exact <= high).all()
-    assert (low == exact).all()
+    x, q = rnd.integers(-200, 200, (300, 16)), rnd.integers(-200, 200, (9, 16)).astype(float)
+    lists, exact = K.Lists(x), q @ x.T
+    for depth in range(len(K.DEPTHS)):
+        centre, radius = lists.box(depth)
+        low, high = q @ centre.T - abs(q) @ radius.T, q @ centre.T + abs(q) @ radius.T
+        assert (low <= exact + 1e-6).all() and (exact <= high + 1e-6).all()
+    assert (low == exact).all() and (high == exact).all()
+    # a bar that no candidate reaches ends the reading at once, one that few reach ends it early
+    for bar, most in ((exact.max() * 20, K.DEPTHS[0] * 2), (np.sort(exact, axis=1)[:, -1], 1.0), (np.full(9, -np.inf), 1.0)):
+        a, c, score, read = K.block_top(lists, q, 6, np.broadcast_to(bar, 9))
+        assert (score == exact[a, c]).all() and read.max() <= most * x.size + 3 * 16
+        best = np.sort(exact, axis=1)[:, -6:] if np.isneginf(bar).all() else np.zeros((9, 0))
+        for k in range(9):
+            assert set(best[k]) <= set(score[a == k])
+
+
+def test_share_of_entries_read():
+    """On the supplied vectors, in blocks: scores are those of brute force, and not all entries are read."""
+    t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    x = np.floor(256 * np.array(t.column("embedding").to_pylist(), float)).astype(np.int64)
+    q = x[t.column("vec_id").to_numpy() % 50 == 0]
+    best, shares = K.Best(len(q), 6), []
+    for i in range(0, len(x), 500):
+        lists = K.Lists(x[i : i + 500])
+        a, c, score, read = K.block_top(lists, q, 6, best.score[:, -1])
+        best.add(a, i + c, score)
+        shares.append(read.mean() / lists.order.size)
+    assert (best.score == -np.sort(-(q @ x.T), axis=1)[:, :6]).all()
+    assert np.mean(shares) < 1 and shares[-1] < 0.995, shares
 
 
 def test_grammar_round_trips():
@@ -217,6 +259,53 @@ def test_unigram_models_are_rebuilt():
     assert tok.encode("ab  abb").ids == [2, 5, 6] and tok.decode([2, 5, 6]) == "ab abb"
 
 
+def field(number, value):
+    """A protobuf field: a number, or bytes."""
+    varint = lambda n: bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+    return varint(number << 3) + varint(value) if isinstance(value, int) else varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def piece(text, score, kind):
+    return field(1, field(1, text.encode()) + bytes([2 << 3 | 5]) + struct.pack("<f", score) + field(3, kind))
+
+
+def unigram(model):
+    """The model's pieces with scores as of logarithms of frequencies, no two sums alike, in a file of the unigram kind."""
+    rnd = random.Random(5)
+    made = b"".join(piece(p, s if k != S.NORMAL else -3 - np.log1p(i) - rnd.random() / 2, k) for i, (p, s, k) in enumerate(model.pieces))
+    return made + field(2, field(3, 1) + field(35, 1)) + field(3, field(4, 0))
+
+
+#: Fields appended to a file: protobuf takes later ones for the same message.
+OTHERS = {
+    "unigram": b"",
+    "unigram-user": piece("<turn>", 0.0, 4) + piece("b. c", 0.0, 4),
+    "user": piece("<turn>", 0.0, 4) + piece("[x]", 0.0, 4) + piece("zq", 0.0, 4),
+    "spanning": piece("of▁the", -5.0, 1),
+    "squeezing": field(3, field(4, 1)),
+}
+
+
+def test_other_models(spark, tmp_path):
+    """Models of real size: of the unigram kind, with user-defined pieces, with pieces across words, and that drop spaces."""
+    rnd = random.Random(11)
+    parts = ["of the", "<turn>", "[x]", "zq", "b. c", " word", "Straße", " ", "the", ".", "é", "日本", "x", "\n", "end."]
+    texts = [None, "", " a", *("".join(rnd.choice(parts) for _ in range(rnd.randint(1, 12))) for _ in range(600))]
+    with open(MODEL, "rb") as f:
+        own = f.read()
+    agree = {}
+    for name, more in OTHERS.items():
+        path = str(tmp_path / f"{name}.model")
+        with open(path, "wb") as f:
+            f.write((unigram(S.parse(own)) if name.startswith("unigram") else own) + more)
+        lib = sentencepiece.SentencePieceProcessor(model_file=path)
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        rows = S.encode(df, path).orderBy("doc_id").collect()
+        assert [list(np.frombuffer(r.ids, "<u4")) for r in rows] == [lib.encode(t or "") for t in texts], name
+        agree[name] = sum(r.parity for r in rows) / len(rows)
+    assert min(agree.values()) > 0.5 and agree["squeezing"] > 0.8 and min(agree[k] for k in ("unigram", "user", "spanning")) > 0.99, agree
+
+
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline as P
 
