@@ -8,56 +8,139 @@ functions only, by row, no shuffle.
 
 from __future__ import annotations
 
+import zlib
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_WARRANTY = "is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"
+_LATER = "{x} is free software you can redistribute it and or modify it under the terms of the gnu {g} public license as published by the free software foundation either version {v} of the license or at your option any later version"
 # Known licence sentences, normalised (small letters and digits, single spaces), and their identifiers.
-SENTENCES = {
-    "licensed under the apache license version 2 0": "apache-2-notice",
+TEXTS = {
     "licensed under the apache license version 2 0 the license": "apache-2-notice",
     "you may not use this file except in compliance with the license": "apache-2-comply",
+    "you may obtain a copy of the license at http www apache org licenses license 2 0": "apache-2-copy",
     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache-2-as-is",
-    "released under the mit license": "mit-notice",
-    "licensed under the mit license": "mit-notice",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit-condition",
-    "this work is licensed under the gnu general public license version 3": "gpl-3-notice",
-    "licensed under the gnu general public license version 3": "gpl-3-notice",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl-3-later",
-    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-no-warranty",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit-as-is",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc-as-is",
+    "this program " + _WARRANTY: "gpl-no-warranty",
+    "this library " + _WARRANTY: "lgpl-no-warranty",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "gpl-2-only",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2": "gpl-2-only",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3": "gpl-3-notice",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": "bsd-4-advertising",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-3-names",
-    "licensed under cc by 4 0": "cc-by-4",
-    "licensed under cc by sa 4 0": "cc-by-sa-4",
-    "licensed under cc by nc 4 0": "cc-by-nc-4",
-    "this work is licensed under a creative commons attribution 4 0 international license": "cc-by-4",
-    "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc-4",
+    "neither the name of the university nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-3-names",
+    "neither the name of the author nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-3-names",
+    "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission": "bsd-3-names",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "mpl-2-copy",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "mpl-2-copy",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "epl-2-notice",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "bsl-grant",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "this software is provided as is without any express or implied warranty": "zlib-as-is",
+    "this is free and unencumbered software released into the public domain": "unlicense-notice",
+    "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide": "cc0-notice",
+    "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work": "cc0-notice",
     "all rights reserved": "all-reserved",
+} | {
+    _LATER.format(x=x, g=g, v=v): f"{name}-{v.replace(' ', '.')}-later"
+    for x in ("this program", "this library")
+    for g, name, versions in (("general", "gpl", ("2", "3")), ("lesser general", "lgpl", ("2 1", "3")), ("affero general", "agpl", ("3",)))
+    for v in versions
 }
+# Names of licences in short notices and tags, the SPDX names, their classes, and the identifiers of such notices.
+NAMES = (
+    ("mit license", "MIT", "permissive", "mit-notice"),
+    ("apache license version 2 0", "Apache-2.0", "permissive", "apache-2-notice"),
+    ("isc license", "ISC", "permissive", "isc-notice"),
+    ("bsd 2 clause license", "BSD-2-Clause", "permissive", "bsd-2-notice"),
+    ("bsd 3 clause license", "BSD-3-Clause", "permissive", "bsd-3-notice"),
+    ("boost software license version 1 0", "BSL-1.0", "permissive", "bsl-notice"),
+    ("zlib license", "Zlib", "permissive", "zlib-notice"),
+    ("gnu general public license version 2", "GPL-2.0-only", "copyleft", "gpl-2-notice"),
+    ("gnu general public license version 3", "GPL-3.0-only", "copyleft", "gpl-3-notice"),
+    ("gnu lesser general public license version 2 1", "LGPL-2.1-only", "copyleft", "lgpl-2.1-notice"),
+    ("gnu lesser general public license version 3", "LGPL-3.0-only", "copyleft", "lgpl-3-notice"),
+    ("gnu affero general public license version 3", "AGPL-3.0-only", "copyleft", "agpl-3-notice"),
+    ("mozilla public license version 2 0", "MPL-2.0", "copyleft", "mpl-2-notice"),
+    ("eclipse public license version 2 0", "EPL-2.0", "copyleft", "epl-2-notice"),
+    ("unlicense", "Unlicense", "public-domain", "unlicense-notice"),
+)
+# Kinds of the 4.0 Creative Commons licences: the letters, the full name, the class.
+COMMONS = (
+    ("by", "attribution", "permissive"),
+    ("by sa", "attribution sharealike", "copyleft"),
+    ("by nc", "attribution noncommercial", "noncommercial"),
+    ("by nd", "attribution noderivatives", "noderivatives"),
+    ("by nc sa", "attribution noncommercial sharealike", "noncommercial"),
+    ("by nc nd", "attribution noncommercial noderivatives", "noncommercial"),
+)
+# How a short notice begins.
+BEGINNINGS = ("licensed under", "released under", "distributed under", "this work is licensed under", "this project is licensed under", "this software is licensed under", "this content is licensed under", "this text is licensed under")
+#: SPDX names of notices that say "or later", by identifier.
+LATER = {"gpl-2-later": "GPL-2.0-or-later", "gpl-3-later": "GPL-3.0-or-later", "lgpl-2.1-later": "LGPL-2.1-or-later", "lgpl-3-later": "LGPL-3.0-or-later", "agpl-3-later": "AGPL-3.0-or-later"}
+
+
+def _spoken(name: str) -> str:
+    return "".join(c if c.isalnum() else " " for c in name.lower())
+
+
+#: All known sentences: the texts, and the short notices and tags that the names make.
+SENTENCES = (
+    TEXTS
+    | {f"{begin} the {name}": key for begin in BEGINNINGS for name, _, _, key in NAMES}
+    | {f"{begin} cc {letters} 4 0": f"cc-{letters.replace(' ', '-')}-4" for begin in BEGINNINGS if "licensed" in begin for letters, _, _ in COMMONS}
+    | {f"this work is licensed under a creative commons {name} 4 0 international license": f"cc-{letters.replace(' ', '-')}-4" for letters, name, _ in COMMONS}
+    | {f"spdx license identifier {_spoken(name)}": key for _, name, _, key in NAMES}
+    | {f"spdx license identifier {_spoken(name)}": key for key, name in LATER.items()}
+    | {f"spdx license identifier cc {letters} 4 0": f"cc-{letters.replace(' ', '-')}-4" for letters, _, _ in COMMONS}
+)
 # Every known sentence has one of these, each within a word, so a text without any has none.
-HINTS = ("licens", "reserved", "permi", "redistribut", "warrant")
+HINTS = ("licens", "reserved", "permi", "redistribut", "warrant", "acknowledgement", "mozilla", "unencumbered", "neighboring")
 # Ordered rules: a sequence of identifiers, the licence's SPDX name (LicenseRef- where there is none), and its class.
 RULES = (
+    (("apache-2-notice", "apache-2-comply", "apache-2-copy", "apache-2-as-is"), "Apache-2.0", "permissive"),
     (("apache-2-notice", "apache-2-comply", "apache-2-as-is"), "Apache-2.0", "permissive"),
     (("apache-2-notice", "apache-2-comply"), "Apache-2.0", "permissive"),
+    (("mit-grant", "mit-condition", "mit-as-is"), "MIT", "permissive"),
     (("mit-grant", "mit-condition"), "MIT", "permissive"),
-    (("gpl-3-later", "gpl-no-warranty"), "GPL-3.0-or-later", "copyleft"),
+    (("isc-grant", "isc-as-is"), "ISC", "permissive"),
+    (("zlib-as-is", "zlib-grant"), "Zlib", "permissive"),
+    (("bsl-grant", "mit-as-is"), "BSL-1.0", "permissive"),
+    (("unlicense-notice", "mit-as-is"), "Unlicense", "public-domain"),
+    *(((key, f"{'lgpl' if key.startswith('lgpl') else 'gpl'}-no-warranty"), name, "copyleft") for key, name in LATER.items()),
+    (("gpl-2-only", "gpl-no-warranty"), "GPL-2.0-only", "copyleft"),
+    (("bsd-grant", "bsd-source", "bsd-binary", "bsd-4-advertising", "bsd-3-names"), "BSD-4-Clause", "permissive"),
+    (("bsd-grant", "bsd-source", "bsd-binary", "bsd-3-names"), "BSD-3-Clause", "permissive"),
+    (("bsd-grant", "bsd-source", "bsd-3-names"), "BSD-3-Clause", "permissive"),
     (("bsd-grant", "bsd-3-names"), "BSD-3-Clause", "permissive"),
-    (("apache-2-notice",), "Apache-2.0", "permissive"),
-    (("mit-notice",), "MIT", "permissive"),
+    (("bsd-grant", "bsd-source", "bsd-binary"), "BSD-2-Clause", "permissive"),
     (("mit-grant",), "MIT", "permissive"),
-    (("gpl-3-later",), "GPL-3.0-or-later", "copyleft"),
-    (("gpl-3-notice",), "GPL-3.0-only", "copyleft"),
+    (("isc-grant",), "ISC", "permissive"),
+    *(((key,), name, kind) for _, name, kind, key in NAMES),
+    *(((key,), name, "copyleft") for key, name in LATER.items()),
+    (("gpl-2-only",), "GPL-2.0-only", "copyleft"),
     (("bsd-grant",), "BSD-2-Clause", "permissive"),
-    (("cc-by-nc-4",), "CC-BY-NC-4.0", "noncommercial"),
-    (("cc-by-sa-4",), "CC-BY-SA-4.0", "copyleft"),
-    (("cc-by-4",), "CC-BY-4.0", "permissive"),
+    (("mpl-2-copy",), "MPL-2.0", "copyleft"),
+    (("bsl-grant",), "BSL-1.0", "permissive"),
+    (("zlib-grant",), "Zlib", "permissive"),
+    (("cc0-notice",), "CC0-1.0", "public-domain"),
+    *(((f"cc-{letters.replace(' ', '-')}-4",), f"CC-{letters.replace(' ', '-').upper()}-4.0", kind) for letters, _, kind in reversed(COMMONS)),
     (("all-reserved",), "LicenseRef-all-rights-reserved", "reserved"),
 )
 #: The class of a text with several licences is the first of these that one of them has.
-CLASSES = ("reserved", "noncommercial", "copyleft", "permissive")
+CLASSES = ("reserved", "noncommercial", "noderivatives", "copyleft", "permissive", "public-domain")
+#: Known sentences are looked up in one of so many small maps, chosen by their crc32.
+_SHELVES = 64
 
 _BREAK = "\x01"
 # A sentence ends at a stop before white space, and at a line end, but after a comma, before a capital, a digit, an empty line or a comment sign.
@@ -66,6 +149,18 @@ _STOP, _LINE = r"([.!?;:])[ \t\n\r\f]+", r"([^, \n])[ \t\r\f]*\n[ \t\r\f]*([\p{L
 _HARD, _SIGNS = f"[.!?]{_BREAK}", r"""(?m)^[ \t]*(?:[!%;:"'<>({][!%;:"'<>({*#/|-]*|REM|dnl)(?=[ \t\r\n]|$)"""
 
 
+def _alternatives(sentences: list[list[str]]) -> str:
+    """A pattern of word lists that share their beginnings, longer ones first; words have a space or a soft end between."""
+    heads: dict[str, list[list[str]]] = {}
+    for first, *rest in sentences:
+        heads.setdefault(first, []).append(rest)
+    out = []
+    for word in sorted(heads, key=len, reverse=True):
+        more = [r for r in heads[word] if r]
+        out.append(word + (f"(?:[ S](?:{_alternatives(more)}))" + "?" * (len(more) < len(heads[word])) if more else ""))
+    return "|".join(out)
+
+
 def _known_sentences(text: F.Column) -> F.Column:
     """The known sentences of a text, in order: whole pieces between ends, and pieces joined over soft ends.
 
@@ -76,7 +171,7 @@ def _known_sentences(text: F.Column) -> F.Column:
     # no capital is left but these marks
     marked = F.concat(F.lit("H"), F.replace(F.regexp_replace(cut, _HARD, "H"), F.lit(_BREAK), F.lit("S")), F.lit("H"))
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(marked, "[^a-z0-9SH]+", " "), " ?S[ S]*", "S"), "[ S]?H[ SH]*", "H")
-    longest = "|".join(s.replace(" ", "[ S]") for s in sorted(SENTENCES, key=len, reverse=True))
+    longest = _alternatives([s.split() for s in SENTENCES])
     return F.transform(F.regexp_extract_all(plain, F.lit(f"[HS](?:{longest})(?=[HS])"), F.lit(0)), lambda m: F.translate(F.substring(m, 2, 1 << 20), "S", " "))
 
 
@@ -94,23 +189,25 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     hint = reduce(lambda a, b: a | b, (F.contains(F.lower(text), F.lit(h)) for h in HINTS))
-    known = F.create_map(*(F.lit(x) for pair in SENTENCES.items() for x in pair))
-    ids = F.transform(_known_sentences(text), lambda s: F.try_element_at(known, s))
+    shelves = [[x for s, i in SENTENCES.items() if zlib.crc32(s.encode()) % _SHELVES == k for x in (s, i)] for k in range(_SHELVES)]
+    known = F.expr("array(" + ", ".join(f"cast(map({', '.join(map(repr, x))}) as map<string, string>)" for x in shelves) + ")")
+    ids = F.transform(_known_sentences(text), lambda s: F.try_element_at(F.get(known, F.pmod(F.crc32(s), F.lit(_SHELVES)).cast("int")), s))
     df = docs.select("doc_id", F.explode(F.array(F.when(hint, ids).otherwise(F.array().cast("array<string>")))).alias("_ids"))
     df = df.withColumn("n_sentences", F.size("_ids").cast("long"))
     # each identifier between commas of its own, so that one rule's match does not hide its neighbour
     left = F.concat(F.lit(","), F.array_join("_ids", ",,"), F.lit(","))
-    names, kinds = [], []
-    for sequence, name, kind in RULES:
-        want = "," + ",,".join(sequence) + ","
-        names.append(F.when(F.contains(left, F.lit(want)), F.lit(name)))
-        kinds.append(F.when(F.contains(left, F.lit(want)), F.lit(kind)))
-        if len(sequence) > 1:
-            df = df.withColumn(f"_m{len(names)}", names[-1]).withColumn(f"_c{len(names)}", kinds[-1]).withColumn(f"_left{len(names)}", F.replace(left, F.lit(want), F.lit("")))
-            names[-1], kinds[-1], left = F.col(f"_m{len(names)}"), F.col(f"_c{len(names)}"), F.col(f"_left{len(names)}")
-    df = df.withColumn("_n", F.array_distinct(F.array_compact(F.array(*names)))).withColumn("_k", F.array(*kinds))
-    strict = F.coalesce(*(F.when(F.array_contains(F.array_compact("_k"), c), F.lit(c)) for c in CLASSES), F.lit(""))
-    return df.select("doc_id", F.array_join("_n", ",").alias("licenses"), strict.alias("license_class"), "n_sentences")
+    rules = F.expr("array(" + ", ".join(f"named_struct('want', ',{',,'.join(sequence)},', 'name', ',{name}', 'kind', ',{kind}')" for sequence, name, kind in RULES) + ")")
+
+    def match(now: F.Column, rule: F.Column) -> F.Column:
+        hit = F.contains(now["left"], rule["want"])
+        more = lambda c: F.concat(now[c + "s"], F.when(hit, rule[c]).otherwise(F.lit(""))).alias(c + "s")
+        return F.struct(F.replace(now["left"], rule["want"], F.lit("")).alias("left"), more("name"), more("kind"))
+
+    found = F.when(F.size("_ids") > 0, F.aggregate(rules, F.struct(left.alias("left"), F.lit("").alias("names"), F.lit("").alias("kinds")), match))
+    df = df.select("doc_id", "n_sentences", F.explode(F.array(found)).alias("_f"))
+    names, kinds = (F.array_distinct(F.slice(F.split(F.coalesce(F.col(f"_f.{c}"), F.lit("")), ","), 2, len(RULES))) for c in ("names", "kinds"))
+    strict = F.coalesce(*(F.when(F.array_contains(kinds, c), F.lit(c)) for c in CLASSES), F.lit(""))
+    return df.select("doc_id", F.array_join(names, ",").alias("licenses"), strict.alias("license_class"), "n_sentences")
 
 
 def oracle_sql(documents: str = "documents") -> str:

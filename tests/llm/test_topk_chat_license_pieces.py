@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import sentencepiece
 from pyspark.sql import functions as F
@@ -136,6 +137,7 @@ def test_licences(spark):
         5: ("MIT,CC-BY-NC-4.0,LicenseRef-all-rights-reserved", "reserved", 4), 6: ("LicenseRef-all-rights-reserved", "reserved", 1),
     }
     assert all(any(h in s for h in L.HINTS) for s in L.SENTENCES)
+    assert {i for sequence, _, _ in L.RULES for i in sequence} == set(L.SENTENCES.values()) and {k for *_, k in L.RULES} == set(L.CLASSES)
     plan = L.scan(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
     assert L.scan(df.limit(0)).count() == 0
@@ -185,7 +187,7 @@ may be used to endorse or promote products derived from this software without
 specific prior written permission.
 """
 #: A text, the licence, its class, and the number of known sentences.
-OFFICIAL = ((APACHE, "Apache-2.0", "permissive", 3), (MIT, "MIT", "permissive", 2), (GPL, "GPL-3.0-or-later", "copyleft", 2), (BSD, "BSD-3-Clause", "permissive", 2))
+OFFICIAL = ((APACHE, "Apache-2.0", "permissive", 4), (MIT, "MIT", "permissive", 2), (GPL, "GPL-3.0-or-later", "copyleft", 2), (BSD, "BSD-3-Clause", "permissive", 3))
 
 
 def licences_of(spark, texts):
@@ -218,6 +220,31 @@ def test_sentences_over_line_ends(spark):
     assert got == [mit, ("GPL-3.0-only", "copyleft", 1), mit, ("", "", 0), ("", "", 0), mit]
 
 
+def test_every_sentence_with_random_space(spark):
+    """Each known sentence, with other white space, marks and capitals between its words, gives its own identifier's rule in Spark; within a line in SQL, too."""
+    rnd = random.Random(7)
+    between = (" ", "  ", "\t", " \n", "\u00a0", "-", ", ", " (", ") ", '" ', "\r\n")
+    say = lambda w, gaps: "".join(x + rnd.choice(gaps) for x in w[:-1]) + w[-1]
+    sentences = list(L.SENTENCES)
+    single = {sequence[0]: name for sequence, name, _ in reversed(L.RULES) if len(sequence) == 1}
+    want = [single.get(L.SENTENCES[s], "") for s in sentences]
+    texts = [f"Some words. {say(s.split(), between).capitalize()}. More words." for s in sentences]
+    got = licences_of(spark, texts)
+    assert [(a, n) for a, _, n in got] == [(w, 1) for w in want]
+    plain = [f"Some words. {say(s.split(), [g for g in between if chr(10) not in g])}. More words." for s in sentences]
+    table = pa.table({"doc_id": range(len(plain)), "text": plain})
+    spark_rows = L.scan(spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string"))
+    assert rows_of(spark_rows) == duck_rows(L.oracle_sql(), documents=table)
+
+
+def test_sequences_take_their_sentences(spark):
+    """Every rule's sentences in a row give that rule's licence alone."""
+    text_of = {i: s for s, i in reversed(L.SENTENCES.items())}
+    texts = [". ".join(text_of[i].capitalize() for i in sequence) + "." for sequence, _, _ in L.RULES]
+    got = licences_of(spark, texts)
+    assert [(a, k, n) for a, k, n in got] == [(name, kind, len(sequence)) for sequence, name, kind in L.RULES]
+
+
 def test_hints_of_unusual_white_space(spark):
     texts = [f"All{a}rights{b}reserved." for a in (" ", "\n", "\t", "\u00a0", ", ") for b in ("  ", "\n", "\t", "\u00a0", "\n# ", "-")]
     assert licences_of(spark, texts) == [("LicenseRef-all-rights-reserved", "reserved", 1)] * len(texts)
