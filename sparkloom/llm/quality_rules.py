@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import discard, row_key, written
+from sparkloom.llm.common import discard, written
 
 # What a word is, and the symbols that are counted.
-SPACES, SYMBOLS = r"[ \t-\r]+", "#*$%&|<>"
+SPACES, SYMBOLS, _BLANKS = r"[ \t-\r]+", "#*$%&|<>", " \t\n\x0b\f\r"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Statistic vectors that a stratum needs for estimates of its own.
 MIN_STRATUM = 50
@@ -27,6 +27,8 @@ CONSISTENCY = 2.112
 FLOORS = (0.08, 0.03, 0.12, 0.16)
 #: Random starts of about ELEMENTS vectors besides the start from all; steps before and after the choice.
 STARTS, ELEMENTS, FIRST_STEPS, LAST_STEPS = 4, 12, 2, 4
+#: Strata whose estimates are broadcast, at most (some 200 bytes for each start of a stratum); of more, vectors are joined with them by shuffling.
+MOST_STRATA = 20_000
 #: Distances are ranked in bins, so many for each factor e.
 BINS = 16
 
@@ -47,8 +49,8 @@ def _held(df: DataFrame, name: str, value: F.Column) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(value)))
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the word statistics of each row of docs, and base_failed.
+def text_statistics(docs: DataFrame, *carried: F.Column) -> DataFrame:
+    """doc_id, lang, source, the word statistics of each row of docs, base_failed, and the columns `carried`.
 
     A null text has no words and fails the base rules, as an empty one does. Null
     lang or source count as the empty string. Three-word windows are compared by
@@ -56,18 +58,18 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     meet with a chance of one in 10^11). Repeated rows each give a row.
     """
     text = F.coalesce("text", F.lit(""))
-    df = docs.select("doc_id", row_key(docs).alias("row_key"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), text.alias("_t"))
+    df = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), text.alias("_t"), *carried)
     df = df.withColumn("n_symbols", F.length("_t") - F.length(F.translate("_t", SYMBOLS, "")))
-    df = df.withColumn("word_chars", F.length(F.translate("_t", " \t\n\x0b\f\r", "")))
-    lines = F.filter(F.split("_t", "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\f\r", "")) > 0)
+    df = df.withColumn("word_chars", F.length(F.translate("_t", _BLANKS, "")))
+    lines = F.filter(F.split("_t", "\n"), lambda x: F.length(F.translate(x, _BLANKS, "")) > 0)
     df = _held(df, "_l", lines)
     df = df.withColumn("n_dup_lines", F.size("_l") - F.size(F.array_distinct("_l"))).drop("_l")
-    hashed = F.transform(F.filter(F.split("_t", SPACES), lambda x: x != ""), lambda x: F.xxhash64(x))
-    df = _held(df, "_w", hashed).drop("_t")
+    # of a text that begins and ends with a word every part of the split is a word
+    hashed = F.transform(F.split(F.btrim("_t", F.lit(_BLANKS)), SPACES), lambda x: F.xxhash64(x))
+    df = _held(df, "_w", F.when(F.col("word_chars") > 0, hashed).otherwise(F.array().cast("array<bigint>"))).drop("_t")
     df = df.withColumn("n_words", F.size("_w"))
-    last = F.greatest(F.lit(0), F.size("_w") - 2)
-    two = F.zip_with(F.slice("_w", 1, last), F.slice("_w", 2, last), lambda a, b: F.xxhash64(a, b))
-    df = _held(df, "_v", F.zip_with(two, F.slice("_w", 3, last), lambda a, b: F.xxhash64(a, b))).drop("_w")
+    first = F.slice("_w", 1, F.greatest(F.lit(0), F.size("_w") - 2))
+    df = _held(df, "_v", F.transform(first, lambda x, i: F.xxhash64(x, F.get("_w", i + 1), F.get("_w", i + 2)))).drop("_w")
     some = F.size(F.array_distinct("_v")) < F.size("_v")
     df = _held(df, "_s", F.when(some, F.array_sort(F.transform("_v", lambda x, i: F.struct(x.alias("x"), i.alias("i")))))).drop("_v")
     twice = F.zip_with(
@@ -77,7 +79,8 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     )
     df = df.withColumn("n_repeat_words", F.when(F.col("_s").isNull(), 0).otherwise(F.size(F.array_distinct(F.flatten(twice))))).drop("_s")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return df.select("doc_id", "row_key", "lang", "source", *(F.col(c).cast("long").alias(c) for c in _STATS)).withColumn("base_failed", failed)
+    kept = [c for c in df.columns if c not in ("doc_id", "lang", "source", *_STATS)]
+    return df.select("doc_id", "lang", "source", *(F.col(c).cast("long").alias(c) for c in _STATS), *kept).withColumn("base_failed", failed)
 
 
 # ---- the estimates, as SQL that any engine with window functions runs ----
@@ -168,41 +171,48 @@ def _verdict_sql(stats: str, strata: str, fits: str, extra: str = "") -> str:
     return f"SELECT doc_id, {extra.format(t='')}{', '.join(_STATS)}, base_failed, CASE WHEN base_failed THEN false ELSE coalesce(d2 <= {CUTOFF}, true) END AS kept FROM ({d2}) k_"
 
 
+def _judged(stats: DataFrame, carried: str = "") -> DataFrame:
+    """doc_id, `carried`, the word statistics, base_failed and kept of each row of a written table of text_statistics()."""
+    spark = stats.sparkSession
+    slim = stats.select("lang", "source", *_STATS, "base_failed")
+    strata = written(spark.sql(_strata_sql("{stats}").replace("VARCHAR(20)", "STRING"), stats=slim), "rules-strata")
+    small = (lambda df: F.broadcast(df)) if strata.count() <= MOST_STRATA else (lambda df: df)
+    hexed = "CAST(conv(substr({x}, 1, 8), 16, 10) AS DOUBLE) / 4294967296.0"
+    sql = _vectors_sql("{stats}", "{strata}", hexed).replace("VARCHAR(20)", "STRING")
+    vectors = written(spark.sql(sql, stats=slim, strata=small(strata)), "rules-vectors")
+    fits = written(spark.sql(_start_sql("{v}"), v=vectors), "rules-fit")
+    for step in range(FIRST_STEPS + LAST_STEPS):
+        now = spark.sql(_choice_sql("{p}"), p=fits).drop("place") if step == FIRST_STEPS else fits
+        old, fits = fits, written(spark.sql(_step_sql("{v}", "{p}"), v=vectors, p=small(now)), "rules-fit")
+        discard(old)
+    discard(vectors)
+    extra = f"{{t}}{carried}, " if carried else ""
+    return spark.sql(_verdict_sql("{stats}", "{strata}", "{p}", extra), stats=stats, strata=small(strata), p=small(fits))
+
+
 def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key, the word statistics, base_failed and kept of each row of docs (columns doc_id, text, lang, source).
+    """doc_id, the word statistics, base_failed and kept of each row of docs (columns doc_id, text, lang, source).
 
     A row is kept if it passes the base rules and its vector lies within CUTOFF of
     its stratum's estimate. The strata are (lang, source); those with fewer than
     MIN_STRATUM distinct vectors are pooled by lang, then over all; a pool that is
     still smaller rejects nothing. Only rows that pass the base rules are estimated
     from. Every such row counts, copies of a vector once, so no group of copies
-    can become the half that sets the norm. Each step sums over bins of distance,
-    so a hot stratum is added up where its rows are. An empty table gives none.
+    can become the half that sets the norm. Estimates are broadcast while there are
+    at most MOST_STRATA, and each step sums over bins of distance, so a hot stratum
+    is added up where its rows are. An empty table gives none.
     Rows of the same doc_id are judged each for itself; other columns are ignored.
     """
-    spark = docs.sparkSession
-    stats = written(text_statistics(docs), "rules-statistics")
-    strata = written(spark.sql(_strata_sql("{stats}").replace("VARCHAR(20)", "STRING"), stats=stats), "rules-strata")
-    hexed = "CAST(conv(substr({x}, 1, 8), 16, 10) AS DOUBLE) / 4294967296.0"
-    sql = _vectors_sql("{stats}", "{strata}", hexed).replace("VARCHAR(20)", "STRING")
-    vectors = written(spark.sql(sql, stats=stats, strata=strata), "rules-vectors")
-    fits = written(spark.sql(_start_sql("{v}"), v=vectors), "rules-fit")
-    for step in range(FIRST_STEPS + LAST_STEPS):
-        if step == FIRST_STEPS:
-            fits = spark.sql(_choice_sql("{p}"), p=fits).drop("place")
-        fits, old = written(spark.sql(_step_sql("{v}", "{p}"), v=vectors, p=fits), "rules-fit"), fits
-        if step != FIRST_STEPS:
-            discard(old)
-    return spark.sql(_verdict_sql("{stats}", "{strata}", "{p}", "{t}row_key, "), stats=stats, strata=strata, p=fits)
-
-
+    return _judged(written(text_statistics(docs), "rules-statistics"))
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns, whatever those are named."""
-    kept = judge(docs).filter("kept").select("doc_id", "row_key").distinct().toDF("_id", "_key")
-    keyed = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_own"), row_key(docs).alias("_row"))
-    return keyed.join(kept, keyed._own.eqNullSafe(kept._id) & (keyed._row == kept._key), "left_semi").select("_doc.*")
+    """The rows of docs that judge() keeps, with all their columns, whatever those are named.
+
+    Rows travel with their statistics, so no text is shuffled.
+    """
+    stats = written(text_statistics(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")), "rules-documents")
+    return _judged(stats, "_doc").filter("kept").select("_doc.*")
 
 
 def oracle_sql(documents: str = "documents") -> str:

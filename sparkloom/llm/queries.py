@@ -37,7 +37,7 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Word statistics and the verdict of the quality rules on every document."""
-    return quality_rules.judge(_documents(spark, folder)).drop("row_key")
+    return quality_rules.judge(_documents(spark, folder))
 
 
 def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:

@@ -56,6 +56,83 @@ def test_no_python_in_the_rules(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
 
 
+def plain_mcd(stats):
+    """Who is kept, by the definition, with numpy: rows (lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)."""
+    import hashlib
+
+    R = quality_rules
+    vector = lambda r: (np.log(r[3] / r[2]) - 1.6, np.sqrt(r[4] / r[3]), np.sqrt(r[5] / r[2]), np.sqrt(r[6] / r[2]))
+    good = [r for r in stats if not r[7]]
+    own: dict = {}
+    for r in set(r[:7] for r in good):
+        own.setdefault(r[:2], []).append(r)
+    pool: dict = {}
+    for (lang, _), rows in own.items():
+        if len(rows) < R.MIN_STRATUM:
+            pool[lang] = pool.get(lang, 0) + len(rows)
+    name = {k: f"s{len(k[0])}:{k[0]}{k[1]}" if len(v) >= R.MIN_STRATUM else f"l{k[0]}" if pool[k[0]] >= R.MIN_STRATUM else "*" for k, v in own.items()}
+    strata: dict = {}
+    for k, rows in own.items():
+        strata.setdefault(name[k], []).extend(rows)
+
+    def fit(x):
+        cov = np.cov(x.T, bias=True).reshape(4, 4) * R.CONSISTENCY + np.diag([f * f for f in R.FLOORS])
+        return x.mean(0), cov
+
+    def d2(x, mean, cov):
+        return np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+
+    def concentrate(x, mean, cov):
+        bins = np.floor(R.BINS * np.log(d2(x, mean, cov) + 1e-9))
+        nearer = np.array([(bins < b).sum() for b in bins])
+        return fit(x[2 * nearer < len(x)])
+
+    fits = {}
+    for key, rows in strata.items():
+        if key == "*" and len(rows) < R.MIN_STRATUM:
+            continue
+        x = np.array([vector(r) for r in rows])
+        u = np.array([int(hashlib.md5("|".join([key, *map(str, r[2:7])]).encode()).hexdigest()[:8], 16) / 2**32 for r in rows])
+        starts, width = [x], 1 / R.STARTS
+        for k in range(R.STARTS):
+            chosen = (u >= k * width) & (u < k * width + min(width, R.ELEMENTS / len(x)))
+            starts += [x[chosen]] if chosen.any() else []
+        found = [fit(s) for s in starts]
+        for _ in range(R.FIRST_STEPS):
+            found = [concentrate(x, *f) for f in found]
+        best = min(found, key=lambda f: round(np.linalg.slogdet(f[1])[1] / 2, 9))
+        for _ in range(R.LAST_STEPS):
+            best = concentrate(x, *best)
+        fits[key] = best
+    out = []
+    for r in stats:
+        f = None if r[7] else fits.get(name[r[:2]])
+        out.append(False if r[7] else True if f is None else bool(d2(np.array([vector(r)]), *f)[0] <= R.CUTOFF))
+    return out
+
+
+def test_against_plain_mcd(spark):
+    """The estimates and verdicts against numpy on the supplied documents, and on strata of their own, pooled by language and over all."""
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents")
+    few = docs.withColumn("source", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("r"), (F.col("doc_id") % 90).cast("string"))).otherwise(F.col("source")))
+    few = few.withColumn("lang", F.when(F.col("doc_id") % 50 == 1, F.concat(F.lit("x"), (F.col("doc_id") % 3).cast("string"))).otherwise(F.col("lang")))
+    for df in (docs, few, docs.unionByName(docs.filter("doc_id % 3 = 0")).limit(400)):
+        rows = quality_rules.judge(df).join(df.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).distinct(), "doc_id").collect()
+        stats = [(r.lang, r.source, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows]
+        assert [r.kept for r in rows] == plain_mcd(stats)
+        assert not all(r.kept or r.base_failed for r in rows)
+
+
+def test_estimates_are_broadcast(spark, monkeypatch):
+    """No vector or text is shuffled by its stratum; of more strata than MOST_STRATA the verdicts are the same."""
+    docs = read_table(spark, SMALL, "documents")
+    plan = quality_rules.keep(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    want = rows_of(quality_rules.judge(docs))
+    monkeypatch.setattr(quality_rules, "MOST_STRATA", 0)
+    assert rows_of(quality_rules.judge(docs)) == want
+
+
 def test_classifier_on_held_out(spark):
     folder = "/root/testdata/sf0.01"
     got = Q.op1_quality_classifier(spark, folder).join(read_table(spark, folder, "labels"), "doc_id").toPandas()
