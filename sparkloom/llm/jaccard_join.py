@@ -15,7 +15,7 @@ are far apart, all others are compared exactly by their shingles.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -118,36 +118,46 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(settled(work), "node binary, shingles binary")
 
 
-#: Bits of the map that tells which documents' shingles are wanted, and how many wanted ones it serves.
+#: Bits of a map that tells which rows are wanted (2 MB, whatever the corpus), and how many bits there must be for each wanted row.
 MAP_BITS, MAP_LEAST = 1 << 24, 8
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and shingles of the rows of docs whose doc_id is in wanted (column doc_id, nulls too), and perhaps of some others.
+def _in_map(wanted: DataFrame) -> Callable[[F.Column], F.Column] | None:
+    """A test of hashes, true for those of wanted (column h, long) and perhaps for some others; None if there are too many for the map.
 
-    Up to MAP_BITS / MAP_LEAST wanted ids are broadcast as a map of bits (2 MB,
-    whatever the corpus), and no text is shuffled; beyond that rows are found by a join.
+    The map is broadcast; only the hashes go to Python, rows stay in the JVM.
     """
-    wanted = wanted.select(F.col("doc_id").alias("_id")).distinct()
+    wanted = wanted.select("h").distinct()
     if wanted.count() > MAP_BITS // MAP_LEAST:
-        return shingle_sets(docs.join(wanted, docs.doc_id.eqNullSafe(wanted._id), "left_semi"))
-    # as long on both sides, as sketches() gives ids: the hash of an int differs from that of the same long
-    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(MAP_BITS))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place("_id"), F.lit(64)).cast("int"))
-    words = wanted.groupBy(F.floor(place("_id") / 64).alias("at")).agg(F.bit_or(bit).alias("bits")).collect()
+        return None
+    place = lambda h: F.pmod(h, F.lit(MAP_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place(F.col("h")), F.lit(64)).cast("int"))
+    words = wanted.groupBy(F.floor(place(F.col("h")) / 64).alias("at")).agg(F.bit_or(bit).alias("bits")).collect()
     table = np.zeros(MAP_BITS // 64, np.int64)
     for r in words:
         table[r["at"]] = r["bits"]
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = wanted.sparkSession.sparkContext.broadcast(table)
+
+    @F.arrow_udf("boolean")
+    def known(at: pa.Array) -> pa.Array:
+        at, bits = at.to_numpy(zero_copy_only=False), shared.value
+        return pa.array((bits[at >> 6] >> (at & 63) & 1).astype(bool))
+
+    return lambda h: known(place(h))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for b in batches:
-            at = b.column("at").to_numpy()
-            has = (known[at >> 6] >> (at & 63) & 1).astype(bool)
-            yield pa.RecordBatch.from_arrays([b.column("text").filter(pa.array(has))], ["text"])
 
-    return shingle_sets(docs.select(place("doc_id").alias("at"), "text").mapInArrow(settled(work), "text string"))
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and shingles of the rows of docs whose doc_id is in wanted (column doc_id, nulls too), and perhaps of some others.
+
+    Up to MAP_BITS / MAP_LEAST wanted ids are told by a map, and no text is
+    shuffled; beyond that rows are found by a join.
+    """
+    # as long on both sides, as sketches() gives ids: the hash of an int differs from that of the same long
+    own = F.xxhash64(F.col("doc_id").cast("long"))
+    if (known := _in_map(wanted.select(own.alias("h")))) is not None:
+        return shingle_sets(docs.filter(known(own)).select("text"))
+    wanted = wanted.select(F.col("doc_id").alias("_id")).distinct()
+    return shingle_sets(docs.join(wanted, docs.doc_id.eqNullSafe(wanted._id), "left_semi"))
 
 
 def _token(at: F.Column) -> F.Column:
@@ -417,7 +427,8 @@ def join(docs: DataFrame) -> DataFrame:
     degree = linked.groupBy("node").agg(F.sum("links").alias("links"))
     known = nodes.join(label.join(least, "label").select("node", "class_id"), "node", "left").join(degree, "node", "left")
     known = known.filter("w > 1 or links is not null").select("node", F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
-    out = every.select("doc_id", "node").join(known, "node", "left")
+    # written, so that both sides of the join are plain shuffles and a node that many rows have can be split
+    out = every.select("doc_id", "node").join(written(known, "join-classes"), "node", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
@@ -425,18 +436,24 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all columns whatever their names, that stay when each class keeps one: its least doc_id (nulls last), then row_key.
 
     Rows without words all stay. Of rows alike in id, text, language and source one stays.
+    Rows of classes of their own pass where they lie, if a map tells them (see
+    sets_of()); only the others meet the keys of those that stay.
     """
-    every, _, label, _ = _linked(docs)
-    classed = every.filter("n > 0").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    best = classed.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("_b"))
-    stay = best.select("_b.doc_id", "_b.row_key").withColumn("_one", F.lit(True)).unionByName(every.filter("n = 0").select("doc_id", "row_key").distinct().withColumn("_one", F.lit(False)))
-    many = every.groupBy("doc_id", "row_key").agg(F.count(F.lit(1)).alias("_c")).select(F.col("doc_id").alias("_i"), F.col("row_key").alias("_k"), "_c")
-    stay = stay.join(many, stay.doc_id.eqNullSafe(many._i) & (stay.row_key == many._k)).select("_i", "_k", (F.col("_one") & (F.col("_c") > 1)).alias("_again"))
-    keyed = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_own"), row_key(docs).alias("_row"))
-    rows = keyed.join(stay, keyed._own.eqNullSafe(stay._i) & (keyed._row == stay._k)).drop("_i", "_k")
-    rows = written(rows, "join-kept")
-    once = rows.filter("_again").dropDuplicates(["_own", "_row"])
-    return rows.filter("not _again").unionByName(once).select("_doc.*")
+    every, nodes, label, _ = _linked(docs)
+    rows = every.filter("n > 0").groupBy("node", "doc_id", "row_key").agg(F.count(F.lit(1)).alias("c"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key", "c")).alias("b")
+    by_node = rows.groupBy("node").agg(best, F.sum("c").alias("many")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    stay = by_node.groupBy("label").agg(F.min("b").alias("b")).select(F.col("b.doc_id").alias("_i"), F.col("b.row_key").alias("_k"), (F.col("b.c") > 1).alias("_again"))
+    stay = written(stay.unionByName(every.filter("n = 0").select(F.col("doc_id").alias("_i"), F.col("row_key").alias("_k"), F.lit(False).alias("_again")).distinct()), "join-stay")
+    keyed = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").cast("long").alias("_own"), row_key(docs).alias("_row"))
+    shared = written(nodes.join(label, "node", "left").filter("w > 1 or label is not null").select("node"), "join-shared")
+    known = _in_map(every.join(shared, "node", "left_semi").select(F.xxhash64("doc_id", "row_key").alias("h")))
+    if known is not None:
+        keyed = keyed.withColumn("_met", known(F.xxhash64("_own", "_row")))
+        alone, keyed = keyed.filter("not _met").select("_doc.*"), keyed.filter("_met")
+    rows = written(keyed.join(stay, keyed._own.eqNullSafe(stay._i) & (keyed._row == stay._k)).drop("_i", "_k"), "join-kept")
+    once = rows.filter("not _again").unionByName(rows.filter("_again").dropDuplicates(["_own", "_row"])).select("_doc.*")
+    return once if known is None else alone.unionByName(once)
 
 
 def oracle_sql(documents: str = "documents") -> str:

@@ -69,7 +69,7 @@ def test_all_pairs(spark, monkeypatch):
     assert leaf["size"].max() > 4  # split to the greatest depth
 
 
-def test_keeps_one_of_each_class(spark):
+def test_keeps_one_of_each_class(spark, monkeypatch):
     rows = corpus()
     df = spark.createDataFrame([(i, t, "x") for i, t in [*rows, rows[3], rows[3]]], "doc_id long, text string, extra string")
     kept = J.keep_one(df)
@@ -78,6 +78,11 @@ def test_keeps_one_of_each_class(spark):
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == sorted(i for i in classes if i is not None)
     assert J.keep_one(df.limit(0)).count() == 0
+    monkeypatch.setattr(J, "MAP_BITS", 1 << 6)  # a map in which nearly every row seems to be wanted
+    monkeypatch.setattr(J, "MAP_LEAST", 0.1)
+    assert rows_of(J.keep_one(df)) == rows_of(kept)
+    monkeypatch.setattr(J, "MAP_LEAST", MANY)
+    assert rows_of(J.keep_one(df)) == rows_of(kept)
 
 
 def test_ids_of_other_types(spark):
