@@ -10,6 +10,7 @@ NEIGHBOURS nearest are averaged with their cosines as weights.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -96,7 +97,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     The sample is the SAMPLE_PER_LABEL ids of each label that come first by hash;
     of an id labelled twice the lower label counts, of an id with several rows the
     text of least hash; rows without label or text's row are left out. Only their
-    term counts come to the driver (8 kB each).
+    term counts come to the driver, compressed (most are 0), and are opened one by
+    one into one matrix of 8 kB a row.
     """
     one = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_y"))
     one = one.filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1)
@@ -109,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         for whole in batches:
             for b in _blocks(whole):
                 counts = term_counts(b.column("text"))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_y"), b.column("_t"), pa.array([r.tobytes() for r in counts], pa.binary())], ["doc_id", "y", "hash", "counts"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_y"), b.column("_t"), pa.array([zlib.compress(r.tobytes(), 1) for r in counts], pa.binary())], ["doc_id", "y", "hash", "counts"])
 
     counted = rows.mapInArrow(settled(work), "doc_id long, y int, hash long, counts binary")
     # one row of each id, so that no id's repeats take the places of others
@@ -118,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     y = np.array([r.y for r in got], np.float64)
     m = np.empty((len(got), TERMS), np.float32)
     for k in range(len(got)):
-        m[k], got[k] = np.frombuffer(got[k].counts, np.float32), None  # one copy at a time
+        m[k], got[k] = np.frombuffer(zlib.decompress(got[k].counts), np.float32), None  # one copy at a time
     weight = (np.log((1 + len(m)) / (1 + (m > 0).sum(0))) + 1).astype(np.float32)
     if not len(m):
         return Model(weight, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), y)
