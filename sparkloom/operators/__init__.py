@@ -1,6 +1,6 @@
 """Relational operators beyond single DataFrame calls."""
 
 from sparkloom.operators.joins import asof_join, interval_join, range_join, salted_join
-from sparkloom.operators.shaping import latest_per_key, pivot_counts, sessions, top_k_per_group, unpivot
+from sparkloom.operators.shaping import exact_quantiles, latest_per_key, pivot_counts, sessions, top_k_per_group, unpivot
 
-__all__ = ["asof_join", "interval_join", "latest_per_key", "pivot_counts", "range_join", "salted_join", "sessions", "top_k_per_group", "unpivot"]
+__all__ = ["asof_join", "exact_quantiles", "interval_join", "latest_per_key", "pivot_counts", "range_join", "salted_join", "sessions", "top_k_per_group", "unpivot"]

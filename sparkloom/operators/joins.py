@@ -6,6 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def free_name(name: str, *tables: DataFrame) -> str:
+    """`name`, with signs added until no table has a column of it (names are compared without regard to case)."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def asof_join(left: DataFrame, right: DataFrame, on: list[str], time: str, columns: list[str], suffix: str = "_asof") -> DataFrame:
     """Each left row with the latest right row of the same key at or before its time.
 
@@ -14,26 +22,35 @@ def asof_join(left: DataFrame, right: DataFrame, on: list[str], time: str, colum
     time, the greatest `columns` win. A null key or time matches nothing.
     """
     value = F.struct(time, *columns)
-    a = left.withColumn("_side", F.lit(1)).withColumn("_value", F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType))
-    b = right.select(*on, F.col(time), F.lit(0).alias("_side"), value.alias("_value")).filter(F.col(time).isNotNull())
-    ahead = Window.partitionBy(*on).orderBy(F.col(time).asc_nulls_first(), "_side", "_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = F.last("_value", ignorenulls=True).over(ahead)
-    keyed = a.unionByName(b, allowMissingColumns=True).withColumn("_last", last).filter("_side = 1")
+    side, held, seen = (free_name(n, left) for n in ("_side", "_value", "_last"))
+    a = left.withColumn(side, F.lit(1)).withColumn(held, F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType))
+    b = right.select(*on, F.col(time), F.lit(0).alias(side), value.alias(held)).filter(F.col(time).isNotNull())
+    ahead = Window.partitionBy(*on).orderBy(F.col(time).asc_nulls_first(), side, held).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last(held, ignorenulls=True).over(ahead)
+    keyed = a.unionByName(b, allowMissingColumns=True).withColumn(seen, last).filter(F.col(side) == 1)
     known = F.lit(True)
     for k in [*on, time]:
         known = known & F.col(k).isNotNull()
-    found = [F.when(known, F.col(f"_last.{c}")).alias(f"{c}{suffix}") for c in (time, *columns)]
+    found = [F.when(known, F.col(f"{seen}.{c}")).alias(f"{c}{suffix}") for c in (time, *columns)]
     return keyed.select(*left.columns, *found)
 
 
 def interval_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, within: str) -> DataFrame:
-    """Pairs of equal key whose right time is from the left time to `within` (an interval) later.
+    """Pairs of equal key whose right time is from the left time to `within` (a day-time interval above 0) later.
 
-    An equi-join on the key with the range as residual; a hot key is split by
-    Spark's skew handling of sort-merge joins.
+    Time is cut in bins of `within`: a right row has its own bin, a left row its own
+    and the next, so the join is by key and bin, and a hot key costs the pairs of
+    neighbouring bins, not the square of its rows. A null key or time matches nothing;
+    ties and repeated rows give each their pairs.
     """
-    near = (F.col(right_time) >= F.col(left_time)) & (F.col(right_time) <= F.col(left_time) + F.expr(f"interval {within}"))
-    return left.join(right, on, "inner").filter(near)
+    far = F.expr(f"interval {within}")
+    own = free_name("_bin", left, right)
+    step = F.unix_micros(F.timestamp_seconds(F.lit(0)) + far)
+    at = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / step)
+    a = left.withColumn(own, F.explode(F.array(at(left_time), at(left_time) + 1)))
+    b = right.withColumn(own, at(right_time))
+    near = (F.col(right_time) >= F.col(left_time)) & (F.col(right_time) <= F.col(left_time) + far)
+    return a.join(b, [*on, own], "inner").filter(near).drop(own)
 
 
 def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:
@@ -41,11 +58,15 @@ def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high:
 
     Both sides are put in bins of `width`, ranges in each bin that they touch, so
     that it is an equi-join on the bin and not a product; each pair has one bin.
+    A range is repeated for each bin that it touches: choose a width of the usual
+    range's size. A null value, low or high matches nothing, nor does a range of
+    low >= high; ties and repeated rows give each their pairs.
     """
+    own = free_name("_bin", points, ranges)
     bins = F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))
-    spread = ranges.filter(F.col(low) < F.col(high)).withColumn("_bin", F.explode(bins))
-    binned = points.withColumn("_bin", F.floor(F.col(value) / width))
-    return binned.join(spread, "_bin").filter((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop("_bin")
+    spread = ranges.filter(F.col(low) < F.col(high)).withColumn(own, F.explode(bins))
+    binned = points.withColumn(own, F.floor(F.col(value) / width))
+    return binned.join(spread, own).filter((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop(own)
 
 
 def salted_join(hot: DataFrame, other: DataFrame, on: list[str], salts: int, how: str = "inner", spread: Column | None = None) -> DataFrame:
@@ -57,6 +78,7 @@ def salted_join(hot: DataFrame, other: DataFrame, on: list[str], salts: int, how
     if how not in {"inner", "left", "left_semi", "left_anti"}:
         raise ValueError(f"the right side cannot be repeated in a {how} join")
     by = F.xxhash64(*hot.columns) if spread is None else spread
-    a = hot.withColumn("_salt", F.pmod(by, F.lit(salts)).cast("int"))
-    b = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return a.join(b, [*on, "_salt"], how).drop("_salt")
+    own = free_name("_salt", hot, other)
+    a = hot.withColumn(own, F.pmod(by, F.lit(salts)).cast("int"))
+    b = other.withColumn(own, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return a.join(b, [*on, own], how).drop(own)

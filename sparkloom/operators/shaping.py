@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.joins import free_name
+
 
 def top_k_per_group(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
     """The first k rows of each group; Spark prunes groups before the shuffle (WindowGroupLimit)."""
@@ -28,8 +30,55 @@ def unpivot(df: DataFrame, keys: list[str], columns: list[str], name: str = "nam
     return df.unpivot(keys, columns, name, value)
 
 
+def exact_quantiles(df: DataFrame, by: list[str], column: str, at: dict[str, float], pieces: int = 64) -> DataFrame:
+    """by and a column for each of `at` (name: share from 0 to 1): quantiles with linear interpolation; null where a group has no value.
+
+    Values are counted first, so repeats do not travel; each group's range is cut in
+    `pieces` between its extremes, counts of pieces tell where each quantile lies, and
+    only the values of those pieces are ranked. So no task holds a group whole.
+    Nulls and NaN are left out; groups of nulls only stay. A column in `by` that bears
+    a name of `at` is an error of the caller's; other columns are ignored.
+    """
+    keys = [F.col(k).alias(f"k{i}") for i, k in enumerate(by)] or [F.lit(0).alias("k0")]  # without `by` all rows are one group
+    names = [f"k{i}" for i in range(len(keys))]
+    x = F.col(column).cast("double")
+    n = df.select(*keys, F.nanvl(x, F.lit(None)).alias("x")).groupBy(*names, "x").agg(F.count("x").alias("n"))
+    ends = n.groupBy(*names).agg(F.min("x").alias("low"), F.max("x").alias("high"), F.sum("n").alias("all"))
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in names]
+    joined = lambda a, b, how="inner": a.alias("a").join(b.alias("b"), same("a", "b"), how)
+    width = (F.col("high") - F.col("low")) / pieces
+    piece = F.when(width > 0, F.least(F.floor((F.col("x") - F.col("low")) / width), F.lit(pieces - 1))).otherwise(F.lit(0)).cast("int")
+    own = [F.col(f"a.{k}") for k in names]
+    placed = joined(n.filter("x is not null"), ends).select(*own, "x", "n", "low", "high", "all", piece.alias("piece"))
+    counted = placed.groupBy(*names, "piece").agg(F.sum("n").alias("m"))
+    before = F.sum("m").over(Window.partitionBy(*names).orderBy("piece")) - F.col("m")  # at most `pieces` rows a group
+    counted = counted.withColumn("before", before)
+    # the ranks (from 0) on both sides of each quantile
+    ranks = F.array(*(F.struct(F.lit(i).alias("q"), (F.lit(p) * (F.col("all") - 1)).alias("want")) for i, p in enumerate(at.values())))
+    wanted = ends.filter("all > 0").select(*names, F.explode(ranks).alias("w")).select(*names, "w.q", "w.want")
+    hit = joined(counted, wanted).filter((F.floor("want") < F.col("before") + F.col("m")) & (F.ceil("want") >= F.col("before")))
+    hit = hit.select(*own, "piece", "before", "q", "want")
+    met = placed.alias("a").join(hit.alias("b"), [*same("a", "b"), F.col("a.piece") == F.col("b.piece")])
+    met = met.select(*own, "a.piece", "x", "n", "before", "q", "want")
+    upto = F.sum("n").over(Window.partitionBy(*names, "q", "piece").orderBy("x")) + F.col("before")
+    met = met.withColumn("upto", upto).withColumn("since", F.col("upto") - F.col("n"))
+    value = lambda r: F.max(F.when((F.col("since") <= r) & (r < F.col("upto")), F.col("x")))
+    low, high = F.floor("want"), F.ceil("want")
+    found = met.groupBy(*names, "q").agg(value(low).alias("below"), value(high).alias("above"), F.max("want").alias("want"))
+    found = found.withColumn("v", F.col("below") + (F.col("above") - F.col("below")) * (F.col("want") - F.floor("want")))
+    wide = found.groupBy(*names).agg(*(F.max(F.when(F.col("q") == i, F.col("v"))).alias(f"v{i}") for i in range(len(at))))
+    every = joined(ends, wide, "left")
+    return every.select(*(c.alias(k) for c, k in zip(own, by, strict=False)), *(F.col(f"v{i}").alias(name) for i, name in enumerate(at)))
+
+
 def sessions(df: DataFrame, key: str, time: str, gap: str) -> DataFrame:
-    """Add session (from 0 for each key): a new one begins where the time since the row before is over `gap`."""
+    """Add session (from 0 for each key): a new one begins where the time since the row before is over `gap`.
+
+    Rows of equal time are in one session; a null key is a key; a null time comes
+    first. A column of df named session is replaced.
+    """
     own = Window.partitionBy(key).orderBy(time)
-    new = F.lag(time).over(own).isNull() | (F.col(time) > F.lag(time).over(own) + F.expr(f"interval {gap}"))
-    return df.withColumn("_new", new.cast("int")).withColumn("session", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_new")
+    new = free_name("_new", df)
+    begins = F.lag(time).over(own).isNull() | (F.col(time) > F.lag(time).over(own) + F.expr(f"interval {gap}"))
+    counted = F.sum(new).over(own.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    return df.withColumn(new, begins.cast("int")).withColumn("session", counted).drop(new)

@@ -1,9 +1,13 @@
 """Operators on small tables: nulls, ties, empty tables, clashing names."""
 
 import datetime as dt
+import random
 
+import numpy as np
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sparkloom import operators as O
 from sparkloom.functions import bucket, extensions, json_int, safe_divide, word_count
@@ -80,3 +84,37 @@ def test_extensions(spark):
     assert df.agg(extensions.trimmed_mean("x")).first()[0] == 103 / 3
     assert [tuple(r) for r in spark.sql("SELECT * FROM bands(0D, 5D, 2D)").collect()] == [(0, 2), (2, 4), (4, 5)]
     assert spark.sql("SELECT * FROM bands(0D, 5D, 0D)").count() == 0
+
+
+def test_clashing_names_stay(spark):
+    points = spark.createDataFrame([(1, 5.0, "p"), (2, None, "q")], "i long, v double, _bin string")
+    ranges = spark.createDataFrame([(0.0, 9.0), (9.0, 9.0), (None, 3.0)], "lo double, hi double")
+    assert [tuple(r) for r in O.range_join(points, ranges, "v", "lo", "hi", 4.0).select("i", "_bin").collect()] == [(1, "p")]
+    hot = spark.createDataFrame([(1, "s"), (1, "s")], "k long, _salt string")
+    assert [r._salt for r in O.salted_join(hot, spark.createDataFrame([(1, 2)], "k long, w long"), ["k"], 3).collect()] == ["s", "s"]
+    ev = spark.sql("select 1L k, timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,x,0) ts, 'n' _new, 'l' _last from values (0), (10), (50), (50) t(x)")
+    assert sorted((r.session, r._new) for r in O.sessions(ev, "k", "ts", "30 minutes").collect()) == [(0, "n"), (0, "n"), (1, "n"), (1, "n")]
+    assert {r._last for r in O.asof_join(ev, ev.select("k", "ts"), ["k"], "ts", []).collect()} == {"l"}
+
+
+def test_interval_join_against_all_pairs(spark):
+    rnd = random.Random(3)
+    left = [(rnd.choice([1, 2, None]), rnd.choice([None, *range(0, 9000, 300)])) for _ in range(60)]
+    right = [(rnd.choice([1, 2, None]), rnd.choice([None, *range(0, 9000, 300)])) for _ in range(60)]
+    df = lambda rows, c: spark.createDataFrame(rows, "k long, s long").select("k", F.timestamp_seconds("s").alias(c))
+    got = O.interval_join(df(left, "a"), df(right, "b"), ["k"], "a", "b", "20 minutes").count()
+    assert got == sum(k is not None and k == j and None not in (a, b) and a <= b <= a + 1200 for k, a in left for j, b in right)
+
+
+def test_exact_quantiles(spark):
+    rnd = np.random.default_rng(1)
+    rows = [("a", float(x)) for x in rnd.integers(0, 9, 300)] + [("b", float(x)) for x in rnd.normal(0, 1, 77)] + [("c", 4.0), ("d", None), (None, 1.0), (None, 2.0), ("b", None), ("b", float("nan"))]
+    df = spark.createDataFrame(rows, "k string, x double")
+    at = {"lo": 0.0, "q": 0.37, "med": 0.5, "hi": 1.0}
+    for pieces in (1, 7, 64):
+        got = {r.k: tuple(r)[1:] for r in O.exact_quantiles(df, ["k"], "x", at, pieces).collect()}
+        for k in ("a", "b", "c", "d", None):
+            own = [x for j, x in rows if j == k and x is not None and x == x]
+            assert got[k] == ((None,) * 4 if not own else tuple(pytest.approx(np.quantile(own, q)) for q in at.values())), (k, pieces)
+    assert O.exact_quantiles(df.filter("k = 'c'"), [], "x", at).first().med == 4.0
+    assert O.exact_quantiles(df.limit(0), ["k"], "x", at).count() == 0
