@@ -13,15 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
+_MADE: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset, as in tests on one machine, a folder of our own.
+    Only where that is unset on one machine, as in tests, a folder of our own; on a
+    cluster that is an error, since executors do not see each other's folders.
     """
     if shared := spark.conf.get("spark.checkpoint.dir", None):
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="sparkloom-"))
     return _OWN[0]
@@ -29,7 +33,15 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this driver has put in the shared folder; call it when no result that reads from there is needed any more."""
+    while _MADE:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -78,3 +78,29 @@ def test_long_documents_are_cut(spark):
     placed = assign(got.withColumn("ids_crc32", F.crc32("ids")), 4)
     whole = sequences(placed).collect()
     assert sum(r.n_tokens for r in whole) == 15 and all(len(r.ids) == 4 * r.n_tokens for r in whole)
+
+
+def test_scratch_is_cleared_and_shared(spark, tmp_path, monkeypatch):
+    import os
+
+    from sparkloom.llm import common
+
+    with monkeypatch.context() as m:
+        m.setattr(common, "scratch_root", lambda s: str(tmp_path))
+        m.setattr(common, "_MADE", [])
+        assert common.written(spark.range(3), "a").count() == 3 and len(os.listdir(tmp_path)) == 1
+        common.clear_scratch(spark)
+        assert not os.listdir(tmp_path)
+
+    class Cluster:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://head:7077"
+
+    try:
+        common.scratch_root(Cluster)
+    except ValueError:
+        return
+    raise AssertionError("a machine's own folder on a cluster")
