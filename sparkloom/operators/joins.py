@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, TimestampNTZType
 
 
 def free_name(name: str, *tables: DataFrame) -> str:
@@ -14,25 +15,49 @@ def free_name(name: str, *tables: DataFrame) -> str:
     return name
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: list[str], time: str, columns: list[str], suffix: str = "_asof") -> DataFrame:
+def time_bin(length: str, column: str, *tables: DataFrame) -> Column:
+    """The number of the piece of `length` (a day-time interval above 0) that a time lies in, never falling as time rises.
+
+    Times without a zone, as the column is in all `tables`, are counted without one, so
+    hours that the session's zone skips or repeats do not change their order.
+    """
+    c, step = F.col(column), F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"interval {length}"))
+    if not all(isinstance(t.schema[column].dataType, (TimestampNTZType, DateType)) for t in tables):
+        return F.floor(F.unix_micros(c.cast("timestamp")) / step)
+    c = c.cast("timestamp_ntz")
+    minutes = F.unix_date(c.cast("date")).cast("long") * 1440 + F.hour(c) * 60 + F.minute(c)
+    return F.floor((minutes * 60_000_000 + (F.extract(F.lit("second"), c) * 1_000_000).cast("long")) / step)
+
+
+def asof_join(left: DataFrame, right: DataFrame, on: list[str], time: str, columns: list[str], suffix: str = "_asof", split: str | None = None) -> DataFrame:
     """Each left row with the latest right row of the same key at or before its time.
 
     One union and one window, so one shuffle on the key and no join of rows with
     rows. Left rows without such a right row have nulls. Where right rows tie in
     time, the greatest `columns` win. A null key or time matches nothing.
+
+    With `split` (a day-time interval) a key's rows are dealt over tasks in pieces of
+    that length; each piece's last right row is an aggregate, and what a piece finds
+    before it comes from those, one row a key and piece. The result is the same.
     """
     value = F.struct(time, *columns)
-    side, held, seen = (free_name(n, left) for n in ("_side", "_value", "_last"))
+    side, held, seen, piece, before = (free_name(n, left) for n in ("_side", "_value", "_last", "_piece", "_before"))
     a = left.withColumn(side, F.lit(1)).withColumn(held, F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType))
     b = right.select(*on, F.col(time), F.lit(0).alias(side), value.alias(held)).filter(F.col(time).isNotNull())
-    ahead = Window.partitionBy(*on).orderBy(F.col(time).asc_nulls_first(), side, held).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = F.last(held, ignorenulls=True).over(ahead)
-    keyed = a.unionByName(b, allowMissingColumns=True).withColumn(seen, last).filter(F.col(side) == 1)
+    keyed = a.unionByName(b, allowMissingColumns=True)
+    keyed = keyed if split is None else keyed.withColumn(piece, time_bin(split, time, left, right))
+    parts = on if split is None else [*on, piece]
+    ahead = Window.partitionBy(*parts).orderBy(F.col(time).asc_nulls_first(), side, held).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = keyed.withColumn(seen, F.last(held, ignorenulls=True).over(ahead)).filter(F.col(side) == 1)
+    if split is not None:
+        earlier = Window.partitionBy(*on).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+        carried = keyed.groupBy(*parts).agg(F.max(held).alias(held)).select(*parts, F.last(held, ignorenulls=True).over(earlier).alias(before))
+        out = out.join(carried, parts, "left").withColumn(seen, F.coalesce(seen, before))
     known = F.lit(True)
     for k in [*on, time]:
         known = known & F.col(k).isNotNull()
     found = [F.when(known, F.col(f"{seen}.{c}")).alias(f"{c}{suffix}") for c in (time, *columns)]
-    return keyed.select(*left.columns, *found)
+    return out.select(*left.columns, *found)
 
 
 def interval_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, within: str) -> DataFrame:
@@ -41,14 +66,13 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], left_time: s
     Time is cut in bins of `within`: a right row has its own bin, a left row its own
     and the next, so the join is by key and bin, and a hot key costs the pairs of
     neighbouring bins, not the square of its rows. A null key or time matches nothing;
-    ties and repeated rows give each their pairs.
+    ties and repeated rows give each their pairs. Both times are of one type.
     """
     far = F.expr(f"interval {within}")
     own = free_name("_bin", left, right)
-    step = F.unix_micros(F.timestamp_seconds(F.lit(0)) + far)
-    at = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / step)
-    a = left.withColumn(own, F.explode(F.array(at(left_time), at(left_time) + 1)))
-    b = right.withColumn(own, at(right_time))
+    at = time_bin(within, left_time, left)
+    a = left.withColumn(own, F.explode(F.array(at, at + 1)))
+    b = right.withColumn(own, time_bin(within, right_time, right))
     near = (F.col(right_time) >= F.col(left_time)) & (F.col(right_time) <= F.col(left_time) + far)
     return a.join(b, [*on, own], "inner").filter(near).drop(own)
 

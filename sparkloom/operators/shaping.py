@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.operators.joins import free_name
+from sparkloom.operators.joins import free_name, time_bin
 
 
 def top_k_per_group(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
@@ -71,14 +71,33 @@ def exact_quantiles(df: DataFrame, by: list[str], column: str, at: dict[str, flo
     return every.select(*(c.alias(k) for c, k in zip(own, by, strict=False)), *(F.col(f"v{i}").alias(name) for i, name in enumerate(at)))
 
 
-def sessions(df: DataFrame, key: str, time: str, gap: str) -> DataFrame:
+def sessions(df: DataFrame, key: str, time: str, gap: str, split: str | None = None) -> DataFrame:
     """Add session (from 0 for each key): a new one begins where the time since the row before is over `gap`.
 
-    Rows of equal time are in one session; a null key is a key; a null time comes
-    first. A column of df named session is replaced.
+    Rows of equal time are in one session; a null key is a key; rows of null time come
+    first, each a session. A column of df named session is replaced.
+
+    With `split` (a day-time interval) a key's rows are dealt over tasks in pieces of
+    that length. Ahead of each piece goes one row with the last time before it and the
+    number of sessions begun by then, from aggregates by key and piece; so rows meet no
+    join. The result is the same.
     """
-    own = Window.partitionBy(key).orderBy(time)
-    new = free_name("_new", df)
-    begins = F.lag(time).over(own).isNull() | (F.col(time) > F.lag(time).over(own) + F.expr(f"interval {gap}"))
+    new, mark, piece = (free_name(n, df) for n in ("_new", "_mark", "_piece"))
+    begins = lambda own: F.lag(time).over(own).isNull() | (F.col(time) > F.lag(time).over(own) + F.expr(f"interval {gap}"))
+    if split is None:
+        own = Window.partitionBy(key).orderBy(time)
+        counted = F.sum(new).over(own.rowsBetween(Window.unboundedPreceding, 0)) - 1
+        return df.withColumn(new, begins(own).cast("int")).withColumn("session", counted).drop(new)
+    rows = df.withColumn(piece, time_bin(split, time, df)).withColumn(mark, F.lit(1))
+    own = Window.partitionBy(key, piece).orderBy(mark, time)  # a row of mark 0 tells of the pieces before
+    pieces = Window.partitionBy(key).orderBy(piece)
+    last = F.lag(time).over(pieces).alias(time)
+    slim = rows.select(key, time, piece, mark)
+    ends = slim.groupBy(key, piece).agg(F.max(time).alias(time)).select(key, last, piece, F.lit(0).alias(mark))
+    begun = slim.unionByName(ends).withColumn(new, begins(own).cast("long")).filter(F.col(mark) == 1)
+    begun = begun.groupBy(key, piece).agg(F.max(time).alias(time), F.sum(new).alias(new))
+    so_far = F.sum(new).over(pieces.rowsBetween(Window.unboundedPreceding, -1)).alias(new)
+    ahead = begun.select(key, last, piece, F.lit(0).alias(mark), so_far).filter(F.col(new).isNotNull())
+    placed = rows.unionByName(ahead, allowMissingColumns=True).withColumn(new, F.coalesce(new, begins(own).cast("long")))
     counted = F.sum(new).over(own.rowsBetween(Window.unboundedPreceding, 0)) - 1
-    return df.withColumn(new, begins.cast("int")).withColumn("session", counted).drop(new)
+    return placed.withColumn("session", counted).filter(F.col(mark) == 1).drop(new, mark, piece)

@@ -138,7 +138,7 @@ def join_asof(t: Tables) -> DataFrame:
     """Each purchase with the user's latest view."""
     e = t("events").select("event_id", "user_id", "ts", "event_type")
     left, right = e.filter("event_type = 'purchase'").drop("event_type"), e.filter("event_type = 'view'").drop("event_type")
-    return O.asof_join(left, right, ["user_id"], "ts", ["event_id"]).select("event_id", "event_id_asof")
+    return O.asof_join(left, right, ["user_id"], "ts", ["event_id"], split="7 days").select("event_id", "event_id_asof")
 
 
 @_query("SELECT o_orderkey, band FROM orders JOIN (SELECT p_partkey AS band, p_retailprice * 100 AS low, p_retailprice * 100 + 40 AS high FROM part WHERE p_partkey <= 200) ON o_totalprice >= low AND o_totalprice < high")
@@ -389,7 +389,7 @@ def fn_json(t: Tables) -> DataFrame:
 @_query("SELECT event_id, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS session FROM (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts > lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))")
 def sessionize(t: Tables) -> DataFrame:
     """Sessions by gaps of half an hour."""
-    return O.sessions(t("events"), "user_id", "ts", "30 minutes").select("event_id", "session")
+    return O.sessions(t("events"), "user_id", "ts", "30 minutes", split="7 days").select("event_id", "session")
 
 
 @_query("SELECT conv_id, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) FILTER (role = 'assistant') AS replies, max_by(role, turn) AS last_role FROM conversations GROUP BY 1")

@@ -32,8 +32,9 @@ def asof_by_hand(left, right):
 def test_asof_join(spark):
     left = [(1, "a", at(5)), (2, "a", at(1)), (3, None, at(5)), (4, "b", None), (5, "c", at(9)), (6, "a", at(3))]
     right = [("a", at(3), "x"), ("a", at(3), "y"), ("a", at(4), "z"), (None, at(1), "n"), ("b", None, "q"), ("c", at(10), "w")]
-    got = O.asof_join(spark.createDataFrame(left, LEFT), spark.createDataFrame(right, RIGHT), ["k"], "t", ["v"])
-    assert sorted(((r.id, r.v_asof) for r in got.collect()), key=str) == asof_by_hand(left, right)
+    for split in (None, "2 minutes", "1 day"):
+        got = O.asof_join(spark.createDataFrame(left, LEFT), spark.createDataFrame(right, RIGHT), ["k"], "t", ["v"], split=split)
+        assert sorted(((r.id, r.v_asof) for r in got.collect()), key=str) == asof_by_hand(left, right)
     none = O.asof_join(spark.createDataFrame(left, LEFT), spark.createDataFrame([], RIGHT), ["k"], "t", ["v"])
     assert none.count() == 6 and none.filter("v_asof is not null").count() == 0
 
@@ -71,6 +72,37 @@ def test_sessions_split_at_gaps(spark, rows):
             assert got[user, at(b)] == s
 
 
+def test_split_by_time_changes_nothing(spark):
+    rnd = random.Random(8)
+    when = lambda: at(rnd.choice([None, *range(0, 400, 7), 5000, 9000]))
+    left = [(i, rnd.choice(["a", "b", None]), when()) for i in range(120)]
+    right = [(rnd.choice(["a", "b", None]), when(), rnd.choice(["x", "y", None])) for _ in range(60)]
+    a, b = spark.createDataFrame(left, LEFT), spark.createDataFrame(right, RIGHT)
+    a = a.withColumn("_Piece", F.lit(1)).withColumn("_before", F.lit(2)).withColumn("session", F.lit(3))
+    rows = lambda d: sorted(map(str, d.collect()))
+    for cast in ("timestamp_ntz", "timestamp"):
+        x, y = a.withColumn("t", F.col("t").cast(cast)), b.withColumn("t", F.col("t").cast(cast))
+        whole = rows(O.asof_join(x, y, ["k"], "t", ["v"]))
+        in_order = lambda d: rows(d.withColumn("id", F.when(F.col("t").isNotNull(), F.col("id"))))
+        marked = in_order(O.sessions(x, "k", "t", "10 minutes"))  # sessions of rows of null time are dealt in any order
+        for split in ("5 minutes", "1 hour", "3 days"):
+            assert rows(O.asof_join(x, y, ["k"], "t", ["v"], split=split)) == whole
+            assert in_order(O.sessions(x, "k", "t", "10 minutes", split)) == marked
+        assert O.sessions(x.limit(0), "k", "t", "10 minutes", "1 hour").columns == O.sessions(x, "k", "t", "10 minutes").columns
+
+
+def test_bins_of_skipped_hours(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        times = [dt.datetime(2024, 3, 10, h, m) for h in (1, 2, 3) for m in (0, 20, 40, 50)]
+        df = spark.createDataFrame([(1, t) for t in times], "k long, t timestamp_ntz")
+        got = O.interval_join(df, df.select("k", F.col("t").alias("u")), ["k"], "t", "u", "20 minutes").count()
+        assert got == sum(0 <= (u - t).total_seconds() <= 1200 for t in times for u in times)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_columns(spark):
     df = spark.createDataFrame([(" a  bé\tc\n", '{"k": 3}', 7.5), ("", "no json", 0.0), (None, None, None)], "t string, j string, x double")
     rows = df.select(word_count("t").alias("w"), json_int("j", "$.k").alias("k"), bucket(df.x, 2.0).alias("b"), safe_divide(df.x, df.x).alias("d")).collect()
