@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat_format, exact_topk, fill_middle, huffman, jaccard_join, knn_quality, license_scan, packing, prefix_tokens, quality_rules, sentencepiece_tokenizers, wordids
+from sparkloom.llm import chat_format, exact_topk, fill_middle, huffman, jaccard_join, knn_quality, license_scan, packing, prefix_tokens, quality_rules, sentencepiece_tokenizers, token_alignment, wordids
 from sparkloom.llm.common import discard, scratch_path, spread, written
 from sparkloom.plans import Query
 from sparkloom.sources import read_table
@@ -99,6 +99,11 @@ def op12_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
     return fill_middle.digests(_documents(spark, folder))
 
 
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of aligned tokens of every document under two tokenizers, and how its links count in the whole corpus."""
+    return token_alignment.align(_documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": Query(op1_quality_classifier),
     "op2_token_counts": Query(op2_token_counts),
@@ -111,4 +116,5 @@ QUERIES: dict[str, Query] = {
     "op9_exact_topk": Query(op9_exact_topk, exact_topk.oracle_sql(TOP_K, QUERY_EVERY)),
     "op10_jaccard_join": Query(op10_jaccard_join, jaccard_join.oracle_sql()),
     "op12_fill_middle": Query(op12_fill_middle, fill_middle.oracle_sql()),
+    "op13_token_alignment": Query(op13_token_alignment),
 }
