@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat_format, exact_topk, fill_middle, huffman, jaccard_join, knn_quality, license_scan, packing, prefix_tokens, quality_rules, sentencepiece_tokenizers, token_alignment, wordids
+from sparkloom.llm import chat_format, exact_topk, fill_middle, huffman, jaccard_join, knn_quality, license_scan, packing, prefix_tokens, quality_rules, sentencepiece_tokenizers, source_mix, token_alignment, wordids
 from sparkloom.llm.common import discard, scratch_path, spread, written
 from sparkloom.plans import Query
 from sparkloom.sources import read_table
@@ -94,6 +94,11 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.join(_documents(spark, folder))
 
 
+def op11_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words of every document a mix of sources to target weights takes."""
+    return source_mix.digests(_documents(spark, folder))
+
+
 def op12_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
     """Every document cut in prefix, middle and suffix, put in order for infilling, and rebuilt."""
     return fill_middle.digests(_documents(spark, folder))
@@ -115,6 +120,7 @@ QUERIES: dict[str, Query] = {
     "op8_best_fit_packing": Query(op8_best_fit_packing),
     "op9_exact_topk": Query(op9_exact_topk, exact_topk.oracle_sql(TOP_K, QUERY_EVERY)),
     "op10_jaccard_join": Query(op10_jaccard_join, jaccard_join.oracle_sql()),
+    "op11_source_mix": Query(op11_source_mix, source_mix.oracle_sql()),
     "op12_fill_middle": Query(op12_fill_middle, fill_middle.oracle_sql()),
     "op13_token_alignment": Query(op13_token_alignment),
 }
