@@ -14,9 +14,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+HOLDER = 12
 _WARRANTY = "is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"
 _LATER = "{x} is free software you can redistribute it and or modify it under the terms of the gnu {g} public license as published by the free software foundation either version {v} of the license or at your option any later version"
-# Known licence sentences, normalised (small letters and digits, single spaces), and their identifiers.
+# Known licence sentences, normalised (small letters and digits, single spaces), and their identifiers. A * stands for a holder's name, of at most HOLDER words.
 TEXTS = {
     "licensed under the apache license version 2 0 the license": "apache-2-notice",
     "you may not use this file except in compliance with the license": "apache-2-comply",
@@ -27,7 +28,7 @@ TEXTS = {
     "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit-as-is",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
     "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
-    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc-as-is",
+    "the software is provided as is and * disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc-as-is",
     "this program " + _WARRANTY: "gpl-no-warranty",
     "this library " + _WARRANTY: "lgpl-no-warranty",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "gpl-2-only",
@@ -37,10 +38,10 @@ TEXTS = {
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
     "all advertising materials mentioning features or use of this software must display the following acknowledgement": "bsd-4-advertising",
-    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-3-names",
-    "neither the name of the university nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-3-names",
-    "neither the name of the author nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-3-names",
-    "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission": "bsd-3-names",
+    "neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-3-names",
+    "neither the name of * nor the names of other contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-3-names",
+    "neither the name of * nor the names of any contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-3-names",
+    "the name of * may not be used to endorse or promote products derived from this software without specific prior written permission": "bsd-3-names",
     "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "mpl-2-copy",
     "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "mpl-2-copy",
     "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "epl-2-notice",
@@ -64,6 +65,7 @@ NAMES = (
     ("isc license", "ISC", "permissive", "isc-notice"),
     ("bsd 2 clause license", "BSD-2-Clause", "permissive", "bsd-2-notice"),
     ("bsd 3 clause license", "BSD-3-Clause", "permissive", "bsd-3-notice"),
+    ("bsd 4 clause license", "BSD-4-Clause", "permissive", "bsd-4-notice"),
     ("boost software license version 1 0", "BSL-1.0", "permissive", "bsl-notice"),
     ("zlib license", "Zlib", "permissive", "zlib-notice"),
     ("gnu general public license version 2", "GPL-2.0-only", "copyleft", "gpl-2-notice"),
@@ -75,6 +77,21 @@ NAMES = (
     ("eclipse public license version 2 0", "EPL-2.0", "copyleft", "epl-2-notice"),
     ("unlicense", "Unlicense", "public-domain", "unlicense-notice"),
 )
+# Other names in short notices.
+OTHER_NAMES = (
+    ("apache license 2 0", "apache-2-notice"),
+    ("apache 2 0 license", "apache-2-notice"),
+    ("apache license version 2", "apache-2-notice"),
+    ("gnu general public license v2", "gpl-2-notice"),
+    ("gnu general public license v3", "gpl-3-notice"),
+    ("gnu gpl version 2", "gpl-2-notice"),
+    ("gnu gpl version 3", "gpl-3-notice"),
+    ("gnu affero general public license v3", "agpl-3-notice"),
+    ("gnu lesser general public license v3", "lgpl-3-notice"),
+    ("mozilla public license 2 0", "mpl-2-notice"),
+    ("eclipse public license 2 0", "epl-2-notice"),
+    ("boost software license 1 0", "bsl-notice"),
+)
 # Kinds of the 4.0 Creative Commons licences: the letters, the full name, the class.
 COMMONS = (
     ("by", "attribution", "permissive"),
@@ -90,22 +107,28 @@ BEGINNINGS = ("licensed under", "released under", "distributed under", "this wor
 LATER = {"gpl-2-later": "GPL-2.0-or-later", "gpl-3-later": "GPL-3.0-or-later", "lgpl-2.1-later": "LGPL-2.1-or-later", "lgpl-3-later": "LGPL-3.0-or-later", "agpl-3-later": "AGPL-3.0-or-later"}
 
 
-def _spoken(name: str) -> str:
-    return "".join(c if c.isalnum() else " " for c in name.lower())
-
-
-#: All known sentences: the texts, and the short notices and tags that the names make.
+#: All known sentences: the texts, and the short notices that the names make.
 SENTENCES = (
     TEXTS
-    | {f"{begin} the {name}": key for begin in BEGINNINGS for name, _, _, key in NAMES}
+    | {f"{begin} {the}{name}": key for begin in BEGINNINGS for name, key in ((*((n, k) for n, *_, k in NAMES), *OTHER_NAMES)) for the in ("the ", "")}
     | {f"{begin} cc {letters} 4 0": f"cc-{letters.replace(' ', '-')}-4" for begin in BEGINNINGS if "licensed" in begin for letters, _, _ in COMMONS}
     | {f"this work is licensed under a creative commons {name} 4 0 international license": f"cc-{letters.replace(' ', '-')}-4" for letters, name, _ in COMMONS}
-    | {f"spdx license identifier {_spoken(name)}": key for _, name, _, key in NAMES}
-    | {f"spdx license identifier {_spoken(name)}": key for key, name in LATER.items()}
-    | {f"spdx license identifier cc {letters} 4 0": f"cc-{letters.replace(' ', '-')}-4" for letters, _, _ in COMMONS}
 )
+#: Identifiers of the names in tags, which are compared without regard to case. The last ones are older names; any other name may end in a plus.
+TAG_NAMES = (
+    {name.lower(): key for _, name, _, key in NAMES}
+    | {name.lower(): key for key, name in LATER.items()}
+    | {f"cc-{letters.replace(' ', '-')}-4.0": f"cc-{letters.replace(' ', '-')}-4" for letters, _, _ in COMMONS}
+    | {"cc0-1.0": "cc0-notice"}
+    | {name.lower().removesuffix("-only"): key for _, name, _, key in NAMES}
+    | {f"{name.lower().removesuffix('-or-later')}+": key for key, name in LATER.items()}
+)
+# A tag and its expression: names, each perhaps in brackets, with AND, OR or WITH between; a name; what is added to a name by WITH.
+_NAME = r"[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?"
+_TAG = rf"(?i)SPDX-License-Identifier:[ \t]*([( \t]*{_NAME}(?:[) \t]*[ \t)](?:AND|OR|WITH)[ \t(][( \t]*{_NAME})*)"
+_WITH = rf"(?i)[ \t)]WITH[ \t(]+{_NAME}"
 # Every known sentence has one of these, each within a word, so a text without any has none.
-HINTS = ("licens", "reserved", "permi", "redistribut", "warrant", "acknowledgement", "mozilla", "unencumbered", "neighboring")
+HINTS = ("licens", "reserved", "permi", "redistribut", "warrant", "acknowledgement", "mozilla", "unencumbered", "neighboring", "gpl")
 # Ordered rules: a sequence of identifiers, the licence's SPDX name (LicenseRef- where there is none), and its class.
 RULES = (
     (("apache-2-notice", "apache-2-comply", "apache-2-copy", "apache-2-as-is"), "Apache-2.0", "permissive"),
@@ -150,17 +173,23 @@ _HARD, _SIGNS = f"[.!?]{_BREAK}", r"""(?m)^[ \t]*(?:[!%;:"'<>({][!%;:"'<>({*#/|-
 
 
 def _alternatives(sentences: list[list[str]]) -> str:
-    """A pattern of word lists that share their beginnings, longer ones first; words have a space or a soft end between."""
+    """A pattern of word lists that share their beginnings, longer ones first; words have a space or a soft end between, a holder's name also hard ones."""
     heads: dict[str, list[list[str]]] = {}
     for first, *rest in sentences:
         heads.setdefault(first, []).append(rest)
     out = []
     for word in sorted(heads, key=len, reverse=True):
         more = [r for r in heads[word] if r]
-        out.append(word + (f"(?:[ S](?:{_alternatives(more)}))" + "?" * (len(more) < len(heads[word])) if more else ""))
+        own, between = (f"[a-z0-9]+(?:[ SH][a-z0-9]+){{0,{HOLDER - 1}}}?", "[ SH]") if word == "*" else (word, "[ S]")
+        out.append(own + (f"(?:{between}(?:{_alternatives(more)}))" + "?" * (len(more) < len(heads[word])) if more else ""))
     return "|".join(out)
 
 
+def _slots() -> list[tuple[str, str]]:
+    """Beginning and end of each known sentence with a holder's name."""
+    return [tuple(s.split("*")) for s in SENTENCES if "*" in s]
+
+
 def _known_sentences(text: F.Column) -> F.Column:
     """The known sentences of a text, in order: whole pieces between ends, and pieces joined over soft ends.
 
@@ -172,7 +201,20 @@ def _known_sentences(text: F.Column) -> F.Column:
     marked = F.concat(F.lit("H"), F.replace(F.regexp_replace(cut, _HARD, "H"), F.lit(_BREAK), F.lit("S")), F.lit("H"))
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(marked, "[^a-z0-9SH]+", " "), " ?S[ S]*", "S"), "[ S]?H[ SH]*", "H")
     longest = _alternatives([s.split() for s in SENTENCES])
-    return F.transform(F.regexp_extract_all(plain, F.lit(f"[HS](?:{longest})(?=[HS])"), F.lit(0)), lambda m: F.translate(F.substring(m, 2, 1 << 20), "S", " "))
+
+    def known(match: F.Column) -> F.Column:
+        words = F.translate(F.substring(match, 2, 1 << 20), "SH", "  ")
+        return reduce(lambda w, slot: F.when(F.startswith(w, F.lit(slot[0])) & F.endswith(w, F.lit(slot[1])), F.lit("*".join(slot))).otherwise(w), _slots(), words)
+
+    return F.transform(F.regexp_extract_all(plain, F.lit(f"[HS](?:{longest})(?=[HS])"), F.lit(0)), known)
+
+
+def _tagged(text: F.Column) -> F.Column:
+    """The identifiers of the names in a text's SPDX tags, in order: of all names that AND and OR join, but not of what WITH adds."""
+    names = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(_TAG), F.lit(1)), lambda e: F.regexp_extract_all(F.lower(F.regexp_replace(e, _WITH, " ")), F.lit(_NAME), F.lit(0))))
+    known = F.expr("map(" + ", ".join(f"'{n}', '{i}'" for n, i in TAG_NAMES.items()) + ")")
+    ids = F.transform(names, lambda n: F.coalesce(F.try_element_at(known, n), F.try_element_at(known, F.regexp_replace(n, "[+]$", ""))))
+    return F.filter(ids, lambda i: i.isNotNull())
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -181,7 +223,10 @@ def scan(docs: DataFrame) -> DataFrame:
     licenses: the SPDX names of the rules that matched, in the order of the rules,
     each once, joined by commas; license_class: the strictest of their classes.
     Both are empty strings where no rule matches; n_sentences counts the known
-    sentences. A known sentence may hold line ends, with or without
+    sentences, and the known names in SPDX tags. A tag is read as an expression,
+    wherever it stands: all names that AND or OR join are found, a plus is "or later",
+    what WITH adds is left out, unknown names are no licences. A holder's name may
+    stand where a known sentence has a place for it. A known sentence may hold line ends, with or without
     comment signs, and stops at ';' or ':'. A rule matches where its identifiers follow each other with no
     other known sentence between; ordinary text between does not matter, and
     several licences, also repeated ones, are all found. A null text is empty;
@@ -192,6 +237,8 @@ def scan(docs: DataFrame) -> DataFrame:
     shelves = [[x for s, i in SENTENCES.items() if zlib.crc32(s.encode()) % _SHELVES == k for x in (s, i)] for k in range(_SHELVES)]
     known = F.expr("array(" + ", ".join(f"cast(map({', '.join(map(repr, x))}) as map<string, string>)" for x in shelves) + ")")
     ids = F.transform(_known_sentences(text), lambda s: F.try_element_at(F.get(known, F.pmod(F.crc32(s), F.lit(_SHELVES)).cast("int")), s))
+    tags = F.when(F.contains(F.lower(text), F.lit("spdx-license-identifier:")), _tagged(text)).otherwise(F.array().cast("array<string>"))
+    ids = F.concat(ids, tags)
     df = docs.select("doc_id", F.explode(F.array(F.when(hint, ids).otherwise(F.array().cast("array<string>")))).alias("_ids"))
     df = df.withColumn("n_sentences", F.size("_ids").cast("long"))
     # each identifier between commas of its own, so that one rule's match does not hide its neighbour
@@ -211,8 +258,13 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def oracle_sql(documents: str = "documents") -> str:
-    """DuckDB SQL for scan(), but for known sentences with an end inside them, which it does not find."""
+    """DuckDB SQL for scan(): one plain list of all sentences as the pattern, with every end written twice, once for each sentence at it."""
+    held = " [a-z0-9]+(?:(?: |SS|HH)[a-z0-9]+){0,%d}?(?: |SS|HH)" % (HOLDER - 1)
+    pattern = "|".join((held if "*" in s else "").join(part.strip().replace(" ", "(?: |SS)") for part in s.split("*")) for s in sorted(SENTENCES, key=len, reverse=True))
     table = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
+    tags = ", ".join(f"('{n}', '{i}')" for n, i in TAG_NAMES.items())
+    slot = " ".join(f"WHEN starts_with(w, '{a}') AND ends_with(w, '{b}') THEN '{a}*{b}'" for a, b in _slots())
+    signs = _SIGNS.replace("(?=[ \\t\\r\\n]|$)", "([ \\t\\r\\n]|$)").replace("'", "''")
     steps, names, kinds = [], [], []
     for k, (sequence, name, kind) in enumerate(RULES):
         want = "," + ",,".join(sequence) + ","
@@ -221,10 +273,21 @@ def oracle_sql(documents: str = "documents") -> str:
         kinds.append((kind, f"m{k}"))
     strict = " ".join(f"WHEN {' OR '.join(m for c, m in kinds if c == want)} THEN '{want}'" for want in CLASSES)
     return rf"""
-WITH known(s, id) AS (VALUES {table}),
-d AS (SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '{_STOP}', '\1' || chr(1), 'g'), '{_LINE}', '\1' || chr(1) || '\2', 'g'), chr(1)) AS p FROM {documents}),
-u AS (SELECT r, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS x FROM d),
-i AS (SELECT r, string_agg(id, ',,' ORDER BY i) AS ids, count(*) AS n FROM u JOIN known ON s = trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) GROUP BY r),
+WITH known(s, id) AS (VALUES {table}), tag(s, id) AS (VALUES {tags}),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM {documents}),
+a AS (SELECT r, lower(regexp_replace(regexp_replace(regexp_replace(text, '{signs}', '#;\1', 'g'), '{_STOP}', '\1' || chr(1), 'g'), '{_LINE}', '\1' || chr(1) || '\2', 'g')) AS x FROM d WHERE regexp_matches(lower(text), '{"|".join(HINTS)}')),
+b AS (SELECT r, 'H' || replace(regexp_replace(x, '[.!?]' || chr(1), 'H', 'g'), chr(1), 'S') || 'H' AS x FROM a),
+c AS (SELECT r, regexp_replace(regexp_replace(regexp_replace(x, '[^a-z0-9SH]+', ' ', 'g'), ' ?S[ S]*', 'S', 'g'), '[ S]?H[ SH]*', 'H', 'g') AS x FROM b),
+e AS (SELECT r, regexp_extract_all(replace(replace(x, 'S', 'SS'), 'H', 'HH'), '[HS](?:{pattern})[HS]') AS p FROM c),
+u AS (SELECT r, unnest(range(1, len(p) + 1)) AS i, regexp_replace(substr(unnest(p), 2), '[HS]+$', '') AS x FROM e),
+v AS (SELECT r, i, replace(replace(x, 'SS', ' '), 'HH', ' ') AS w FROM u),
+w AS (SELECT r, i, CASE {slot} ELSE w END AS w FROM v),
+x AS (SELECT r, i, unnest(range(1, len(y) + 1)) AS j, lower(unnest(y)) AS w FROM
+    (SELECT r, i, regexp_extract_all(regexp_replace(z, '{_WITH}', ' ', 'g'), '{_NAME}') AS y FROM
+        (SELECT r, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS z FROM (SELECT r, regexp_extract_all(text, '{_TAG}', 1) AS p FROM d WHERE regexp_matches(lower(text), '{"|".join(HINTS)}'))))),
+y AS (SELECT r, 0 AS k, i, 0 AS j, id FROM w JOIN known ON s = w UNION ALL
+    SELECT r, 1, i, j, coalesce(t.id, o.id) FROM x LEFT JOIN tag t ON t.s = w LEFT JOIN tag o ON o.s = regexp_replace(w, '[+]$', '') WHERE coalesce(t.id, o.id) IS NOT NULL),
+i AS (SELECT r, string_agg(id, ',,' ORDER BY k, i, j) AS ids, count(*) AS n FROM y GROUP BY r),
 l AS (SELECT d.r, doc_id, ',' || coalesce(ids, '') || ',' AS left0, coalesce(n, 0) AS n FROM d LEFT JOIN i ON d.r = i.r),
 {", ".join(steps)}
 SELECT doc_id, array_to_string(list_filter(list_distinct_kept, lambda x: x IS NOT NULL), ',') AS licenses, CASE {strict} ELSE '' END AS license_class, CAST(n AS BIGINT) AS n_sentences

@@ -105,7 +105,7 @@ def test_edges(spark):
     assert [(r.size, r.target, r.copies) for r in none] == [(0, 0.0, 0)] * 2
     low = source_mix.mix(df, weights=(1,), share=0.01, most=3).collect()
     want = {r.source: r.target for r in low}
-    assert all(abs(sum(r.size * r.copies for r in low if r.source == s) - t) <= 20 for s, t in want.items())
+    assert all(abs(sum(r.size * r.copies for r in low if r.source == s) - t) <= 40 for s, t in want.items())
 
 
 def test_repeated(spark):

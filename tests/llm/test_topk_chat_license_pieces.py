@@ -225,9 +225,9 @@ def test_every_sentence_with_random_space(spark):
     rnd = random.Random(7)
     between = (" ", "  ", "\t", " \n", "\u00a0", "-", ", ", " (", ") ", '" ', "\r\n")
     say = lambda w, gaps: "".join(x + rnd.choice(gaps) for x in w[:-1]) + w[-1]
-    sentences = list(L.SENTENCES)
+    sentences = [s.replace("*", "Acme Widgets of Überlingen, Inc.") for s in L.SENTENCES]
     single = {sequence[0]: name for sequence, name, _ in reversed(L.RULES) if len(sequence) == 1}
-    want = [single.get(L.SENTENCES[s], "") for s in sentences]
+    want = [single.get(i, "") for i in L.SENTENCES.values()]
     texts = [f"Some words. {say(s.split(), between).capitalize()}. More words." for s in sentences]
     got = licences_of(spark, texts)
     assert [(a, n) for a, _, n in got] == [(w, 1) for w in want]
@@ -239,7 +239,7 @@ def test_every_sentence_with_random_space(spark):
 
 def test_sequences_take_their_sentences(spark):
     """Every rule's sentences in a row give that rule's licence alone."""
-    text_of = {i: s for s, i in reversed(L.SENTENCES.items())}
+    text_of = {i: s.replace("*", "Some Holder") for s, i in reversed(L.SENTENCES.items())}
     texts = [". ".join(text_of[i].capitalize() for i in sequence) + "." for sequence, _, _ in L.RULES]
     got = licences_of(spark, texts)
     assert [(a, k, n) for a, k, n in got] == [(name, kind, len(sequence)) for sequence, name, kind in L.RULES]
@@ -257,6 +257,41 @@ def test_ends_inside_known_sentences(spark):
     assert got == [("GPL-3.0-or-later", "copyleft", 1), ("", "", 1), ("", "", 0), ("MIT", "permissive", 1), ("", "", 0)]
 
 
+#: BSD-3-Clause as it stands in most files, with its holder's name.
+BSD_HELD = (BSD.replace("the copyright holder", "Acme Inc.") + "\n").replace("3. Neither", "2. Redistributions in binary form must reproduce the above copyright notice,\nthis list of conditions and the following disclaimer in the documentation and/or\nother materials provided with the distribution.\n\n3. Neither")
+GPL_2 = GPL.replace("software: you", "software; you").replace("version 3", "version 2")
+TAGS = {
+    "// SPDX-License-Identifier: MIT OR Apache-2.0\nint x;": ("MIT,Apache-2.0", "permissive", 2),
+    "SPDX-License-Identifier: GPL-2.0+": ("GPL-2.0-or-later", "copyleft", 1),
+    "/* spdx-license-identifier: GPL-2.0-only WITH Linux-syscall-note */": ("GPL-2.0-only", "copyleft", 1),
+    "SPDX-License-Identifier: (MIT and Zlib) OR (gpl-2.0 WITH Classpath-exception-2.0 AND CC-BY-4.0).": ("MIT,Zlib,GPL-2.0-only,CC-BY-4.0", "copyleft", 4),
+    "SPDX-License-Identifier: Apache-2.0+ AND LicenseRef-own": ("Apache-2.0", "permissive", 1),
+    "SPDX-License-Identifier:MIT or not": ("MIT", "permissive", 1),
+    "SPDX-License-Identifier: ORACLE": ("", "", 0),
+    "SPDX-License-Identifier:\nMIT": ("", "", 0),
+    "Licensed under the Apache License 2.0.": ("Apache-2.0", "permissive", 1),
+    "Released under MIT License.": ("MIT", "permissive", 1),
+}
+
+
+def test_holders_tags_and_their_sql(spark):
+    texts = {
+        BSD_HELD: ("BSD-3-Clause", "permissive", 4),
+        BSD_HELD.replace("Acme Inc.", "the University of California, Berkeley"): ("BSD-3-Clause", "permissive", 4),
+        BSD_HELD.replace("Acme Inc.", "word " * 30): ("BSD-2-Clause", "permissive", 3),
+        GPL_2: ("GPL-2.0-or-later", "copyleft", 2),
+        "".join(f"# {line}\n" for line in APACHE.split("\n")): ("Apache-2.0", "permissive", 4),
+        **{t: (name, kind, n) for t, name, kind, n in OFFICIAL},
+        **TAGS,
+        MIT + "SPDX-License-Identifier: ISC\n" + BSD_HELD: ("MIT,BSD-3-Clause,ISC", "permissive", 7),
+    }
+    got = licences_of(spark, list(texts))
+    for text, one in zip(texts, got, strict=True):
+        assert one == texts[text], text
+    table = pa.table({"doc_id": range(len(texts)), "text": list(texts)})
+    assert rows_of(L.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))) == duck_rows(L.oracle_sql(), documents=table)
+
+
 def test_pieces(spark):
     lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     rnd = random.Random(3)
