@@ -30,7 +30,7 @@ WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: Rates are whole numbers of 1 / RATE, multipliers of 1 / GRID from -REACH to REACH: so every sum is exact, and reruns agree.
 RATE, GRID, REACH = 1 << 20, 1 << 18, 1 << 26
 #: Rows of one source and size that are ranked together, about; of more, cells are made by a hash of the key.
-CELL = 4096
+CELL = 1024
 #: Sources and sizes of more than CELL rows that are broadcast, at most (some 40 bytes each); more are joined with salt.
 MOST_HOT = 500_000
 SALTS = 16
