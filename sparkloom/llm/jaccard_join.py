@@ -7,7 +7,8 @@ sampled token, and the nodes on a path are a bucket. A bucket that is small, or
 whose nodes agree among themselves so often that splitting would not part them,
 is compared within itself; any other is split again by sampled tokens. The runs
 needed for the target recall follow from the chance that a pair at the threshold
-parts in one run. Buckets are compared in cells of bounded size; a pair found in
+parts in all of them, at the depth that its buckets reach: nodes in buckets that
+are split further take further runs. Buckets are compared in cells of bounded size; a pair found in
 several buckets counts in the first of them only. Sketches leave out pairs that
 are far apart, all others are compared exactly by their shingles.
 """
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +41,22 @@ TARGET_RECALL = 0.99999
 CHUNK_NODES, CHUNK_SHINGLES = 400, 400_000
 
 
-def runs_needed(target: float = TARGET_RECALL, depth: int = 3) -> int:
-    """Runs until a pair at the threshold is missed by all with a chance of at most 1 - target, if each splits `depth` times."""
-    lost = 1 - (1 - (1 - NUMERATOR / DENOMINATOR) ** SAMPLED) ** depth
-    return math.ceil(math.log(1 - target) / math.log(lost))
+def missed(runs: int, splits: int) -> float:
+    """The chance that all runs part a pair at the threshold, if each splits it `splits` times.
+
+    It hangs on how many of the SKETCH tokens the two nodes agree in, which is the same
+    for all runs; pairs that agree in fewer than SKETCH_LEAST are the sketches' loss.
+    """
+    p, out = NUMERATOR / DENOMINATOR, 0.0
+    for agree in range(SKETCH_LEAST, SKETCH + 1):
+        lost = 1 - (1 - (1 - agree / SKETCH) ** SAMPLED) ** splits
+        out += math.comb(SKETCH, agree) * p**agree * (1 - p) ** (SKETCH - agree) * lost**runs
+    return out
+
+
+def runs_needed(splits: int, target: float = TARGET_RECALL) -> int:
+    """Runs until a pair at the threshold that each splits `splits` times is missed with a chance of at most 1 - target."""
+    return next(r for r in range(1, 1000) if missed(r, splits) <= 1 - target)
 
 
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -165,11 +179,32 @@ def _token(at: F.Column) -> F.Column:
 
 
 def leaves(nodes: DataFrame) -> DataFrame:
-    """leaf, size and node for every place of a node in a bucket that is compared; nodes (node, n, sig) are distinct."""
-    tokens = [(SAMPLED * r + k) % SKETCH for r in range(runs_needed()) for k in range(SAMPLED)]
-    each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), _token(F.lit(t)).alias("v")) for i, t in enumerate(tokens))))
-    live = nodes.select("node", "sig", each.alias("_p")).select(F.xxhash64("_p.i", "_p.v").alias("path"), "node")
-    found = []
+    """leaf, size and node for every place of a node in a bucket that is compared; nodes (node, n, sig) are distinct.
+
+    All nodes take the runs that one split needs; those whose buckets were split
+    again take more, until there are as many as the deepest of their buckets needs.
+    """
+    found, deep, done, splits = [], None, 0, 1
+    pool = nodes
+    while (need := runs_needed(splits)) > done:
+        more, split = _runs(pool, nodes, range(done, need))
+        found += more
+        done = need
+        for depth, rows in split:
+            splits = max(splits, depth)
+            deep = rows if deep is None else deep.unionByName(rows)
+        if deep is None:
+            break
+        pool = nodes.join(deep.distinct(), "node", "left_semi")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _runs(pool: DataFrame, nodes: DataFrame, runs: range) -> tuple[list[DataFrame], list[tuple[int, DataFrame]]]:
+    """Tables of leaf, size and node of these runs over the nodes in pool, and for each further split how many there were by then and which nodes it met."""
+    tokens = [(SAMPLED * r + k, (SAMPLED * r + k) % SKETCH) for r in runs for k in range(SAMPLED)]
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), _token(F.lit(t)).alias("v")) for i, t in tokens)))
+    live = pool.select("node", "sig", each.alias("_p")).select(F.xxhash64("_p.i", "_p.v").alias("path"), "node")
+    found, deeper = [], []
     for depth in range(DEPTH + 1):
         size = live.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         live = written(live.join(size, "path"), "join-paths")
@@ -189,11 +224,12 @@ def leaves(nodes: DataFrame) -> DataFrame:
         tight = written(agree.filter(F.col("agree") >= TIGHT).select("path"), "join-tight")
         found.append(big.join(tight, "path", "left_semi").select(F.col("path").alias("leaf"), "size", "node"))
         child = F.explode(F.array(*(F.xxhash64("path", F.lit(k), f"v{k}") for k in range(SAMPLED))))
-        live = split.join(tight, "path", "left_anti").select(child.alias("path"), "node")
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+        loose = split.join(tight, "path", "left_anti")
+        if loose.isEmpty():
+            break
+        deeper.append((depth + 2, loose.select("node")))
+        live = loose.select(child.alias("path"), "node")
+    return found, deeper
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

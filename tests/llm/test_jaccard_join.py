@@ -65,8 +65,12 @@ def test_all_pairs(spark, monkeypatch):
     assert got(df) == want  # by splits, tight buckets in several cells, and rows found by a join
     monkeypatch.setattr(J, "TIGHT", 2.0)
     monkeypatch.setattr(J, "DEPTH", 2)
+    took, plain = [], J._runs
+    monkeypatch.setattr(J, "_runs", lambda pool, every, runs: took.append((runs, pool.count())) or plain(pool, every, runs))
     leaf = J.leaves(nodes(df)).toPandas()
     assert leaf["size"].max() > 4  # split to the greatest depth
+    # all nodes take the runs of one split, those of split buckets the runs of three
+    assert [r for r, _ in took] == [range(0, J.runs_needed(1)), range(J.runs_needed(1), J.runs_needed(3))] and took[0][1] > took[1][1] > 0
 
 
 def test_keeps_one_of_each_class(spark, monkeypatch):
@@ -108,7 +112,8 @@ def test_intersections(monkeypatch):
 
 
 def test_runs_and_shingles():
-    assert J.runs_needed(0.99999) == 6 and J.runs_needed(0.9, depth=1) == 1
+    assert all(J.missed(J.runs_needed(d), d) <= 1 - J.TARGET_RECALL < J.missed(J.runs_needed(d) - 1, d) for d in range(1, J.DEPTH + 2))
+    assert J.runs_needed(3) > J.runs_needed(1, 0.9) == 1
     count, value = J.shingles(pa.array(["a b c d e f", "a b c d e", None, "", "a", "a b c d e f a b c d e"]))
     assert list(count) == [2, 1, 0, 0, 1, 6]
     assert value[2] in value[:2]
