@@ -1,11 +1,14 @@
 """Quality by nearest-neighbour voting among labelled latent-semantic vectors.
 
-Terms are what a text looks like, not what it says: trigrams of character
+Terms are of two kinds. Some tell what a text looks like: trigrams of character
 classes, words that repeat the word before, and the order of magnitude of its
-length. Their weighted counts are projected on the leading singular vectors of
-a bounded sample of labelled texts. The sample's vectors are broadcast; every
-document is compared with all of them, block by block, and the labels of its
-NEIGHBOURS nearest are averaged with their cosines as weights.
+length. The others are its words, hashed. The weighted counts of either kind are
+projected on the leading singular vectors of a bounded sample of labelled texts, and
+a vector is both projections beside each other. How much of a cosine is the words'
+share is the one of SHARES whose votes on the sample, each row left out of its own,
+have the least squared error. The sample's vectors are broadcast; every document is
+compared with all of them, block by block, and the labels of its NEIGHBOURS nearest
+are averaged with their cosines as weights.
 """
 
 from __future__ import annotations
@@ -24,10 +27,12 @@ from sparkloom.llm.chunks import slices, string_buffers
 from sparkloom.llm.common import settled
 from sparkloom.llm.wordhash import word_hashes
 
-#: Bounds of the fit: labelled rows of each label, hashed terms, latent dimensions. With NEIGHBOURS they bound what is broadcast (about 1.3 MB).
-SAMPLE_PER_LABEL, TERMS, DIMENSIONS, NEIGHBOURS = 2048, 2048, 48, 25
+#: Bounds of the fit: labelled rows of each label, hashed terms of form and of words, latent dimensions of either. They bound what is broadcast (about 2 MB).
+SAMPLE_PER_LABEL, FORM_TERMS, WORD_TERMS, FORM_AXES, WORD_AXES, NEIGHBOURS = 2048, 2048, 2048, 48, 32, 25
+TERMS = FORM_TERMS + WORD_TERMS
+SHARES = (0.0, 0.15, 0.3, 0.5, 0.7, 0.85, 1.0)
 _ROWS = 1500  # texts in a block
-_EXTRA = 64  # the last terms: repeats, lengths
+_EXTRA = 64  # the last terms of form: repeats, lengths
 _CLASSES = 40
 
 
@@ -42,25 +47,28 @@ def _classes() -> np.ndarray:
 
 
 _CLASS = _classes()
+#: Bytes as words are compared: small letters for capitals, a space for each mark.
+_FOLDED = np.array([b + 32 if chr(b).isupper() else 32 if 33 <= b < 127 and not chr(b).isalnum() else b for b in range(128)] + list(range(128, 256)), np.uint8)
 
 
 def term_counts(column: pa.Array) -> np.ndarray:
-    """Term counts of each text (rows) as float32; a null is an empty text, whose only term is its length's."""
+    """Term counts of each text (rows) as float32, form before words; a null is an empty text, whose only term is its length's."""
     offsets, raw = string_buffers(column)
     n = len(offsets) - 1
     text = np.repeat(np.arange(n), np.diff(offsets))
     c = _CLASS[raw]
-    main = TERMS - _EXTRA
+    main = FORM_TERMS - _EXTRA
     at = np.zeros(0, np.int64)
     if len(raw) > 2:
         same = text[2:] == text[:-2]
         code = (c[:-2] * _CLASSES + c[1:-1]) * _CLASSES + c[2:]
         at = text[2:][same] * TERMS + (code[same] * 2654435761 >> 7) % main
-    words, hashes = word_hashes(offsets, raw)
+    words, hashes = word_hashes(offsets, _FOLDED[raw])
     of = np.repeat(np.arange(n), words)
     again = np.flatnonzero((hashes[1:] == hashes[:-1]) & (of[1:] == of[:-1])) if len(of) else at[:0]
     size = np.floor(np.log2(np.diff(offsets) + 1)).astype(np.int64)
-    rest = np.concatenate([of[again] * TERMS + main, np.arange(n) * TERMS + main + 1 + np.minimum(size, _EXTRA - 2)])
+    said = of * TERMS + FORM_TERMS + (hashes % np.uint64(WORD_TERMS)).astype(np.int64)
+    rest = np.concatenate([said, of[again] * TERMS + main, np.arange(n) * TERMS + main + 1 + np.minimum(size, _EXTRA - 2)])
     return np.bincount(np.concatenate([at, rest]), minlength=n * TERMS).reshape(n, TERMS).astype(np.float32)
 
 
@@ -70,25 +78,57 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """What is broadcast: term weights, projection, the sample's unit vectors and labels."""
+    """What is broadcast: term weights, projections of both kinds, the words' share, the sample's unit vectors and labels."""
 
     weight: np.ndarray
-    axes: np.ndarray
+    form: np.ndarray
+    words: np.ndarray
+    share: float
     vectors: np.ndarray
     labels: np.ndarray
 
     def project(self, counts: np.ndarray) -> np.ndarray:
-        return _unit(_unit(np.log1p(counts) * self.weight) @ self.axes)
+        """Unit vectors: both kinds' own, scaled so that a cosine is the mean of theirs by share."""
+        x = np.log1p(counts)
+        x *= self.weight
+        parts = (_unit(_unit(x[:, :FORM_TERMS]) @ self.form), _unit(_unit(x[:, FORM_TERMS:]) @ self.words))
+        return np.hstack([p * np.float32(np.sqrt(s)) for p, s in zip(parts, (1 - self.share, self.share), strict=True)])
 
     def score(self, counts: np.ndarray) -> np.ndarray:
         """The weighted share of label 1 among the nearest; 0.5 where there is no sample."""
         if not len(self.labels):
             return np.full(len(counts), 0.5)
-        cos = self.project(counts) @ self.vectors.T
-        k = min(NEIGHBOURS, len(self.labels))
-        near = np.argpartition(cos, -k, axis=1)[:, -k:]
-        w = np.maximum(np.take_along_axis(cos, near, axis=1).astype(np.float64), 1e-9)
-        return np.clip((w * self.labels[near]).sum(1) / w.sum(1), 0.0, 1.0)
+        return _votes(self.project(counts) @ self.vectors.T, self.labels)
+
+
+def _votes(cos: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The weighted share of label 1 among the nearest of each row."""
+    k = min(NEIGHBOURS, len(labels))
+    near = np.argpartition(cos, -k, axis=1)[:, -k:]
+    w = np.maximum(np.take_along_axis(cos, near, axis=1).astype(np.float64), 1e-9)
+    return np.clip((w * labels[near]).sum(1) / w.sum(1), 0.0, 1.0)
+
+
+def _axes(m: np.ndarray, most: int) -> np.ndarray:
+    """The leading right singular vectors of the rows of m, by subspace iteration."""
+    basis = np.random.default_rng(20).standard_normal((m.shape[1], min(most + 16, len(m)))).astype(np.float32)
+    for _ in range(5):
+        basis = np.linalg.qr((m.T @ (m @ basis)).astype(np.float64))[0].astype(np.float32)
+    _, _, vt = np.linalg.svd((m @ basis).astype(np.float64), full_matrices=False)
+    return (basis @ vt.T.astype(np.float32))[:, :most]
+
+
+def _share(form: np.ndarray, words: np.ndarray, labels: np.ndarray) -> float:
+    """The words' share whose votes on the sample, without a row's own, are nearest the labels; the least such."""
+    error = np.zeros(len(SHARES))
+    for i in range(0, len(labels) if len(labels) > 1 else 0, 512):
+        sides = [x[i : i + 512] @ x.T for x in (form, words)]
+        own = np.arange(len(sides[0]))
+        for k, share in enumerate(SHARES):
+            cos = (1 - share) * sides[0] + share * sides[1]
+            cos[own, i + own] = -2.0
+            error[k] += ((_votes(cos, labels) - labels[i : i + 512]) ** 2).sum()
+    return SHARES[int(np.argmin(np.round(error, 9)))]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -98,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     of an id labelled twice the lower label counts, of an id with several rows the
     text of least hash; rows without label or text's row are left out. Only their
     term counts come to the driver, compressed (most are 0), and are opened one by
-    one into one matrix of 8 kB a row.
+    one into one matrix of 16 kB a row.
     """
     one = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_y"))
     one = one.filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1)
@@ -123,16 +163,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         m[k], got[k] = np.frombuffer(zlib.decompress(got[k].counts), np.float32), None  # one copy at a time
     weight = (np.log((1 + len(m)) / (1 + (m > 0).sum(0))) + 1).astype(np.float32)
     if not len(m):
-        return Model(weight, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), y)
+        none = np.zeros((FORM_TERMS, 1), np.float32), np.zeros((WORD_TERMS, 1), np.float32)
+        return Model(weight, *none, 0.0, np.zeros((0, 2), np.float32), y)
     np.log1p(m, out=m)
     m *= weight
-    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    basis = np.random.default_rng(20).standard_normal((TERMS, min(DIMENSIONS + 16, len(m)))).astype(np.float32)
-    for _ in range(5):  # subspace iteration for the leading right singular vectors
-        basis = np.linalg.qr((m.T @ (m @ basis)).astype(np.float64))[0].astype(np.float32)
-    _, _, vt = np.linalg.svd((m @ basis).astype(np.float64), full_matrices=False)
-    axes = (basis @ vt.T.astype(np.float32))[:, :DIMENSIONS]
-    return Model(weight, axes, _unit(m @ axes), y)
+    parts, latent = [], []
+    for part, most in ((m[:, :FORM_TERMS], FORM_AXES), (m[:, FORM_TERMS:], WORD_AXES)):
+        part /= np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-12)
+        parts.append(_axes(part, most))
+        latent.append(_unit(part @ parts[-1]))
+    share = _share(*latent, y)
+    return Model(weight, *parts, share, np.hstack([x * np.float32(np.sqrt(s)) for x, s in zip(latent, (1 - share, share), strict=True)]), y)
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -166,13 +166,39 @@ def test_repeated_ids_keep_their_place_only(spark, monkeypatch):
 def test_votes_are_exact():
     rnd = np.random.default_rng(0)
     counts = rnd.integers(0, 3, (40, knn_quality.TERMS)).astype(np.float32)
-    axes = rnd.standard_normal((knn_quality.TERMS, 8)).astype(np.float32)
-    model = knn_quality.Model(np.ones(knn_quality.TERMS, np.float32), axes, np.zeros((0, 8), np.float32), np.zeros(0))
+    form, words = (rnd.standard_normal((n, 8)).astype(np.float32) for n in (knn_quality.FORM_TERMS, knn_quality.WORD_TERMS))
+    ones = np.ones(knn_quality.TERMS, np.float32)
+    model = knn_quality.Model(ones, form, words, 0.3, np.zeros((0, 16), np.float32), np.zeros(0))
     vectors, labels = model.project(counts[:30]), rnd.integers(0, 2, 30).astype(float)
-    model = knn_quality.Model(model.weight, axes, vectors, labels)
+    model = knn_quality.Model(ones, form, words, 0.3, vectors, labels)
     got = model.score(counts[30:])
     for x, g in zip(model.project(counts[30:]), got, strict=True):
         cos = vectors @ x
         near = np.argsort(-cos)[: knn_quality.NEIGHBOURS]
         w = np.maximum(cos[near], 1e-9)
         assert g == pytest.approx((w * labels[near]).sum() / w.sum(), abs=1e-5)
+
+
+def test_a_label_of_words_is_learnt(spark):
+    """Texts of one shape, whose label hangs on which words they use most."""
+    rnd = np.random.default_rng(4)
+    vocabulary = ["".join(rnd.choice(list("abcdefghij"), 5)) for _ in range(400)]
+    rows, labels = [], []
+    for i in range(2000):
+        y = int(rnd.integers(0, 2))
+        own = rnd.random(60) < 0.7
+        half = rnd.integers(0, 200, 60) + 200 * np.where(own, y, 1 - y)
+        rows.append((i, " ".join(vocabulary[k] for k in half)))
+        labels.append((i, y))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    model = knn_quality.fit(docs, known)
+    got = knn_quality.score(docs, model).filter(knn_quality.held_out()).join(known, "doc_id").toPandas()
+    assert model.share > 0 and (got.predicted == got.quality).mean() >= 0.95
+
+
+def test_share_is_learnt():
+    rnd = np.random.default_rng(2)
+    labels = (np.arange(200) % 2).astype(float)
+    told, noise = (np.where(labels[:, None] > 0, 1.0, -1.0) * np.ones(4) if k else rnd.standard_normal((200, 4)) for k in (1, 0))
+    told, noise = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (told, noise))
+    assert 0 == knn_quality._share(told, noise, labels) < knn_quality._share(noise, told, labels)
