@@ -1,15 +1,15 @@
 """Exact top-k by inner product without random access (NRA).
 
-Each block of candidates has a sorted list for every component. The lists are
-read in slices, from both ends inwards, all to the same depth. What has been read
-of a candidate is a box: a component that was met is known, one that was not lies
-between the values last read at the two ends of its list. A query's score of a
-candidate then lies within centre . q plus or minus radius . |q|. The bar is the
-best of k lower bounds in this block and of k final scores in earlier blocks of
-the task; a candidate whose upper bound is under the bar is dropped, and a query
-is done with a block when no candidate is left, or when those left have been met
-in all lists, which makes their scores final. All queries of a block advance
-together as matrix products, until so few pairs are left that each goes for itself.
+Each block of candidates has a sorted list for every component. A query reads
+each list from the end that its own component's sign makes the best, in slices,
+all lists to the same depth. An entry that was met is known; one that was not is
+at most as good as the last one read. So every candidate has an upper bound, and
+the bounds rank those that lead. The scores of LEADERS times k of them are resolved
+after each slice: the k-th best of these, and of final scores in earlier blocks of the
+task, is the bar. A candidate whose upper bound is under the bar cannot qualify. A query
+stops reading when all but FEW of a block's candidates cannot, and the final scores
+of those left are resolved from their vectors; else it reads on, to the lists' other
+ends if need be. All queries of a block advance together as matrix products.
 
 Queries and candidates are both cut in blocks of bounded size, and every block
 of queries meets every block of candidates once, dealt evenly over tasks.
@@ -29,11 +29,13 @@ from sparkloom.llm.common import settled, shuffle_parts
 
 #: Vectors in a block of candidates and of queries.
 CANDIDATES, QUERIES = 4096, 512
-#: Shares of a list that have been read from each end when bounds are looked at; at the last all is read.
-DEPTHS = (0.28, 0.36, 0.42, 0.46, 0.5)
-#: Share of pairs that may still qualify under which they are looked at one by one.
-FEW = 0.05
-#: Pairs looked at one by one at a time.
+#: Shares of a list that have been read when bounds are looked at; at the last all is read.
+SLICES = (0.3, 0.36, 0.42, 0.48, 0.55, 0.65, 0.8, 1.0)
+#: Share of a block's candidates that may still qualify at which a query stops reading and has their scores resolved.
+FEW = 0.03
+#: How many of the candidates that lead are resolved after a slice, as a multiple of k.
+LEADERS = 4
+#: Pairs whose scores are resolved at a time.
 _PAIRS = 20_000
 
 
@@ -41,72 +43,67 @@ class Lists:
     """The sorted lists of a block of candidates (rows of x), and what is known of the candidates at each depth of reading."""
 
     def __init__(self, x: np.ndarray) -> None:
+        self.x = x.astype(np.float64)
         self.n, self.width = x.shape
-        self.order = np.argsort(x, axis=0, kind="stable")
-        self.value = np.take_along_axis(x.astype(np.float64), self.order, axis=0)
-        self.known, self.met = np.zeros(x.shape), np.zeros(x.shape, bool)
-        self.boxes: list[tuple[np.ndarray, np.ndarray]] = []
+        self.value = np.sort(self.x, axis=0)
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
 
     def entries(self, depth: int) -> int:
         """Entries of each list that are read at a depth."""
-        return min(self.n, 2 * int(np.ceil(self.n * DEPTHS[depth])))
-
-    def box(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Centre and radius of each candidate's box; lists are read on where they were left."""
-        while len(self.boxes) <= depth:
-            now = self.entries(len(self.boxes)) // 2
-            last = self.entries(len(self.boxes) - 1) // 2 if self.boxes else 0
-            ends = [slice(last, now), slice(self.n - now, self.n - last)]
-            if DEPTHS[len(self.boxes)] >= 0.5:
-                ends = [slice(last, self.n - last)]
-            for part in ends:
-                np.put_along_axis(self.known, self.order[part], self.value[part], axis=0)
-                np.put_along_axis(self.met, self.order[part], True, axis=0)
-            low, high = self.value[max(now - 1, 0)], self.value[min(self.n - now, self.n - 1)]
-            centre = np.where(self.met, self.known, (low + high) / 2)
-            self.boxes.append((centre, np.where(self.met, 0.0, np.abs(high - low) / 2)))
-        return self.boxes[depth]
+        return int(np.ceil(self.n * SLICES[depth]))
+
+    def known(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The greatest and the least that each component can be, read from the upper and from the lower ends: itself where it was met, else the last one read."""
+        while len(self.levels) <= depth:
+            m = self.entries(len(self.levels))
+            self.levels.append((np.maximum(self.x, self.value[self.n - m]), np.minimum(self.x, self.value[m - 1])))
+        return self.levels[depth]
+
+    def bounds(self, depth: int, queries: np.ndarray) -> np.ndarray:
+        """Upper bounds of every query's score of every candidate."""
+        most, least = self.known(depth)
+        return np.maximum(queries, 0) @ most.T + np.minimum(queries, 0) @ least.T
+
+    def resolved(self, queries: np.ndarray, a: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Final scores of pairs of a query and a candidate."""
+        out = np.empty(len(a))
+        for i in range(0, len(a), _PAIRS):
+            own = slice(i, i + _PAIRS)
+            out[own] = np.einsum("ij,ij->i", queries[a[own]], self.x[c[own]])
+        return out
 
 
 def block_top(lists: Lists, queries: np.ndarray, k: int, bar: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Query and candidate numbers and scores of all pairs that may be among a query's k best, and how many entries each query read.
+    """Query and candidate numbers and final scores of all pairs that may be among a query's k best, and how many entries each query read or resolved.
 
     bar: scores that k candidates of each query have elsewhere (-inf: none). Every
     candidate of the block that ties with or beats the k-th best of all is there.
     """
-    n, q = lists.n, queries.astype(np.float64)
-    weight, bar, read = np.abs(q), bar.copy(), np.zeros(len(q), np.int64)
-    open_ = np.arange(len(q))
-    pairs: tuple[np.ndarray, np.ndarray] | None = None
-    score = np.zeros(0)
-    for depth in range(len(DEPTHS)):
+    n, width, q = lists.n, lists.width, queries.astype(np.float64)
+    bar, read, open_ = bar.copy(), np.zeros(len(q), np.int64), np.arange(len(q))
+    led = np.zeros(len(q), np.int64)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 2]
+    for depth in range(len(SLICES)):
         if not len(open_):
             break
-        centre, radius = lists.box(depth)
-        read[open_] = lists.entries(depth) * lists.width
-        if pairs is None:
-            middle, most = q[open_] @ centre.T, weight[open_] @ radius.T
-            if n >= k:
-                bar[open_] = np.maximum(bar[open_], np.partition(middle - most, n - k, axis=1)[:, n - k])
-            stay = middle + most >= bar[open_][:, None]
-            if depth < len(DEPTHS) - 1 and stay.mean() > FEW:
-                open_ = open_[stay.any(1)]
-                continue
-            at, c = np.nonzero(stay)
-            a, score, most = open_[at], middle[stay], most[stay]
-        else:
-            a, c = pairs
-            score, most = np.empty(len(a)), np.empty(len(a))
-            for i in range(0, len(a), _PAIRS):
-                own = slice(i, i + _PAIRS)
-                score[own] = np.einsum("ij,ij->i", q[a[own]], centre[c[own]])
-                most[own] = np.einsum("ij,ij->i", weight[a[own]], radius[c[own]])
-            stay = score + most >= bar[a]
-            a, c, score, most = a[stay], c[stay], score[stay], most[stay]
-        pairs = a, c
-        # a query goes on reading while one of those left is not met in all lists
-        open_ = np.unique(a[most > 0])
-    return (*pairs, score, read) if pairs else (*(np.zeros(0, np.int64),) * 2, score, read)
+        upper = lists.bounds(depth, q[open_])
+        read[open_] = lists.entries(depth) * width
+        if n >= k:
+            many = min(n, LEADERS * k)
+            lead = np.argpartition(upper, n - many, axis=1)[:, n - many :]
+            own = lists.resolved(q, np.repeat(open_, many), lead.ravel()).reshape(-1, many)
+            bar[open_] = np.maximum(bar[open_], np.partition(own, many - k, axis=1)[:, many - k])
+            led[open_] += many
+        stay = upper >= bar[open_][:, None]
+        done = (stay.sum(1) <= max(FEW * n, k)) | (depth == len(SLICES) - 1)
+        at, c = np.nonzero(stay[done])
+        pairs.append((open_[done][at], c))
+        open_ = open_[~done]
+    a, c = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    read += (np.bincount(a, minlength=len(q)) + led) * width
+    score = lists.resolved(q, a, c)
+    good = score >= bar[a]
+    return a[good], c[good], score[good], read
 
 
 class Best:
