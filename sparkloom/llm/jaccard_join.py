@@ -41,22 +41,35 @@ TARGET_RECALL = 0.99999
 CHUNK_NODES, CHUNK_SHINGLES = 400, 400_000
 
 
-def missed(runs: int, splits: int) -> float:
-    """The chance that all runs part a pair at the threshold, if each splits it `splits` times.
+def _lost(agree: int, splits: int) -> float:
+    """The chance that a run parts two nodes that agree in so many of the SKETCH tokens, if it splits their bucket `splits` times."""
+    return 1 - (1 - (1 - agree / SKETCH) ** SAMPLED) ** splits
 
-    It hangs on how many of the SKETCH tokens the two nodes agree in, which is the same
-    for all runs; pairs that agree in fewer than SKETCH_LEAST are the sketches' loss.
-    """
-    p, out = NUMERATOR / DENOMINATOR, 0.0
-    for agree in range(SKETCH_LEAST, SKETCH + 1):
-        lost = 1 - (1 - (1 - agree / SKETCH) ** SAMPLED) ** splits
-        out += math.comb(SKETCH, agree) * p**agree * (1 - p) ** (SKETCH - agree) * lost**runs
-    return out
+
+def _agreement() -> dict[int, float]:
+    """The chances of a pair at the threshold to agree in so many tokens; pairs that agree in fewer than SKETCH_LEAST are the sketches' loss."""
+    p = NUMERATOR / DENOMINATOR
+    return {k: math.comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k) for k in range(SKETCH_LEAST, SKETCH + 1)}
+
+
+def missed(splits: list[int]) -> float:
+    """The chance that a pair at the threshold parts in all runs, of which each splits its bucket so often. How much it agrees in is the same for all runs."""
+    return sum(p * math.prod(_lost(k, s) for s in splits) for k, p in _agreement().items())
 
 
 def runs_needed(splits: int, target: float = TARGET_RECALL) -> int:
-    """Runs until a pair at the threshold that each splits `splits` times is missed with a chance of at most 1 - target."""
-    return next(r for r in range(1, 1000) if missed(r, splits) <= 1 - target)
+    """Runs until a pair at the threshold whose bucket each splits `splits` times is missed with a chance of at most 1 - target."""
+    return next(r for r in range(1, 1000) if missed([splits] * r) <= 1 - target)
+
+
+def _missed_by_node(deep: DataFrame, runs: int) -> DataFrame:
+    """node, splits (most of a run) and missed: the bound on missing any of its pairs after so many runs. deep: node, run, splits of the runs that split more than once."""
+    depth = range(2, DEPTH + 2)
+    each = deep.groupBy("node", "run").agg(F.max("splits").alias("splits")).groupBy("node")
+    by_node = each.agg(F.max("splits").alias("splits"), F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("splits") == d).alias(f"n{d}") for d in depth))
+    log = lambda k, s: math.log(max(_lost(k, s), 1e-300))
+    terms = [F.lit(p) * F.exp((F.lit(runs) - F.col("n")) * log(k, 1) + reduce(lambda x, y: x + y, (F.col(f"n{d}") * log(k, d) for d in depth))) for k, p in _agreement().items()]
+    return by_node.select("node", "splits", reduce(lambda x, y: x + y, terms).alias("missed"))
 
 
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -181,29 +194,32 @@ def _token(at: F.Column) -> F.Column:
 def leaves(nodes: DataFrame) -> DataFrame:
     """leaf, size and node for every place of a node in a bucket that is compared; nodes (node, n, sig) are distinct.
 
-    All nodes take the runs that one split needs; those whose buckets were split
-    again take more, until there are as many as the deepest of their buckets needs.
+    All nodes take one run more than a single split needs. Those whose buckets were
+    split so often that the chance to miss a pair of theirs is still above the target's
+    take further runs, as many as the deepest of their buckets needs.
     """
-    found, deep, done, splits = [], None, 0, 1
-    pool = nodes
-    while (need := runs_needed(splits)) > done:
+    found, deep, done, pool, need = [], None, 0, nodes, runs_needed(1) + 1
+    while True:
         more, split = _runs(pool, nodes, range(done, need))
         found += more
         done = need
-        for depth, rows in split:
-            splits = max(splits, depth)
-            deep = rows if deep is None else deep.unionByName(rows)
+        deep = reduce(DataFrame.unionByName, [*([] if deep is None else [deep]), *split]) if split else deep
         if deep is None:
             break
-        pool = nodes.join(deep.distinct(), "node", "left_semi")
+        short = written(_missed_by_node(deep, done).filter(F.col("missed") > 1 - TARGET_RECALL), "join-short")
+        most = short.agg(F.max("splits")).first()[0]
+        if most is None:
+            break
+        pool = nodes.join(short.select("node"), "node", "left_semi")
+        need = max(done + 2, runs_needed(most))
     return reduce(DataFrame.unionByName, found)
 
 
-def _runs(pool: DataFrame, nodes: DataFrame, runs: range) -> tuple[list[DataFrame], list[tuple[int, DataFrame]]]:
-    """Tables of leaf, size and node of these runs over the nodes in pool, and for each further split how many there were by then and which nodes it met."""
-    tokens = [(SAMPLED * r + k, (SAMPLED * r + k) % SKETCH) for r in runs for k in range(SAMPLED)]
-    each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), _token(F.lit(t)).alias("v")) for i, t in tokens)))
-    live = pool.select("node", "sig", each.alias("_p")).select(F.xxhash64("_p.i", "_p.v").alias("path"), "node")
+def _runs(pool: DataFrame, nodes: DataFrame, runs: range) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Tables of leaf, size and node of these runs over the nodes in pool, and of node, run and splits of the buckets that were split again."""
+    tokens = [(SAMPLED * r + k, (SAMPLED * r + k) % SKETCH, r) for r in runs for k in range(SAMPLED)]
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), _token(F.lit(t)).alias("v"), F.lit(r).alias("run")) for i, t, r in tokens)))
+    live = pool.select("node", "sig", each.alias("_p")).select(F.xxhash64("_p.i", "_p.v").alias("path"), "node", "_p.run")
     found, deeper = [], []
     for depth in range(DEPTH + 1):
         size = live.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -216,7 +232,7 @@ def _runs(pool: DataFrame, nodes: DataFrame, runs: range) -> tuple[list[DataFram
         if big.isEmpty():
             break
         pick = [F.pmod(F.xxhash64("path", F.lit(7 * k + depth)), F.lit(SKETCH)) for k in range(SAMPLED)]
-        split = big.join(nodes.select("node", "sig"), "node").select("path", "size", "node", *(_token(p).alias(f"v{k}") for k, p in enumerate(pick)))
+        split = big.join(nodes.select("node", "sig"), "node").select("path", "size", "node", "run", *(_token(p).alias(f"v{k}") for k, p in enumerate(pick)))
         split = written(split, "join-splits")
         # how often two of a bucket's nodes agree, by one token: a split would not part those that agree in most
         parts = split.groupBy("path", "v0").agg(F.max("size").cast("double").alias("size"), F.count(F.lit(1)).cast("double").alias("c"))
@@ -225,10 +241,8 @@ def _runs(pool: DataFrame, nodes: DataFrame, runs: range) -> tuple[list[DataFram
         found.append(big.join(tight, "path", "left_semi").select(F.col("path").alias("leaf"), "size", "node"))
         child = F.explode(F.array(*(F.xxhash64("path", F.lit(k), f"v{k}") for k in range(SAMPLED))))
         loose = split.join(tight, "path", "left_anti")
-        if loose.isEmpty():
-            break
-        deeper.append((depth + 2, loose.select("node")))
-        live = loose.select(child.alias("path"), "node")
+        deeper.append(loose.select("node", "run", F.lit(depth + 2).alias("splits")))
+        live = loose.select(child.alias("path"), "node", "run")
     return found, deeper
 
 

@@ -69,8 +69,15 @@ def test_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(J, "_runs", lambda pool, every, runs: took.append((runs, pool.count())) or plain(pool, every, runs))
     leaf = J.leaves(nodes(df)).toPandas()
     assert leaf["size"].max() > 4  # split to the greatest depth
-    # all nodes take the runs of one split, those of split buckets the runs of three
-    assert [r for r, _ in took] == [range(0, J.runs_needed(1)), range(J.runs_needed(1), J.runs_needed(3))] and took[0][1] > took[1][1] > 0
+    # all nodes take the runs of one split and one more, those of buckets that were split in most runs take those of three
+    assert [r for r, _ in took] == [range(0, J.runs_needed(1) + 1), range(J.runs_needed(1) + 1, J.runs_needed(3))] and took[0][1] > took[1][1] > 0
+
+
+def test_bound_by_node(spark):
+    runs = [(b"a", 0, 2), (b"a", 0, 4), (b"a", 3, 3), (b"b", 1, 9), *((b"c", r, 5) for r in range(6))]
+    got = {bytes(r.node): (r.splits, r.missed) for r in J._missed_by_node(spark.createDataFrame(runs, "node binary, run int, splits int"), 6).collect()}
+    want = {b"a": (4, J.missed([4, 3, 1, 1, 1, 1])), b"b": (9, J.missed([9, 1, 1, 1, 1, 1])), b"c": (5, J.missed([5] * 6))}
+    assert all(got[k][0] == s and abs(got[k][1] - m) < 1e-12 for k, (s, m) in want.items()) and got.keys() == want.keys()
 
 
 def test_keeps_one_of_each_class(spark, monkeypatch):
@@ -112,7 +119,7 @@ def test_intersections(monkeypatch):
 
 
 def test_runs_and_shingles():
-    assert all(J.missed(J.runs_needed(d), d) <= 1 - J.TARGET_RECALL < J.missed(J.runs_needed(d) - 1, d) for d in range(1, J.DEPTH + 2))
+    assert all(J.missed([d] * J.runs_needed(d)) <= 1 - J.TARGET_RECALL < J.missed([d] * (J.runs_needed(d) - 1)) for d in range(1, J.DEPTH + 2))
     assert J.runs_needed(3) > J.runs_needed(1, 0.9) == 1
     count, value = J.shingles(pa.array(["a b c d e f", "a b c d e", None, "", "a", "a b c d e f a b c d e"]))
     assert list(count) == [2, 1, 0, 0, 1, 6]
