@@ -80,28 +80,39 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], left_time: s
 def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:
     """Pairs with low <= value < high, without an equi-key.
 
-    Both sides are put in bins of `width`, ranges in each bin that they touch, so
-    that it is an equi-join on the bin and not a product; each pair has one bin.
-    A range is repeated for each bin that it touches: choose a width of the usual
-    range's size. A null value, low or high matches nothing, nor does a range of
-    low >= high; ties and repeated rows give each their pairs.
+    Ranges are put in levels: those of up to `width` are in bins of `width`, longer ones in
+    bins twice as wide for each level, so a range touches two or three bins whatever its
+    length. Points are in one bin of each level that occurs, which is looked up first (one
+    small number for each). So it is an equi-join on level and bin, not a product, and each
+    pair has one bin. Ranges with an infinite end are a level of one bin, which every point
+    meets: there should be few. A null or NaN value, low or high matches nothing, nor does
+    a range of low >= high; ties and repeated rows give each their pairs.
     """
-    own = free_name("_bin", points, ranges)
-    bins = F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))
-    spread = ranges.filter(F.col(low) < F.col(high)).withColumn(own, F.explode(bins))
-    binned = points.withColumn(own, F.floor(F.col(value) / width))
-    return binned.join(spread, own).filter((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop(own)
+    own, level = free_name("_bin", points, ranges), free_name("_level", points, ranges)
+    lo, hi, endless = F.col(low).cast("double"), F.col(high).cast("double"), 1 << 20
+    infinite = (F.abs(lo) == float("inf")) | (F.abs(hi) == float("inf")) | (hi - lo == float("inf"))
+    of = F.when(infinite, endless).otherwise(F.greatest(F.lit(0), F.ceil(F.log2((hi - lo) / width)))).cast("int")
+    bin_ = lambda c: F.when(F.col(level) == endless, F.lit(0).cast("double")).otherwise(F.floor(c / (F.pow(F.lit(2.0), F.col(level)) * width)).cast("double"))
+    real = ranges.filter((lo < hi) & ~F.isnan(lo) & ~F.isnan(hi)).withColumn(level, of)
+    levels = [r[0] for r in real.select(level).distinct().collect()]  # no more than the exponents of a double
+    first, last = bin_(lo), bin_(hi)
+    spread = real.withColumn(own, F.explode(F.array_distinct(F.array(first, F.least(first + 1, last), last))))
+    x = F.col(value).cast("double")
+    some = points.filter(F.col(value).isNotNull() & ~F.isnan(x)).withColumn(level, F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    binned = some.withColumn(own, bin_(x))
+    return binned.join(spread, [level, own]).filter((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop(level, own)
 
 
 def salted_join(hot: DataFrame, other: DataFrame, on: list[str], salts: int, how: str = "inner", spread: Column | None = None) -> DataFrame:
     """An equi-join whose left side's hot keys are dealt over `salts` tasks; the right side is repeated as often.
 
     For inner, left and left semi or anti joins. `spread` picks a row's salt (by
-    default a hash of all its columns, so equal runs give equal plans).
+    default a hash of all its columns but those with maps, so equal runs give equal plans).
+    A null key matches nothing; ties and repeated rows give each their pairs.
     """
     if how not in {"inner", "left", "left_semi", "left_anti"}:
         raise ValueError(f"the right side cannot be repeated in a {how} join")
-    by = F.xxhash64(*hot.columns) if spread is None else spread
+    by = F.xxhash64(*("`" + f.name.replace("`", "``") + "`" for f in hot.schema.fields if "map<" not in f.dataType.simpleString())) if spread is None else spread
     own = free_name("_salt", hot, other)
     a = hot.withColumn(own, F.pmod(by, F.lit(salts)).cast("int"))
     b = other.withColumn(own, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -4,20 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.operators.joins import free_name, time_bin
+from sparkloom.sources import settled_table
 
 
 def top_k_per_group(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
-    """The first k rows of each group; Spark prunes groups before the shuffle (WindowGroupLimit)."""
+    """The first k rows of each group; Spark prunes groups before the shuffle (WindowGroupLimit).
+
+    A null in `by` is a group like others; rows that tie in `order` come in any order; a column called `name` is replaced.
+    """
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(name) <= k)
 
 
+def _quoted(column: str) -> Column:
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def latest_per_key(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """The row of each key that is greatest in `order`, then in the other columns: an aggregate, so a hot key is reduced where it lies."""
+    """The row of each key that is greatest in `order`, then in the other columns: an aggregate, so a hot key is reduced where it lies.
+
+    A null is the least value, and a null key a key; maps cannot be compared, so of rows alike
+    in all other columns any one's map is taken. Column names may hold dots.
+    """
     rest = [c for c in df.columns if c not in by and c not in order]
-    best = df.groupBy(*by).agg(F.max(F.struct(*order, *rest)).alias("_row"))
-    return best.select(*by, *(F.col(f"_row.{c}").alias(c) for c in (*order, *rest))).select(*df.columns)
+    ranked = [f.name for f in df.schema.fields if f.name in rest and not _holds_map(f.dataType)]
+    row = free_name("_row", df)
+    values = [c for c in df.columns if c not in by]
+    whole = F.struct(*(_quoted(c).alias(f"c{i}") for i, c in enumerate(values)))
+    place = F.struct(*(_quoted(c).alias(f"o{i}") for i, c in enumerate((*order, *ranked))))
+    best = df.groupBy(*map(_quoted, by)).agg(F.max_by(whole, place).alias(row))
+    at = {c: F.col(f"{row}.c{i}").alias(c) for i, c in enumerate(values)}
+    return best.select(*(at.get(c, _quoted(c)) for c in df.columns))
+
+
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType) or (isinstance(kind, T.ArrayType) and _holds_map(kind.elementType))
 
 
 def pivot_counts(df: DataFrame, by: list[str], column: str, values: list[str]) -> DataFrame:
@@ -33,7 +58,8 @@ def unpivot(df: DataFrame, keys: list[str], columns: list[str], name: str = "nam
 def exact_quantiles(df: DataFrame, by: list[str], column: str, at: dict[str, float], pieces: int = 64) -> DataFrame:
     """by and a column for each of `at` (name: share from 0 to 1): quantiles with linear interpolation; null where a group has no value.
 
-    Values are counted first, so repeats do not travel; each group's range is cut in
+    Values are counted first, once, into a table of the shared folder, so df is read once
+    and repeats do not travel; each group's range is cut in
     `pieces` between its extremes, counts of pieces tell where each quantile lies, and
     only the values of those pieces are ranked. So no task holds a group whole.
     Nulls and NaN are left out; groups of nulls only stay. A column in `by` that bears
@@ -43,6 +69,7 @@ def exact_quantiles(df: DataFrame, by: list[str], column: str, at: dict[str, flo
     names = [f"k{i}" for i in range(len(keys))]
     x = F.col(column).cast("double")
     n = df.select(*keys, F.nanvl(x, F.lit(None)).alias("x")).groupBy(*names, "x").agg(F.count("x").alias("n"))
+    n = settled_table(n, "value-counts")
     ends = n.groupBy(*names).agg(F.min("x").alias("low"), F.max("x").alias("high"), F.sum("n").alias("all"))
     same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in names]
     joined = lambda a, b, how="inner": a.alias("a").join(b.alias("b"), same("a", "b"), how)

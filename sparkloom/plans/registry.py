@@ -18,10 +18,10 @@ class Query:
 
 def registered() -> dict[str, Query]:
     """All queries outside the llm subpackage, by name."""
-    from sparkloom.plans import relational, streams
+    from sparkloom.plans import pipelines, relational, streams
 
     out: dict[str, Query] = {}
-    for family in (relational.QUERIES, streams.QUERIES):
+    for family in (relational.QUERIES, streams.QUERIES, pipelines.QUERIES):
         if clash := out.keys() & family.keys():
             raise ValueError(f"registered twice: {sorted(clash)}")
         out |= family

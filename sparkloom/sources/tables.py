@@ -55,5 +55,5 @@ def bucketed(df: DataFrame, table: str, keys: list[str], buckets: int) -> DataFr
 
 
 def stream(spark: SparkSession, path: str, schema: T.StructType, files_each: int = 1) -> DataFrame:
-    """A Parquet folder as a stream of files."""
+    """A Parquet folder as a stream of files; a single file may be named by a pattern, such as "name.parque[t]"."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_each).parquet(path)
