@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom import operators as O
+from sparkloom.functions import extensions
 from sparkloom.plans.registry import Query
 from sparkloom.sources import read_table, settled_table, shared_path, write_shards
 
@@ -56,6 +57,19 @@ def observe_funnel(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(O.funnel_rows(stages, _LANGUAGES, seen), "stage string, lang string, n long, chars long")
 
 
+def udaf_trimmed_mean(spark: SparkSession, folder: str) -> DataFrame:
+    """The mean value of each user's events without the lowest and highest tenth."""
+    e = read_table(spark, folder, "events").groupBy("user_id").agg(extensions.trimmed_mean("value").alias("mean"))
+    return e.select("user_id", F.round("mean", 10).alias("mean"))
+
+
+def udtf_bands(spark: SparkSession, folder: str) -> DataFrame:
+    """Bands of 200 between each brand's lowest and highest price, by a lateral call of the table function."""
+    ends = read_table(spark, folder, "part").groupBy("p_brand").agg(F.floor(F.min("p_retailprice")).cast("double").alias("lo"), F.max("p_retailprice").alias("hi"))
+    bands = extensions.Bands(F.col("lo").outer(), F.col("hi").outer(), F.lit(200.0))
+    return ends.lateralJoin(bands).select("p_brand", "low", "high")
+
+
 _STAGES = (("all", "true"), ("long enough", "n_chars >= 200"), ("not too long", "n_chars BETWEEN 200 AND 5000"), ("even source", "n_chars BETWEEN 200 AND 5000 AND CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 2 = 0"))
 QUERIES: dict[str, Query] = {
     "win_running_total": Query(
@@ -72,5 +86,13 @@ QUERIES: dict[str, Query] = {
         sink_shards,
         f"WITH r AS (SELECT *, row_number() OVER (ORDER BY md5('{_SEED}:' || o_orderkey::varchar), o_orderkey) AS place FROM orders) SELECT (place - 1) // {_ROWS} AS shard, count(*) AS n_rows, min_by(o_orderkey, place) AS first_key, max_by(o_orderkey, place) AS last_key, CAST(sum(o_custkey) AS BIGINT) AS custkeys FROM r GROUP BY 1",
     ),
+    "udaf_trimmed_mean": Query(
+        udaf_trimmed_mean,
+        "SELECT user_id, round(avg(value), 10) AS mean FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) AS k, count(value) OVER (PARTITION BY user_id) AS n FROM events WHERE value IS NOT NULL) WHERE k > n // 10 AND k <= n - n // 10 GROUP BY 1",
+    ),
+    "udtf_bands": Query(
+        udtf_bands,
+        "SELECT p_brand, lo + 200 * k AS low, least(hi, lo + 200 * (k + 1)) AS high FROM (SELECT p_brand, CAST(floor(min(p_retailprice)) AS DOUBLE) AS lo, max(p_retailprice) AS hi FROM part GROUP BY 1), LATERAL (SELECT unnest(range(0, CAST(ceil((hi - lo) / 200) AS BIGINT))) AS k)",
+    ),
     "observe_funnel": Query(observe_funnel, " UNION ALL ".join(f"SELECT '{name}' AS stage, lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE {keep} GROUP BY lang" for name, keep in _STAGES)),
 }
