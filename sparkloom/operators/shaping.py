@@ -46,12 +46,12 @@ def _holds_map(kind: T.DataType) -> bool:
 
 
 def pivot_counts(df: DataFrame, by: list[str], column: str, values: list[str]) -> DataFrame:
-    """A count column for each of the given values; none where there is no row is 0."""
+    """A count column for each of the given values, 0 where there is no row; nulls in `column` are counted nowhere, a null in `by` is a group."""
     return df.groupBy(*by).agg(*(F.count_if(F.col(column) == v).alias(v) for v in values))
 
 
 def unpivot(df: DataFrame, keys: list[str], columns: list[str], name: str = "name", value: str = "value") -> DataFrame:
-    """One row for each key and column."""
+    """One row for each row and column, of nulls too; columns share one type."""
     return df.unpivot(keys, columns, name, value)
 
 
