@@ -61,6 +61,19 @@ def discard(df: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def made() -> int:
+    """How many paths in the shared folder this driver has named so far, for discard_made()."""
+    return len(_MADE)
+
+
+def discard_made(spark: SparkSession, since: int, *names: str) -> None:
+    """Delete the tables of these names that were made after made() gave `since`; nothing may read them any more."""
+    for path in _MADE[since:]:
+        if path.rsplit("/", 1)[1].rsplit("-", 1)[0] in names:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def row_key(docs: DataFrame) -> F.Column:
     """A 64-bit hash of a document's id, text, language and source: with doc_id it names a row, but for rows alike in all four."""
     return F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "text", "lang", "source") if c in docs.columns))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.chunks import slices, string_buffers
-from sparkloom.llm.common import discard, row_key, settled, shuffle_parts, written
+from sparkloom.llm.common import discard, discard_made, made, row_key, settled, shuffle_parts, written
 from sparkloom.llm.wordhash import mix, word_hashes
 
 WIDTH = 5
@@ -42,8 +42,9 @@ CHUNK_NODES, CHUNK_SHINGLES = 400, 400_000
 
 
 def _lost(agree: int, splits: int) -> float:
-    """The chance that a run parts two nodes that agree in so many of the SKETCH tokens, if it splits their bucket `splits` times."""
-    return 1 - (1 - (1 - agree / SKETCH) ** SAMPLED) ** splits
+    """The chance that a path parts two nodes that agree in so many of the SKETCH tokens, if its buckets are split so often: by its own token, then by SAMPLED ones at a time."""
+    share = agree / SKETCH
+    return 1 - share * (1 - (1 - share) ** SAMPLED) ** (splits - 1)
 
 
 def _agreement() -> dict[int, float]:
@@ -53,22 +54,22 @@ def _agreement() -> dict[int, float]:
 
 
 def missed(splits: list[int]) -> float:
-    """The chance that a pair at the threshold parts in all runs, of which each splits its bucket so often. How much it agrees in is the same for all runs."""
+    """The chance that all paths part a pair at the threshold, of which each splits its buckets so often. How much it agrees in is the same for all paths."""
     return sum(p * math.prod(_lost(k, s) for s in splits) for k, p in _agreement().items())
 
 
 def runs_needed(splits: int, target: float = TARGET_RECALL) -> int:
-    """Runs until a pair at the threshold whose bucket each splits `splits` times is missed with a chance of at most 1 - target."""
-    return next(r for r in range(1, 1000) if missed([splits] * r) <= 1 - target)
+    """Runs of SAMPLED paths until a pair at the threshold is missed with a chance of at most 1 - target, if each path is split `splits` times."""
+    return next(r for r in range(1, 1000) if missed([splits] * SAMPLED * r) <= 1 - target)
 
 
 def _missed_by_node(deep: DataFrame, runs: int) -> DataFrame:
-    """node, splits (most of a run) and missed: the bound on missing any of its pairs after so many runs. deep: node, run, splits of the runs that split more than once."""
+    """node, splits (most of a path) and missed: the bound on missing any of its pairs after so many runs. deep: node, way (a path's number), splits of the paths that split more than once."""
     depth = range(2, DEPTH + 2)
-    each = deep.groupBy("node", "run").agg(F.max("splits").alias("splits")).groupBy("node")
+    each = deep.groupBy("node", "way").agg(F.max("splits").alias("splits")).groupBy("node")
     by_node = each.agg(F.max("splits").alias("splits"), F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("splits") == d).alias(f"n{d}") for d in depth))
     log = lambda k, s: math.log(max(_lost(k, s), 1e-300))
-    terms = [F.lit(p) * F.exp((F.lit(runs) - F.col("n")) * log(k, 1) + reduce(lambda x, y: x + y, (F.col(f"n{d}") * log(k, d) for d in depth))) for k, p in _agreement().items()]
+    terms = [F.lit(p) * F.exp((F.lit(SAMPLED * runs) - F.col("n")) * log(k, 1) + reduce(lambda x, y: x + y, (F.col(f"n{d}") * log(k, d) for d in depth))) for k, p in _agreement().items()]
     return by_node.select("node", "splits", reduce(lambda x, y: x + y, terms).alias("missed"))
 
 
@@ -216,10 +217,10 @@ def leaves(nodes: DataFrame) -> DataFrame:
 
 
 def _runs(pool: DataFrame, nodes: DataFrame, runs: range) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Tables of leaf, size and node of these runs over the nodes in pool, and of node, run and splits of the buckets that were split again."""
-    tokens = [(SAMPLED * r + k, (SAMPLED * r + k) % SKETCH, r) for r in runs for k in range(SAMPLED)]
-    each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), _token(F.lit(t)).alias("v"), F.lit(r).alias("run")) for i, t, r in tokens)))
-    live = pool.select("node", "sig", each.alias("_p")).select(F.xxhash64("_p.i", "_p.v").alias("path"), "node", "_p.run")
+    """Tables of leaf, size and node of these runs over the nodes in pool, and of node, way (the path's number) and splits of the buckets that were split again."""
+    ways = [SAMPLED * r + k for r in runs for k in range(SAMPLED)]
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), _token(F.lit(i % SKETCH)).alias("v")) for i in ways)))
+    live = pool.select("node", "sig", each.alias("_p")).select(F.xxhash64("_p.i", "_p.v").alias("path"), "node", F.col("_p.i").alias("way"))
     found, deeper = [], []
     for depth in range(DEPTH + 1):
         size = live.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -232,7 +233,7 @@ def _runs(pool: DataFrame, nodes: DataFrame, runs: range) -> tuple[list[DataFram
         if big.isEmpty():
             break
         pick = [F.pmod(F.xxhash64("path", F.lit(7 * k + depth)), F.lit(SKETCH)) for k in range(SAMPLED)]
-        split = big.join(nodes.select("node", "sig"), "node").select("path", "size", "node", "run", *(_token(p).alias(f"v{k}") for k, p in enumerate(pick)))
+        split = big.join(nodes.select("node", "sig"), "node").select("path", "size", "node", "way", *(_token(p).alias(f"v{k}") for k, p in enumerate(pick)))
         split = written(split, "join-splits")
         # how often two of a bucket's nodes agree, by one token: a split would not part those that agree in most
         parts = split.groupBy("path", "v0").agg(F.max("size").cast("double").alias("size"), F.count(F.lit(1)).cast("double").alias("c"))
@@ -241,8 +242,8 @@ def _runs(pool: DataFrame, nodes: DataFrame, runs: range) -> tuple[list[DataFram
         found.append(big.join(tight, "path", "left_semi").select(F.col("path").alias("leaf"), "size", "node"))
         child = F.explode(F.array(*(F.xxhash64("path", F.lit(k), f"v{k}") for k in range(SAMPLED))))
         loose = split.join(tight, "path", "left_anti")
-        deeper.append(loose.select("node", "run", F.lit(depth + 2).alias("splits")))
-        live = loose.select(child.alias("path"), "node", "run")
+        deeper.append(loose.select("node", "way", F.lit(depth + 2).alias("splits")))
+        live = loose.select(child.alias("path"), "node", "way")
     return found, deeper
 
 
@@ -449,13 +450,14 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
     every = written(sketches(docs), "join-sketches")
     nodes = every.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("w"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     nodes = written(nodes, "join-nodes")
-    found = leaves(nodes)
-    rows = written(candidates(nodes, found), "join-candidates")
-    discard(found)
+    before = made()
+    rows = written(candidates(nodes, leaves(nodes)), "join-candidates")
+    discard_made(docs.sparkSession, before, "join-paths", "join-splits", "join-tight", "join-short")
     needed = nodes.join(rows.select("node").distinct(), "node", "left_semi")
     # of a node's rows the one of its least doc_id is wanted; others may come along
     sets = sets_of(docs.select("doc_id", "text"), needed).groupBy("node").agg(F.first("shingles").alias("shingles"))
     linked = written(links(rows, sets), "join-links")
+    discard(rows)
     return every, nodes, components(linked), linked
 
 

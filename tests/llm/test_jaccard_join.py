@@ -74,9 +74,9 @@ def test_all_pairs(spark, monkeypatch):
 
 
 def test_bound_by_node(spark):
-    runs = [(b"a", 0, 2), (b"a", 0, 4), (b"a", 3, 3), (b"b", 1, 9), *((b"c", r, 5) for r in range(6))]
-    got = {bytes(r.node): (r.splits, r.missed) for r in J._missed_by_node(spark.createDataFrame(runs, "node binary, run int, splits int"), 6).collect()}
-    want = {b"a": (4, J.missed([4, 3, 1, 1, 1, 1])), b"b": (9, J.missed([9, 1, 1, 1, 1, 1])), b"c": (5, J.missed([5] * 6))}
+    ways = [(b"a", 0, 2), (b"a", 0, 4), (b"a", 3, 3), (b"b", 1, 9), *((b"c", r, 5) for r in range(12))]
+    got = {bytes(r.node): (r.splits, r.missed) for r in J._missed_by_node(spark.createDataFrame(ways, "node binary, way int, splits int"), 6).collect()}
+    want = {b"a": (4, J.missed([4, 3] + [1] * 10)), b"b": (9, J.missed([9] + [1] * 11)), b"c": (5, J.missed([5] * 12))}
     assert all(got[k][0] == s and abs(got[k][1] - m) < 1e-12 for k, (s, m) in want.items()) and got.keys() == want.keys()
 
 
@@ -119,7 +119,7 @@ def test_intersections(monkeypatch):
 
 
 def test_runs_and_shingles():
-    assert all(J.missed([d] * J.runs_needed(d)) <= 1 - J.TARGET_RECALL < J.missed([d] * (J.runs_needed(d) - 1)) for d in range(1, J.DEPTH + 2))
+    assert all(J.missed([d] * 2 * J.runs_needed(d)) <= 1 - J.TARGET_RECALL < J.missed([d] * 2 * (J.runs_needed(d) - 1)) for d in range(1, J.DEPTH + 2))
     assert J.runs_needed(3) > J.runs_needed(1, 0.9) == 1
     count, value = J.shingles(pa.array(["a b c d e f", "a b c d e", None, "", "a", "a b c d e f a b c d e"]))
     assert list(count) == [2, 1, 0, 0, 1, 6]
