@@ -45,7 +45,7 @@ def test_running_totals(spark, tmp_path):
     assert rows_of(last) == rows_of(read_table(spark, SMALL, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")))
 
 
-def _in_order(spark, folder, pieces=8, late=()):
+def _in_order(spark, folder, pieces=6, late=()):
     """The small events table as files in order of time, each shuffled within; and rows that come after all of them."""
     e = read_table(spark, SMALL, "events")
     rows = e.orderBy("ts").collect()
