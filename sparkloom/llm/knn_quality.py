@@ -31,7 +31,7 @@ from sparkloom.llm.wordhash import word_hashes
 SAMPLE_PER_LABEL, FORM_TERMS, WORD_TERMS, FORM_AXES, WORD_AXES, NEIGHBOURS = 2048, 2048, 2048, 48, 32, 25
 TERMS = FORM_TERMS + WORD_TERMS
 SHARES = (0.0, 0.15, 0.3, 0.5, 0.7, 0.85, 1.0)
-_ROWS = 1500  # texts in a block
+_ROWS = 500  # texts in a block: its counts and cosines take some 70 MB
 _EXTRA = 64  # the last terms of form: repeats, lengths
 _CLASSES = 40
 
