@@ -39,6 +39,18 @@ LEADERS = 4
 _PAIRS = 20_000
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """The whole numbers of x in the narrowest of 2, 4 and 8 bytes each that holds all of them."""
+    least, most = (int(x.min()), int(x.max())) if x.size else (0, 0)
+    kind = next(k for k in ("<i2", "<i4", "<i8") if np.iinfo(k).min <= least and most <= np.iinfo(k).max)
+    return np.ascontiguousarray(x).astype(kind).tobytes()
+
+
+def _opened(raw: pa.Buffer, rows: int, width: int) -> np.ndarray:
+    """The rows that _narrow() has packed."""
+    return np.frombuffer(raw, f"<i{raw.size // (rows * width)}").reshape(rows, width)
+
+
 class Lists:
     """The sorted lists of a block of candidates (rows of x), and what is known of the candidates at each depth of reading."""
 
@@ -125,7 +137,7 @@ class Best:
 
 
 def _packed(vectors: DataFrame, rows: int, name: str, more: tuple[str, ...] = ()) -> DataFrame:
-    """Blocks of at most `rows` vectors of one length: width, <name>_x and <name>_<c> (binary) for id and the columns `more`, all of longs."""
+    """Blocks of at most `rows` vectors of one length: width, <name>_x (binary, by _narrow()) and <name>_<c> (binary, of longs) for id and the columns `more`."""
     columns = ("id", *more)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +145,7 @@ def _packed(vectors: DataFrame, rows: int, name: str, more: tuple[str, ...] = ()
         many = 0
 
         def block(width: int, part: np.ndarray) -> pa.RecordBatch:
-            cols = [np.ascontiguousarray(x).astype("<i8").tobytes() for x in (part[:, len(columns) :], *part.T[: len(columns)])]
+            cols = [_narrow(part[:, len(columns) :]), *(np.ascontiguousarray(x).astype("<i8").tobytes() for x in part.T[: len(columns)])]
             return pa.RecordBatch.from_arrays([pa.array([width], pa.int32()), *(pa.array([c], pa.binary()) for c in cols)], ["width", f"{name}_x", *(f"{name}_{c}" for c in columns)])
 
         for b in batches:
@@ -181,7 +193,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = 0.0
     than k; rows of another length than the query's are no candidates. Scores are
     exact while they fit 53 bits. Blocks meet in a grid of cells: a block of
     candidates is sent to a row of cells, a block of queries to a column, never
-    all vectors to one task, and only a task's best of a query go on. Equal query
+    all vectors to one task, and only a cell's best of a query go on. A cell holds
+    its queries and meets its candidates one block at a time. Equal query
     rows are looked up once. `share`, about how many queries there are to a vector,
     shapes the grid.
     """
@@ -198,32 +211,46 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = 0.0
     left = _packed(vectors, CANDIDATES, "c").withColumn("high", F.pmod(F.xxhash64("c_id", "c_x"), F.lit(high)).cast("int"))
     right = right.withColumn("high", F.explode(F.sequence(F.lit(0), F.lit(high - 1))))
     left = left.withColumn("wide", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))))
-    pairs = left.join(right, ["width", "wide", "high"])
-    sent = ["c_id", "c_x", "width", "q_x", *(f"q_{c}" for c in ("id", *keys))]
+    place = ("width", "wide", "high")
+    right = right.select(*place, F.lit(False).alias("met"), F.col("q_id").alias("id"), F.col("q_x").alias("x"), *(F.col(f"q_{c}").alias(c) for c in keys))
+    left = left.select(*place, F.lit(True).alias("met"), F.col("c_id").alias("id"), F.col("c_x").alias("x"), *(F.lit(None).cast("binary").alias(c) for c in keys))
+    # cells have partitions by number, so that none waits for another while tasks are idle; a cell's queries come before its candidates
+    cell = F.pmod(F.xxhash64("width") + F.col("wide") * high + F.col("high"), F.lit(parts)).cast("int")
+    cells = right.unionByName(left).repartitionById(parts, cell).sortWithinPartitions(*place, "met")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, lists, ids = None, None, None
-        best: dict[bytes, Best] = {}
+        now: tuple | None = None
+        held: list[tuple[list[np.ndarray], np.ndarray, Best]] = []
+
+        def meet(ids: np.ndarray, x: np.ndarray) -> None:
+            lists = Lists(x)
+            for _, q, own in held:
+                a, c, score, _ = block_top(lists, q, k + 1, own.score[:, -1])
+                own.add(a, ids[c], score)
+
+        def results() -> Iterator[pa.RecordBatch]:
+            for query, _, own in held:
+                q, at = np.nonzero(own.score > -np.inf)
+                cols = [*(x[q] for x in query), own.ids[q, at], own.score[q, at].astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["query_id", *keys, "vec_id", "score"])
+
         for b in batches:
             for r in range(b.num_rows):
-                cell = {c: b.column(c)[r] for c in sent}
-                width = cell["width"].as_py()
-                if last is None or not last[0].equals(cell["c_id"].as_buffer()) or not last[1].equals(cell["c_x"].as_buffer()):
-                    last = cell["c_id"].as_buffer(), cell["c_x"].as_buffer()
-                    ids = np.frombuffer(last[0], "<i8")
-                    lists = Lists(np.frombuffer(last[1], "<i8").reshape(len(ids), width))
-                known = b"".join(cell[f"q_{c}"].as_py() for c in ("id", *keys))
-                x = np.frombuffer(cell["q_x"].as_buffer(), "<i8").reshape(-1, width)
-                own = best.setdefault(known, Best(len(x), k + 1))
-                q, c, score, _ = block_top(lists, x, k + 1, own.score[:, -1])
-                own.add(q, ids[c], score)
-        for known, own in best.items():
-            query = np.frombuffer(known, "<i8").reshape(len(keys) + 1, -1)
-            q, place = np.nonzero(own.score > -np.inf)
-            cols = [*(x[q] for x in query), own.ids[q, place], own.score[q, place].astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["query_id", *keys, "vec_id", "score"])
-
-    found = pairs.select(*sent).mapInArrow(settled(work), ", ".join(f"{c} long" for c in ("query_id", *keys, "vec_id", "score")))
+                here = tuple(b.column(c)[r].as_py() for c in place)
+                if here != now:
+                    yield from results()
+                    now, held = here, []
+                raw = b.column("id")[r].as_buffer()
+                ids, x = np.frombuffer(raw, "<i8"), _opened(b.column("x")[r].as_buffer(), raw.size // 8, here[0])
+                if b.column("met")[r].as_py():
+                    meet(ids, x)
+                else:  # copied, so that no batch is kept for its queries
+                    held.append(([ids.copy(), *(np.frombuffer(b.column(c)[r].as_py(), "<i8") for c in keys)], x.copy(), Best(len(ids), k + 1)))
+                del raw, ids, x
+            del b
+        yield from results()
+
+    found = cells.mapInArrow(settled(work), ", ".join(f"{c} long" for c in ("query_id", *keys, "vec_id", "score")))
     group = Window.partitionBy("query_id", "k1", "k2")
     ranked = found.withColumn("place", F.row_number().over(group.orderBy(F.desc("score"), "vec_id"))).filter(F.col("place") <= k + 1)
     itself = F.min(F.when((F.col("vec_id") == F.col("query_id")) & (F.col("score") == F.col("self")), F.col("place"))).over(group)

@@ -63,6 +63,17 @@ def test_topk_in_many_blocks(spark, monkeypatch):
     assert sorted(tuple(r) for r in K.top_k(v, v.filter("id % 10 = 0"), 4).collect()) == by_row(rows, 4)
 
 
+def test_blocks_are_sent_in_the_narrowest_numbers(spark):
+    """What is sent is 2 bytes a component for the supplied kind of vectors; wider numbers stay exact."""
+    rnd = np.random.default_rng(8)
+    for most, width in ((1 << 15, 2), (1 << 15 | 1, 4), (1 << 31, 4), (1 << 31 | 1, 8)):
+        rows = [(i, [int(x) for x in rnd.integers(-9, 10, 3)]) for i in range(40)] + [(40, [-most, 0, 1]), (50, [1, most - 1, 1])]
+        v = spark.createDataFrame(rows, "id long, x array<long>").coalesce(1)
+        (block,) = K._packed(v, 64, "c").collect()
+        assert len(block.c_x) == width * 3 * len(rows) and (np.frombuffer(block.c_x, f"<i{width}").reshape(-1, 3) == [x for _, x in rows]).all()
+        assert sorted(tuple(r) for r in K.top_k(v, v.filter("id % 10 = 0 and id < 40"), 3).collect()) == [r for r in by_row(rows, 3) if r[0] < 40]
+
+
 def test_bounds_hold_and_reading_stops():
     rnd = np.random.default_rng(6)
     x, q = rnd.integers(-200, 200, (300, 16)), rnd.integers(-200, 200, (9, 16)).astype(float)
