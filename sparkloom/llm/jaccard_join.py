@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.chunks import slices, string_buffers
-from sparkloom.llm.common import discard, discard_made, made, row_key, settled, shuffle_parts, written
+from sparkloom.llm.common import discard, discard_made, made, row_key, scratch_path, settled, shuffle_parts, written, written_at
 from sparkloom.llm.wordhash import mix, word_hashes
 
 WIDTH = 5
@@ -160,10 +160,9 @@ def _in_map(wanted: DataFrame) -> Callable[[F.Column], F.Column] | None:
         return None
     place = lambda h: F.pmod(h, F.lit(MAP_BITS))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place(F.col("h")), F.lit(64)).cast("int"))
-    words = wanted.groupBy(F.floor(place(F.col("h")) / 64).alias("at")).agg(F.bit_or(bit).alias("bits")).collect()
+    words = wanted.groupBy(F.floor(place(F.col("h")) / 64).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()  # 16 bytes each; as rows of Python they would take twenty times as much
     table = np.zeros(MAP_BITS // 64, np.int64)
-    for r in words:
-        table[r["at"]] = r["bits"]
+    table[words.column("at").to_numpy()] = words.column("bits").to_numpy()
     shared = wanted.sparkSession.sparkContext.broadcast(table)
 
     @F.arrow_udf("boolean")
@@ -199,15 +198,15 @@ def leaves(nodes: DataFrame) -> DataFrame:
     split so often that the chance to miss a pair of theirs is still above the target's
     take further runs, as many as the deepest of their buckets needs.
     """
-    found, deep, done, pool, need = [], None, 0, nodes, runs_needed(1) + 1
+    found, deep, done, pool, need = [], [], 0, nodes, runs_needed(1) + 1
     while True:
         more, split = _runs(pool, nodes, range(done, need))
         found += more
+        deep += split
         done = need
-        deep = reduce(DataFrame.unionByName, [*([] if deep is None else [deep]), *split]) if split else deep
-        if deep is None:
+        if not deep:
             break
-        short = written(_missed_by_node(deep, done).filter(F.col("missed") > 1 - TARGET_RECALL), "join-short")
+        short = written(_missed_by_node(reduce(DataFrame.unionByName, deep), done).filter(F.col("missed") > 1 - TARGET_RECALL), "join-short")
         most = short.agg(F.max("splits")).first()[0]
         if most is None:
             break
@@ -217,34 +216,44 @@ def leaves(nodes: DataFrame) -> DataFrame:
 
 
 def _runs(pool: DataFrame, nodes: DataFrame, runs: range) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Tables of leaf, size and node of these runs over the nodes in pool, and of node, way (the path's number) and splits of the buckets that were split again."""
+    """Tables of leaf, size and node of these runs over the nodes in pool, and of node, way (the path's number) and splits of the buckets that were split again.
+
+    The depths lie in folders of one table each, so that all are read by one scan: the
+    driver plans, and holds the stages of, two or three scans, however deep buckets were split.
+    """
+    spark = pool.sparkSession
+    paths, marks = scratch_path(spark, "join-paths"), scratch_path(spark, "join-marks")
     ways = [SAMPLED * r + k for r in runs for k in range(SAMPLED)]
     each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), _token(F.lit(i % SKETCH)).alias("v")) for i in ways)))
     live = pool.select("node", "sig", each.alias("_p")).select(F.xxhash64("_p.i", "_p.v").alias("path"), "node", F.col("_p.i").alias("way"))
-    found, deeper = [], []
+    marked = None
     for depth in range(DEPTH + 1):
         size = live.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        live = written(live.join(size, "path"), "join-paths")
-        if depth == DEPTH:
-            found.append(live.select(F.col("path").alias("leaf"), "size", "node"))
-            break
-        found.append(live.filter(F.col("size") <= SMALL).select(F.col("path").alias("leaf"), "size", "node"))
+        live = written_at(live.join(size, "path"), f"{paths}/depth={depth}")
         big = live.filter(F.col("size") > SMALL)
-        if big.isEmpty():
+        if depth == DEPTH or big.isEmpty():
             break
         pick = [F.pmod(F.xxhash64("path", F.lit(7 * k + depth)), F.lit(SKETCH)) for k in range(SAMPLED)]
         split = big.join(nodes.select("node", "sig"), "node").select("path", "size", "node", "way", *(_token(p).alias(f"v{k}") for k, p in enumerate(pick)))
         split = written(split, "join-splits")
         # how often two of a bucket's nodes agree, by one token: a split would not part those that agree in most
         parts = split.groupBy("path", "v0").agg(F.max("size").cast("double").alias("size"), F.count(F.lit(1)).cast("double").alias("c"))
-        agree = parts.groupBy("path").agg((F.sum(F.col("c") * F.col("c")) / (F.max("size") * F.max("size"))).alias("agree"))
-        tight = written(agree.filter(F.col("agree") >= TIGHT).select("path"), "join-tight")
-        found.append(big.join(tight, "path", "left_semi").select(F.col("path").alias("leaf"), "size", "node"))
+        agree = parts.groupBy("path").agg((F.sum(F.col("c") * F.col("c")) / (F.max("size") * F.max("size")) >= TIGHT).alias("tight"))
+        marked = written_at(split.join(agree, "path"), f"{marks}/depth={depth}")
+        discard(split)
         child = F.explode(F.array(*(F.xxhash64("path", F.lit(k), f"v{k}") for k in range(SAMPLED))))
-        loose = split.join(tight, "path", "left_anti")
-        deeper.append(loose.select("node", "way", F.lit(depth + 2).alias("splits")))
-        live = loose.select(child.alias("path"), "node", "way")
-    return found, deeper
+        live = marked.filter("not tight").select(child.alias("path"), "node", "way")
+    whole = spark.read.schema(f"{_ddl(live)}, depth int").parquet(paths)
+    found = [whole.filter((F.col("size") <= SMALL) | (F.col("depth") == DEPTH)).select(F.col("path").alias("leaf"), "size", "node")]
+    if marked is None:
+        return found, []
+    whole = spark.read.schema(f"{_ddl(marked)}, depth int").parquet(marks)
+    found.append(whole.filter("tight").select(F.col("path").alias("leaf"), "size", "node"))
+    return found, [whole.filter("not tight").select("node", "way", (F.col("depth") + 2).alias("splits"))]
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in df.dtypes)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -431,12 +440,15 @@ def components(edges: DataFrame) -> DataFrame:
     same = (F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u")))
     mark = now.agg(*same).first()
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # each table is read by few scans: a plan that repeats its own parts holds their stages in the driver at once
+        both = now.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("_e")).select("_e.u", "_e.v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = written(large, "join-large")
         small = large.groupBy("u").agg(F.min("v").alias("m"))
-        to = large.join(small, "u")
-        new = written(to.select("u", F.col("m").alias("v")).unionByName(to.select(F.col("v").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct(), "join-edges")
+        ends = F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
+        new = written(large.join(small, "u").select(ends.alias("_e")).select("_e.u", "_e.v").filter("u <> v").distinct(), "join-edges")
+        discard(large)
         mark, old = new.agg(*same).first(), mark
         discard(now)
         now = new
@@ -452,7 +464,7 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
     nodes = written(nodes, "join-nodes")
     before = made()
     rows = written(candidates(nodes, leaves(nodes)), "join-candidates")
-    discard_made(docs.sparkSession, before, "join-paths", "join-splits", "join-tight", "join-short")
+    discard_made(docs.sparkSession, before, "join-paths", "join-marks", "join-short")
     needed = nodes.join(rows.select("node").distinct(), "node", "left_semi")
     # of a node's rows the one of its least doc_id is wanted; others may come along
     sets = sets_of(docs.select("doc_id", "text"), needed).groupBy("node").agg(F.first("shingles").alias("shingles"))

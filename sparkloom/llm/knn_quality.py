@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.llm.chunks import slices, string_buffers
-from sparkloom.llm.common import settled
+from sparkloom.llm.common import give_back, settled
 from sparkloom.llm.wordhash import word_hashes
 
 #: Bounds of the fit: labelled rows of each label, hashed terms of form and of words, latent dimensions of either. They bound what is broadcast (about 2 MB).
@@ -156,12 +156,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     counted = rows.mapInArrow(settled(work), "doc_id long, y int, hash long, counts binary")
     # one row of each id, so that no id's repeats take the places of others
     each = counted.groupBy("doc_id", "y").agg(F.min(F.struct("hash", "counts")).alias("_m")).select("doc_id", "y", "_m.counts")
-    got = each.orderBy("doc_id").limit(2 * SAMPLE_PER_LABEL).collect()
-    y = np.array([r.y for r in got], np.float64)
-    m = np.empty((len(got), TERMS), np.float32)
-    for k in range(len(got)):
-        m[k], got[k] = np.frombuffer(zlib.decompress(got[k].counts), np.float32), None  # one copy at a time
-    weight = (np.log((1 + len(m)) / (1 + (m > 0).sum(0))) + 1).astype(np.float32)
+    try:
+        return _model(each.orderBy("doc_id").limit(2 * SAMPLE_PER_LABEL).select("y", "counts").toArrow())
+    finally:
+        give_back()  # the driver lives on
+
+
+def _model(got: pa.Table) -> Model:
+    """The model of a sample's labels and compressed term counts."""
+    y = got.column("y").to_numpy().astype(np.float64)
+    m, seen = np.empty((len(got), TERMS), np.float32), np.zeros(TERMS, np.int64)
+    for k, c in enumerate(got.column("counts")):
+        m[k] = np.frombuffer(zlib.decompress(c.as_buffer()), np.float32)
+        seen += m[k] > 0
+    weight = (np.log((1 + len(m)) / (1 + seen)) + 1).astype(np.float32)
     if not len(m):
         none = np.zeros((FORM_TERMS, 1), np.float32), np.zeros((WORD_TERMS, 1), np.float32)
         return Model(weight, *none, 0.0, np.zeros((0, 2), np.float32), y)

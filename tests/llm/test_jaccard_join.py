@@ -73,6 +73,18 @@ def test_all_pairs(spark, monkeypatch):
     assert [r for r, _ in took] == [range(0, J.runs_needed(1) + 1), range(J.runs_needed(1) + 1, J.runs_needed(3))] and took[0][1] > took[1][1] > 0
 
 
+def test_leaves_of_all_depths_are_read_by_few_scans(spark, monkeypatch):
+    df = spark.createDataFrame([(i, t) for i, t in corpus() if i is not None and i < 45], "doc_id long, text string")
+    for name, value in (("SMALL", 4), ("TIGHT", 2.0), ("DEPTH", 2), ("runs_needed", lambda splits, target=0.9: 1)):
+        monkeypatch.setattr(J, name, value)
+    taken, plain = [], J._runs
+    monkeypatch.setattr(J, "_runs", lambda pool, every, runs: taken.append(runs) or plain(pool, every, runs))
+    leaf = J.leaves(nodes(df))
+    # the driver holds the plan and its stages: two tables for each time that runs are taken, not some for each depth
+    assert leaf._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 2 * len(taken)
+    assert leaf.filter("size > 4").count() > 0 and leaf.groupBy("leaf").agg(F.max("size").alias("s"), F.countDistinct("node").alias("n")).filter("s <> n").count() == 0
+
+
 def test_bound_by_node(spark):
     ways = [(b"a", 0, 2), (b"a", 0, 4), (b"a", 3, 3), (b"b", 1, 9), *((b"c", r, 5) for r in range(12))]
     got = {bytes(r.node): (r.splits, r.missed) for r in J._missed_by_node(spark.createDataFrame(ways, "node binary, way int, splits int"), 6).collect()}
